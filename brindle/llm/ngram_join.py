@@ -9,9 +9,9 @@ empty fragments only if it has more than SPARE of them.  Candidates are
 verified exactly: overlaps are counted separately in each fragment of the
 order and summed for each pair.
 
-Copies are one set from the first step on.  Within the sets of a signature
-each is first compared with the least; later only sets of different components
-are, and a signature that still has many goes to the next level, where its sets
+Copies are one set from the first step on.  Each set is first
+compared with one other, the least set of most of its signatures; later only
+sets of different components that share a signature are, and a signature that still has many goes to the next level, where its sets
 must agree on a segment of another, independent order as well.  So no group
 gives all its pairs, and no link between different components is lost.
 
@@ -123,26 +123,33 @@ def signatures(values: np.ndarray, off: np.ndarray, classes: Classes, level: int
     return np.concatenate(sets), np.concatenate(sigs).astype(np.int64)
 
 
-def _arrays(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
-    by = np.argsort(owner, kind="stable")
-    at = np.searchsorted(owner[by], np.arange(n + 1))
-    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values[by], pa.int64()))
+def _described(docs: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
+    """(doc_id, n, set_id) of each text."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in tb.slices(whole, text, SLICE_BYTES):
+                values, off = shingle_sets(batch.column(text), k)
+                yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(np.diff(off), pa.int64()), pa.array(set_ids(values, off))], ["doc_id", "n", "set_id"])
+
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")).mapInArrow(run, f"doc_id {kind}, n bigint, set_id bigint")
 
-def _described(docs: DataFrame, id_col: str, text: str, k: int, classes: Classes) -> DataFrame:
-    """(doc_id, n, set_id, sigs) of each text."""
-    kind = docs.schema[id_col].dataType.simpleString()
+
+def _signed(docs: DataFrame, text: str, k: int, classes: Classes, level: int) -> DataFrame:
+    """(sig, set_id) of each text; of copies within a slice only once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in tb.slices(whole, text, SLICE_BYTES):
                 values, off = shingle_sets(batch.column(text), k)
-                ids, (sets, sigs) = set_ids(values, off), signatures(values, off, classes, 0)
-                _, firsts = np.unique(ids, return_index=True)  # of copies within a slice one carries the signatures
-                keep = np.isin(sets, firsts)
-                yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(np.diff(off), pa.int64()), pa.array(ids), _arrays(sigs[keep], sets[keep], batch.num_rows)], ["doc_id", "n", "set_id", "sigs"])
+                ids, (sets, sigs) = set_ids(values, off), signatures(values, off, classes, level)
+                _, firsts = np.unique(ids, return_index=True)
+                one = np.zeros(len(ids), bool)
+                one[firsts] = True
+                yield pa.RecordBatch.from_arrays([pa.array(sigs[one[sets]]), pa.array(ids[sets[one[sets]]])], ["sig", "set_id"])
 
-    return docs.select(F.col(id_col), F.col(text)).mapInArrow(run, f"doc_id {kind}, n bigint, set_id bigint, sigs array<bigint>")
+    return docs.select(F.col(f"`{text}`")).mapInArrow(run, "sig bigint, set_id bigint")
 
 
 def _sharing(rows: DataFrame, more: list[str] | None = None) -> DataFrame:
@@ -238,7 +245,7 @@ class Join:
     def __init__(self, docs: DataFrame, id_col: str, text: str, k: int, num: int, den: int):
         self.docs, self.id, self.text, self.k, self.num, self.den = docs, id_col, text, k, num, den
         self.classes = Classes(num, den)
-        self.described = save(_described(docs, id_col, text, k, self.classes), "sets")
+        self.described = save(_described(docs, id_col, text, k), "sets")
         self.sets = self.described.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"))
 
     def _texts(self, wanted: DataFrame) -> DataFrame:
@@ -281,27 +288,19 @@ class Join:
     def _refined(self, hard: DataFrame, level: int) -> DataFrame:
         """Sets of too large signatures, each with the signatures of another order besides."""
         hard = hard.select("sig", F.col("a").alias("set_id"))
-        text, k, classes = self.text, self.k, self.classes
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for batch in tb.slices(whole, text, SLICE_BYTES):
-                    values, off = shingle_sets(batch.column(text), k)
-                    sets, sigs = signatures(values, off, classes, level)
-                    yield pa.RecordBatch.from_arrays([pa.array(set_ids(values, off)[sets]), pa.array(sigs)], ["set_id", "next"])
-
-        more = self._texts(hard.select("set_id").distinct()).mapInArrow(run, "set_id bigint, next bigint")
-        return more.join(hard, "set_id").select(F.xxhash64("sig", "next").alias("sig"), "set_id")
+        more = _signed(self._texts(hard.select("set_id").distinct()), self.text, self.k, self.classes, level)
+        return more.withColumnRenamed("sig", "next").join(hard, "set_id").select(F.xxhash64("sig", "next").alias("sig"), "set_id")
 
     def components(self) -> DataFrame:
         """(doc_id, n, component): a row for each row of docs."""
         spark = self.docs.sparkSession
-        rows = self.described.select(F.explode("sigs").alias("sig"), "set_id")
+        rows = _signed(self.docs, self.text, self.k, self.classes, 0)
         links = comp = None
         for level in range(LEVELS):
             groups = save(_sharing(rows), "groups")
-            stars = groups.where("set_id <> head").select(F.col("head").alias("a"), F.col("set_id").alias("b")).distinct()
-            found = self._links(stars)
+            # Each set first against one other: the head of most of its signatures.
+            heads = groups.where("set_id <> head").groupBy("set_id", "head").agg(F.count("*").alias("c")).groupBy("set_id").agg(F.max_by("head", F.struct("c", "head")).alias("a"))
+            found = self._links(heads.select("a", F.col("set_id").alias("b")))
             links = found if links is None else links.union(found)
             comp = save(connected_components(links, "a", "b"), "comp")
             known = groups.select("sig", "set_id").join(comp, groups.set_id == comp.node, "left").select("sig", "set_id", F.coalesce("component", "set_id").alias("comp"))

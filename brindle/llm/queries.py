@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import ngram_join, suffix_decontam
+from brindle.llm import complement_pack, ngram_join, repair_tokens, suffix_decontam, url_filter, warc_index
+from brindle.llm.scratch import ship
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,11 +23,27 @@ def op1_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(F.col(f"__found.{c}") for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")))
 
 
+def op2_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op3_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_index.roundtrip(table(spark, sf_dir, "pages"))
+
+
+def op4_repair_token_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_tokens.archive(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.near_duplicates(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def op8_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return complement_pack.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 OP1_SQL = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
@@ -39,6 +57,26 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
+OP2_SQL = r"""
+WITH RECURSIVE rules(v, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+pg AS (SELECT page_id, url, html, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1) AS h0, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*(/[^?#]*)', 1) AS path FROM pages),
+u AS (SELECT page_id, url, html, path, translate(h0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM pg),
+fit AS (SELECT page_id, rules.v, rules.h || rules.p AS rule, row_number() OVER (PARTITION BY page_id ORDER BY length(rules.h || rules.p) DESC, length(rules.h) DESC) AS k FROM u JOIN rules ON (u.host = rules.h OR ends_with(u.host, '.' || rules.h)) AND starts_with(u.path, rules.p)),
+own AS (SELECT u.page_id, u.host, u.path, fit.rule, fit.v, regexp_replace(u.url, '(?s)#.*$', '') AS node, regexp_extract(regexp_extract(u.html, '(?is)<link\b[^<>]*\brel\s*=\s*["'']?canonical\b[^<>]*>', 0), '(?is)\bhref\s*=\s*["'']?([^\s"''>]+)', 1) AS target FROM u LEFT JOIN fit ON fit.page_id = u.page_id AND fit.k = 1),
+e AS (SELECT node AS a, target AS b FROM own WHERE target LIKE '%://%' AND target <> node UNION SELECT target, node FROM own WHERE target LIKE '%://%' AND target <> node),
+r AS (SELECT a, a AS b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+c AS (SELECT r.a AS node, min(r.b) AS component, bool_or(own.v = 'allow') AS allowed, bool_or(own.v = 'block') AS blocked FROM r LEFT JOIN own ON own.node = r.b GROUP BY r.a)
+SELECT own.page_id, own.host, own.path, own.rule, coalesce(own.v, CASE WHEN c.allowed THEN 'allow' WHEN c.blocked THEN 'block' END, 'allow') AS verdict, c.component
+FROM own LEFT JOIN c USING (node)
+"""
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+g AS (SELECT html, max(page_id) AS keeper FROM p WHERE strlen(html) >= 1000 GROUP BY html HAVING count(*) > 1)
+SELECT page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, sha1(p.html) AS payload_digest, CASE WHEN keeper IS NULL OR keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+FROM p LEFT JOIN g ON g.html = p.html
+"""
+
 OP7_SQL = f"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
@@ -52,10 +90,16 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_decontamination": op1_suffix_decontamination,
+    "op2_redirect_equivalence": op2_redirect_equivalence,
+    "op3_warc_capture_index": op3_warc_capture_index,
+    "op4_repair_token_archive": op4_repair_token_archive,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_exact_complement_packing": op8_exact_complement_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_suffix_decontamination": OP1_SQL,
+    "op2_redirect_equivalence": OP2_SQL,
+    "op3_warc_capture_index": OP3_SQL,
     "op7_ngram_jaccard": OP7_SQL,
 }

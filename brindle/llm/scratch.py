@@ -8,8 +8,11 @@ recomputation of its tasks and never a table.
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,3 +71,22 @@ def saved_path(df: DataFrame) -> str:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors' Python workers, once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        top = Path(__file__).resolve().parents[1]
+        files = sorted(top.rglob("*.py"))
+        digest = hashlib.sha1(b"".join(p.read_bytes() for p in files)).hexdigest()[:12]
+        archive = Path(tempfile.mkdtemp(prefix="brindle-")) / f"brindle-{digest}.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in files:
+                z.write(p, p.relative_to(top.parent))
+        sc.addPyFile(str(archive))
+        _SHIPPED.add(sc.applicationId)
+    return spark
