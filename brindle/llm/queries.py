@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import complement_pack, ngram_join, repair_tokens, suffix_decontam, url_filter, warc_index
+from brindle.llm import complement_pack, label_sharding, ngram_join, repair_tokens, suffix_decontam, url_filter, warc_index, weak_quality
 from brindle.llm.scratch import ship
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -35,6 +35,11 @@ def op4_repair_token_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_tokens.archive(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = weak_quality.judge(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.near_duplicates(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
@@ -44,6 +49,11 @@ def op8_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return complement_pack.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_balanced_label_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = label_sharding.label_propagation(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 OP1_SQL = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
@@ -93,8 +103,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_redirect_equivalence": op2_redirect_equivalence,
     "op3_warc_capture_index": op3_warc_capture_index,
     "op4_repair_token_archive": op4_repair_token_archive,
+    "op6_weak_supervision": op6_weak_supervision,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_exact_complement_packing": op8_exact_complement_packing,
+    "op9_balanced_label_sharding": op9_balanced_label_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
