@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import complement_pack, label_sharding, ngram_join, repair_tokens, suffix_decontam, url_filter, warc_index, weak_quality
+from brindle.llm import complement_pack, label_sharding, ngram_join, pii_bootstrap, repair_tokens, suffix_decontam, url_filter, warc_index, weak_quality
 from brindle.llm.scratch import ship
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -35,6 +35,13 @@ def op4_repair_token_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_tokens.archive(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_bootstrap.find_pii(table(spark, sf_dir, "documents"))
+    counts = (pii_bootstrap.count_of(kind, "base").alias(f"n_{kind}") for kind in pii_bootstrap.KINDS)
+    every = pii_bootstrap.in_order(F.concat("base", "added"))
+    return found.select("doc_id", *counts, F.sha2(pii_bootstrap.as_text(F.col("base")), 256).alias("base_sha256"), pii_bootstrap.as_text(every).alias("spans"))
+
+
 def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = weak_quality.judge(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
@@ -103,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_redirect_equivalence": op2_redirect_equivalence,
     "op3_warc_capture_index": op3_warc_capture_index,
     "op4_repair_token_archive": op4_repair_token_archive,
+    "op5_bootstrapped_pii": op5_bootstrapped_pii,
     "op6_weak_supervision": op6_weak_supervision,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_exact_complement_packing": op8_exact_complement_packing,
