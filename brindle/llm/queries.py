@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import complement_pack, label_sharding, ngram_join, pii_bootstrap, repair_tokens, suffix_decontam, url_filter, warc_index, weak_quality
+from brindle.llm import complement_pack, label_sharding, license_scan, ngram_join, pii_bootstrap, repair_tokens, suffix_decontam, url_filter, warc_index, weak_quality
 from brindle.llm.scratch import ship
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -61,6 +61,10 @@ def op9_balanced_label_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
@@ -115,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_exact_complement_packing": op8_exact_complement_packing,
     "op9_balanced_label_sharding": op9_balanced_label_sharding,
+    "op10_license_windows": op10_license_windows,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -175,4 +175,7 @@ def keep_good(docs: DataFrame, *, text: str = "text", rules: tuple[Rule, ...] =
     time but neither a shuffle nor a copy of the texts.
     """
     model = fit(measures(docs.select(F.col(f"`{text}`").alias("text"))).select(FOUND), rules)
-    return measures(docs, text).where(verdict(model, rules, threshold)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    # The partition's number, not being deterministic, keeps the filter above the
+    # projection: below it, arrays would be built anew for each element of a lambda.
+    judged = measures(docs, text).select("*", verdict(model, rules, threshold).alias("__kept"), F.spark_partition_id().alias("__here"))
+    return judged.where(F.col("__kept") & (F.col("__here") >= 0)).select(*(F.col(f"`{c}`") for c in docs.columns))

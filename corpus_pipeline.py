@@ -1,8 +1,58 @@
-"""From raw documents to packed sequences."""
+"""From raw documents to packed sequences, in stages that each apply one operator of ``brindle.llm``.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages
+it is written as Parquet and read again.  All but the last keep the columns of
+documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from brindle.llm import complement_pack, ngram_join, pii_bootstrap, suffix_decontam, weak_quality
+from brindle.llm.scratch import save, ship
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weakly supervised rules reject go."""
+    ship(spark)
+    return weak_quality.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: similarity of 0.8 or more on five-word shingles."""
+    ship(spark)
+    return ngram_join.drop_near_duplicates(docs, k=5, num=80, den=100)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with benchmark passages go."""
+    ship(spark)
+    return suffix_decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind."""
+    ship(spark)
+    return pii_bootstrap.mask(docs, length="n_chars")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences: each piece's place."""
+    ship(spark)
+    return complement_pack.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontaminated), ("pii", private), ("packing", packed)]
+#: The label model and the packing can't be put into SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = save(docs, name)
+    return docs
