@@ -7,11 +7,13 @@ an equal segment is what makes two sets candidates.  Fragments that are empty
 in both are no evidence: with K = H + 1 + SPARE a set gives signatures of its
 empty fragments only if it has more than SPARE of them.  Candidates are
 verified exactly: overlaps are counted separately in each fragment of the
-order and summed for each pair.
+order and summed for each pair, after a bound from bit maps has ruled out most
+pairs that differ too much.
 
-Copies are one set from the first step on.  Each set is first
-compared with one other, the least set of most of its signatures; later only
-sets of different components that share a signature are, and a signature that still has many goes to the next level, where its sets
+Copies are one set from the first step on.  In a few rounds
+each set is compared with one other, the most central of another component that
+its signatures offer; then all sets of different components that share a
+signature are, and a signature that still has many goes to the next level, where its sets
 must agree on a segment of another, independent order as well.  So no group
 gives all its pairs, and no link between different components is lost.
 
@@ -30,13 +32,15 @@ from pyspark.sql import functions as F
 
 from brindle.llm import textbytes as tb
 from brindle.llm.components import connected_components
-from brindle.llm.scratch import drop, save, saved_path, shuffle_partitions
+from brindle.llm.scratch import drop, release, save, saved_path, shuffle_partitions
 
 SPARE = 2
 FRAGMENTS = 8
 SLICE_BYTES = 2 << 20
-#: Pairs that a signature may give for each of its sets before it goes to the next level; levels; ids that may be broadcast.
-EASE, LEVELS, SENT_IDS = 16, 4, 500_000
+#: Pairs that a signature may give for each of its sets before it goes to the next level; levels; ids that may be broadcast; links that one task may hold.
+EASE, LEVELS, SENT_IDS, ONE_TASK = 64, 3, 500_000, 500_000
+#: Rounds in which each set is compared with one other.
+STARS = 3
 U = np.uint64
 
 
@@ -218,9 +222,8 @@ def _across(rows: DataFrame) -> DataFrame:
         if not len(sig):
             return
         edge = np.concatenate([[0], np.flatnonzero(sig[1:] != sig[:-1]) + 1, [len(sig)]])
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            if comp[a] == comp[b - 1]:
-                continue
+        mixed = comp[edge[:-1]] != comp[edge[1:] - 1]
+        for a, b in zip(edge[:-1][mixed].tolist(), edge[1:][mixed].tolist(), strict=True):
             inner = np.concatenate([[0], np.flatnonzero(np.diff(comp[a:b])) + 1, [b - a]])
             size = np.diff(inner)
             x = ids[a:b]
@@ -239,6 +242,37 @@ def _across(rows: DataFrame) -> DataFrame:
     return rows.repartition(n, "sig").sortWithinPartitions("sig", "comp", "set_id").mapInArrow(run, "hard boolean, sig bigint, a bigint, b bigint")
 
 
+def _components(links: DataFrame) -> DataFrame:
+    """(node, component) of links (a, b).
+
+    Up to ``ONE_TASK`` links go through a union-find in one task, which holds
+    them in a few megabytes; more take the distributed rounds.  The result is
+    the same: each node's least reachable set.
+    """
+    if links.count() > ONE_TASK:
+        return connected_components(links, "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            top = x
+            while (up := root.setdefault(top, top)) != top:
+                top = up
+            while root[x] != top:
+                root[x], x = top, root[x]
+            return top
+
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+        nodes = list(root)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["node", "component"])
+
+    return links.select("a", "b").coalesce(1).mapInArrow(run, "node bigint, component bigint")
+
+
 class Join:
     """A self-join of the texts of docs; see the module."""
 
@@ -256,12 +290,44 @@ class Join:
         on = F.col(f"`{self.id}`").eqNullSafe(F.col("least"))
         return self.docs.select(F.col(f"`{self.id}`"), F.col(f"`{self.text}`")).join(F.broadcast(right) if few else right, on, "left_semi")
 
+    def _possible(self, sized: DataFrame, wanted: DataFrame) -> DataFrame:
+        """Pairs that a bound doesn't rule out: bits of one set's map that the other's lacks are differences, each at least one."""
+        text, k, num, den = self.text, self.k, self.num, self.den
+
+        def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in tb.slices(whole, text, SLICE_BYTES):
+                    values, off = shingle_sets(batch.column(text), k)
+                    out = []
+                    for lo, hi in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+                        bits = np.zeros(max(64, 1 << (8 * (hi - lo) - 1).bit_length()), bool)
+                        bits[(values[lo:hi] & U(len(bits) - 1)).astype(np.int64)] = True
+                        out.append(np.packbits(bits, bitorder="little").tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array(set_ids(values, off)), pa.array(out, pa.binary())], ["set_id", "bits"])
+
+        def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+                most, keep = n * (den - num) // (den + num), []
+                for x, y, m in zip(batch.column("ma"), batch.column("mb"), most.tolist(), strict=True):
+                    x, y = (np.frombuffer(v.as_buffer(), np.uint8) for v in (x, y))
+                    size = min(len(x), len(y))
+                    x, y = (v if len(v) == size else np.bitwise_or.reduce(v.reshape(-1, size), 0) for v in (x, y))
+                    keep.append(int(np.bitwise_count(x ^ y).sum()) <= m)
+                yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
+
+        found = self._texts(wanted).mapInArrow(maps, "set_id bigint, bits binary").dropDuplicates(["set_id"])
+        left, right = (found.select(F.col("set_id").alias(x), F.col("bits").alias(m)) for x, m in (("a", "ma"), ("b", "mb")))
+        return sized.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(bound, "a bigint, b bigint, na bigint, nb bigint")
+
     def _links(self, pairs: DataFrame) -> DataFrame:
         """(a, b) of the pairs that link.  pairs: (a, b), distinct."""
         size = self.sets.select("set_id", "n")
         sized = pairs.join(size.select(F.col("set_id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("set_id").alias("b"), F.col("n").alias("nb")), "b")
         sized = save(sized.where(F.least("na", "nb") * self.den >= F.greatest("na", "nb") * self.num), "pairs")
-        wanted = sized.select(F.col("a").alias("set_id")).union(sized.select("b")).distinct()
+        ends = lambda p: p.select(F.col("a").alias("set_id")).union(p.select("b")).distinct()
+        sized = save(self._possible(sized, ends(sized)), "possible")
+        release()
         text, k = self.text, self.k
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +341,7 @@ class Join:
                     segments = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.astype(np.int64)))
                     yield pa.RecordBatch.from_arrays([pa.array(set_ids(values, off)[owner[head]]), pa.array(fragment[head], pa.int32()), segments], ["set_id", "fragment", "segment"])
 
-        parts = self._texts(wanted).mapInArrow(run, "set_id bigint, fragment int, segment array<bigint>")
+        parts = self._texts(ends(sized)).mapInArrow(run, "set_id bigint, fragment int, segment array<bigint>")
         parts = save(parts.dropDuplicates(["set_id", "fragment"]), "segments")
         left = parts.select(F.col("set_id").alias("a"), "fragment", F.col("segment").alias("sa"))
         right = parts.select(F.col("set_id").alias("b"), "fragment", F.col("segment").alias("sb"))
@@ -283,6 +349,7 @@ class Join:
         summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
         out = save(summed.where(F.col("shared") * self.den >= (F.col("na") + F.col("nb") - F.col("shared")) * self.num).select("a", "b"), "links")
         drop(out.sparkSession, saved_path(parts))
+        release()
         return out
 
     def _refined(self, hard: DataFrame, level: int) -> DataFrame:
@@ -291,6 +358,24 @@ class Join:
         more = _signed(self._texts(hard.select("set_id").distinct()), self.text, self.k, self.classes, level)
         return more.withColumnRenamed("sig", "next").join(hard, "set_id").select(F.xxhash64("sig", "next").alias("sig"), "set_id")
 
+    def _stars(self, groups: DataFrame, comp: DataFrame | None, tried: DataFrame | None) -> DataFrame:
+        """(a, b): for each set one other of its signatures, the most central of another component, if they weren't compared before.
+
+        Of all partners that its signatures offer it takes the one offered most often.
+        """
+        rows = groups
+        if comp is None:
+            rows = rows.withColumn("comp", F.col("set_id"))
+        else:
+            rows = rows.join(comp, F.col("set_id") == F.col("node"), "left").select("sig", "set_id", "degree", F.coalesce("component", "set_id").alias("comp"))
+        centre = rows.groupBy("sig").agg(F.max(F.struct("degree", "set_id", "comp")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        offers = rows.join(centre, "sig").where("comp <> c.comp").groupBy("set_id", F.col("c.set_id").alias("other")).agg(F.count("*").alias("n"))
+        pairs = offers.select(F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b"), "set_id", "n")
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        best = pairs.groupBy("set_id").agg(F.max(F.struct("n", "a", "b")).alias("p"))
+        return best.select("p.a", "p.b").distinct()
+
     def components(self) -> DataFrame:
         """(doc_id, n, component): a row for each row of docs."""
         spark = self.docs.sparkSession
@@ -298,11 +383,22 @@ class Join:
         links = comp = None
         for level in range(LEVELS):
             groups = save(_sharing(rows), "groups")
-            # Each set first against one other: the head of most of its signatures.
-            heads = groups.where("set_id <> head").groupBy("set_id", "head").agg(F.count("*").alias("c")).groupBy("set_id").agg(F.max_by("head", F.struct("c", "head")).alias("a"))
-            found = self._links(heads.select("a", F.col("set_id").alias("b")))
-            links = found if links is None else links.union(found)
-            comp = save(connected_components(links, "a", "b"), "comp")
+            del rows
+            release()
+            # A set that shares more signatures is more central: edited copies agree more with their original than with each other.
+            degree = groups.groupBy("set_id").agg(F.count("*").alias("degree"))
+            groups = save(groups.select("sig", "set_id").join(degree, "set_id"), "groups")
+            comp, tried = None, None
+            for _ in range(STARS):
+                stars = save(self._stars(groups, comp, tried), "stars")
+                if stars.isEmpty():
+                    break
+                found = self._links(stars)
+                links = found if links is None else links.union(found)
+                tried = stars if tried is None else tried.union(stars)
+                comp = save(_components(links), "comp")
+            if comp is None:
+                break
             known = groups.select("sig", "set_id").join(comp, groups.set_id == comp.node, "left").select("sig", "set_id", F.coalesce("component", "set_id").alias("comp"))
             rest = save(_across(known), "across")
             drop(spark, saved_path(groups))
@@ -318,7 +414,7 @@ class Join:
                 easy = rest.where("not hard").select("a", "b")
             found = self._links(easy.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
             links = links.union(found)
-            comp = save(connected_components(links, "a", "b"), "comp")
+            comp = save(_components(links), "comp")
             if last or rest.where("hard").isEmpty():
                 break
             rows = self._refined(rest.where("hard"), level + 1)

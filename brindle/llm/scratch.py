@@ -8,6 +8,7 @@ recomputation of its tasks and never a table.
 from __future__ import annotations
 
 import atexit
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -69,6 +70,14 @@ def saved_path(df: DataFrame) -> str:
     return df._brindle_path
 
 
+def release() -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        spark._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
