@@ -12,10 +12,10 @@ pairs that differ too much.
 
 Copies are one set from the first step on.  In a few rounds
 each set is compared with one other, the most central of another component that
-its signatures offer; then all sets of different components that share a
-signature are, and a signature that still has many goes to the next level, where its sets
-must agree on a segment of another, independent order as well.  So no group
-gives all its pairs, and no link between different components is lost.
+its signatures offer; then the pairs of different components that share a
+signature are looked at in blocks, by counts of shingles in parts of the order,
+and only those that the counts don't rule out become rows and are verified.  So
+no group gives all its pairs, and no link between different components is lost.
 
 Set ids are 64-bit digests: two different sets among n share one with
 probability n**2 / 2**65.
@@ -37,10 +37,9 @@ from brindle.llm.scratch import drop, release, save, saved_path, shuffle_partiti
 SPARE = 2
 FRAGMENTS = 8
 SLICE_BYTES = 2 << 20
-#: Pairs that a signature may give for each of its sets before it goes to the next level; levels; ids that may be broadcast; links that one task may hold.
-EASE, LEVELS, SENT_IDS, ONE_TASK = 64, 3, 500_000, 500_000
-#: Rounds in which each set is compared with one other.
-STARS = 3
+#: Ids that may be broadcast; links that one task may hold; rounds in which each set is compared with one other; sets of a block; how many are compared at once.
+SENT_IDS, ONE_TASK, STARS, BLOCK = 500_000, 500_000, 3, 2048
+ROWS_AT_ONCE, PAIRS_AT_ONCE = 512, 8192
 U = np.uint64
 
 
@@ -93,12 +92,8 @@ def set_ids(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     return tb.mix(total[off[1:]] - total[off[:-1]] + (off[1:] - off[:-1]).astype(U)).astype(np.int64)
 
 
-def signatures(values: np.ndarray, off: np.ndarray, classes: Classes, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """(set, signature) of the segments of each set, under the order of a level.  values: sets one after another, sorted if level is 0."""
-    if level:
-        values = tb.mix(values + U(level) * U(0x9E3779B97F4A7C15))
-        for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
-            values[a:b].sort()
+def signatures(values: np.ndarray, off: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
+    """(set, signature) of the segments of each set.  values: sorted sets one after another."""
     n = np.diff(off)
     owner = np.repeat(np.arange(len(n)), n)
     total = np.concatenate([[U(0)], np.cumsum(tb.mix(values), dtype=U)])
@@ -108,7 +103,7 @@ def signatures(values: np.ndarray, off: np.ndarray, classes: Classes, level: int
         group = size_class - shift
         use = (n > 0) & (group >= 0) & (classes.differ[np.maximum(group, 0)] > 0)
         pieces = np.where(use, classes.pieces[np.maximum(group, 0)], 1)
-        salt = tb.mix((group + 1).astype(U) * U(0xD6E8FEB86659FD93) + U(level))
+        salt = tb.mix((group + 1).astype(U) * U(0xD6E8FEB86659FD93))
         fragment = ((values >> U(32)) * pieces[owner].astype(U)) >> U(32)
         new = np.ones(len(values), bool)
         new[1:] = (owner[1:] != owner[:-1]) | (fragment[1:] != fragment[:-1])
@@ -140,14 +135,14 @@ def _described(docs: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")).mapInArrow(run, f"doc_id {kind}, n bigint, set_id bigint")
 
 
-def _signed(docs: DataFrame, text: str, k: int, classes: Classes, level: int) -> DataFrame:
+def _signed(docs: DataFrame, text: str, k: int, classes: Classes) -> DataFrame:
     """(sig, set_id) of each text; of copies within a slice only once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in tb.slices(whole, text, SLICE_BYTES):
                 values, off = shingle_sets(batch.column(text), k)
-                ids, (sets, sigs) = set_ids(values, off), signatures(values, off, classes, level)
+                ids, (sets, sigs) = set_ids(values, off), signatures(values, off, classes)
                 _, firsts = np.unique(ids, return_index=True)
                 one = np.zeros(len(ids), bool)
                 one[firsts] = True
@@ -197,49 +192,47 @@ def _sharing(rows: DataFrame, more: list[str] | None = None) -> DataFrame:
     return dealt.mapInArrow(run, ", ".join(f"{c} bigint" for c in (*cols, "head")))
 
 
-def _across(rows: DataFrame) -> DataFrame:
-    """(hard, sig, a, b): pairs of different components within a signature; or, of a signature with too many, its sets (b null).
+def _survivors(table: pa.Table, num: int, den: int) -> pa.Table:
+    """(a, b) of the pairs of a block that share a signature, are of different components and whose counts don't rule them out.
 
-    rows: (sig, set_id, comp).  One signature's sets are held at a time.
+    A count vector says how many shingles of a set fall into each part of the
+    hash order; the sum of the differences is at most the number of shingles in
+    which two sets differ.  Pairs are looked at here and never become rows
+    unless they may link.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for batch in batches:
-            part = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "comp", "set_id")]
-            if held:
-                part = [np.concatenate(x) for x in zip(held, part, strict=True)]
-            if not len(part[0]):
-                continue
-            cut = int(np.searchsorted(part[0], part[0][-1], "left"))
-            held = [x[cut:] for x in part]
-            yield from pairs([x[:cut] for x in part])
-        if held:
-            yield from pairs(held)
-
-    def pairs(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        sig, comp, ids = part
-        if not len(sig):
-            return
-        edge = np.concatenate([[0], np.flatnonzero(sig[1:] != sig[:-1]) + 1, [len(sig)]])
-        mixed = comp[edge[:-1]] != comp[edge[1:] - 1]
-        for a, b in zip(edge[:-1][mixed].tolist(), edge[1:][mixed].tolist(), strict=True):
-            inner = np.concatenate([[0], np.flatnonzero(np.diff(comp[a:b])) + 1, [b - a]])
-            size = np.diff(inner)
-            x = ids[a:b]
-            if (b - a) ** 2 - int((size.astype(np.int64) ** 2).sum()) > 2 * EASE * (b - a):
-                yield rows_of(np.ones(b - a, bool), sig[a:b], x, None)
-                continue
-            after = b - a - np.repeat(inner[1:], size)  # sets of later components
-            left = np.repeat(x, after)
-            right = x[tb.ranges(np.repeat(inner[1:], size), after)]
-            yield rows_of(np.zeros(len(left), bool), np.full(len(left), sig[a]), left, right)
-
-    def rows_of(hard: np.ndarray, sig: np.ndarray, a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(hard), pa.array(sig), pa.array(a), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b)], ["hard", "sig", "a", "b"])
-
-    n = shuffle_partitions(rows.sparkSession)
-    return rows.repartition(n, "sig").sortWithinPartitions("sig", "comp", "set_id").mapInArrow(run, "hard boolean, sig bigint, a bigint, b bigint")
+    ids, comp, n, block = (table.column(c).to_numpy() for c in ("set_id", "comp", "n", "block"))
+    low, high = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+    raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("counts").combine_chunks()]
+    width = min(map(len, raw))
+    counts = np.stack([np.minimum(x.reshape(-1, width).sum(0), 255).astype(np.int16) for x in raw])
+    lists = table.column("sigs").combine_chunks()
+    owner = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+    sig = lists.flatten().to_numpy()
+    by = np.argsort(sig, kind="stable")
+    sig, owner = sig[by], owner[by]
+    edge = np.concatenate([[0], np.flatnonzero(sig[1:] != sig[:-1]) + 1, [len(sig)]])
+    out_a, out_b = [], []
+    for at in range(0, len(ids), ROWS_AT_ONCE):
+        to = min(at + ROWS_AT_ONCE, len(ids))
+        near = np.zeros((to - at, len(ids)), bool)
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            g = owner[lo:hi]
+            mine = g[(g >= at) & (g < to)]
+            if len(mine) and hi - lo > 1:
+                near[np.ix_(mine - at, g)] = True
+        x, y = np.nonzero(near)
+        x += at
+        keep = (ids[x] < ids[y]) & (comp[x] != comp[y]) & (np.minimum(n[x], n[y]) * den >= np.maximum(n[x], n[y]) * num)
+        if low != high:  # pairs within one block belong to that block's own task
+            keep &= block[x] != block[y]
+        x, y = x[keep], y[keep]
+        for k in range(0, len(x), PAIRS_AT_ONCE):
+            p, q = x[k : k + PAIRS_AT_ONCE], y[k : k + PAIRS_AT_ONCE]
+            differ = np.abs(counts[p] - counts[q]).sum(1)
+            may = differ <= (n[p] + n[q]) * (den - num) // (den + num)
+            out_a.append(ids[p[may]])
+            out_b.append(ids[q[may]])
+    return pa.table({"a": np.concatenate(out_a or [ids[:0]]), "b": np.concatenate(out_b or [ids[:0]])})
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -352,11 +345,36 @@ class Join:
         release()
         return out
 
-    def _refined(self, hard: DataFrame, level: int) -> DataFrame:
-        """Sets of too large signatures, each with the signatures of another order besides."""
-        hard = hard.select("sig", F.col("a").alias("set_id"))
-        more = _signed(self._texts(hard.select("set_id").distinct()), self.text, self.k, self.classes, level)
-        return more.withColumnRenamed("sig", "next").join(hard, "set_id").select(F.xxhash64("sig", "next").alias("sig"), "set_id")
+    def _residual(self, groups: DataFrame, comp: DataFrame) -> DataFrame:
+        """(a, b): pairs of different components that share a signature and may link.
+
+        Sets are dealt out by the most central set of each signature, which the
+        signatures of one family mostly agree on, so a set's counts travel a few
+        times and not once a signature.  A large family is cut into blocks of
+        about ``BLOCK`` sets, and each pair of blocks is a task.
+        """
+        text, k, num, den = self.text, self.k, self.num, self.den
+        rows = groups.join(comp, F.col("set_id") == F.col("node"), "left").select("sig", "set_id", "degree", F.coalesce("component", "set_id").alias("comp"))
+        centre = rows.groupBy("sig").agg(F.max(F.struct("degree", "set_id")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        members = rows.join(centre.select("sig", F.col("c.set_id").alias("centre")), "sig").groupBy("centre", "set_id", "comp").agg(F.collect_set("sig").alias("sigs"))
+        members = save(members, "members")
+        sizes = members.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in tb.slices(whole, text, SLICE_BYTES):
+                    values, off = shingle_sets(batch.column(text), k)
+                    out = []
+                    for lo, hi in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+                        bits = max(6, (hi - lo - 1).bit_length())
+                        out.append(np.minimum(np.bincount((values[lo:hi] & U((1 << bits) - 1)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array(set_ids(values, off)), pa.array(np.diff(off), pa.int64()), pa.array(out, pa.binary())], ["set_id", "n", "counts"])
+
+        counts = self._texts(members.select("set_id").distinct()).mapInArrow(count, "set_id bigint, n bigint, counts binary").dropDuplicates(["set_id"])
+        dealt = members.join(sizes, "centre").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")).join(counts, "set_id")
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+        dealt = dealt.select("centre", "lo", "hi", "block", "set_id", "comp", "n", "sigs", "counts")
+        return dealt.groupBy("centre", "lo", "hi").applyInArrow(lambda t: _survivors(t, num, den), "a bigint, b bigint").distinct()
 
     def _stars(self, groups: DataFrame, comp: DataFrame | None, tried: DataFrame | None) -> DataFrame:
         """(a, b): for each set one other of its signatures, the most central of another component, if they weren't compared before.
@@ -379,45 +397,27 @@ class Join:
     def components(self) -> DataFrame:
         """(doc_id, n, component): a row for each row of docs."""
         spark = self.docs.sparkSession
-        rows = _signed(self.docs, self.text, self.k, self.classes, 0)
-        links = comp = None
-        for level in range(LEVELS):
-            groups = save(_sharing(rows), "groups")
-            del rows
-            release()
-            # A set that shares more signatures is more central: edited copies agree more with their original than with each other.
-            degree = groups.groupBy("set_id").agg(F.count("*").alias("degree"))
-            groups = save(groups.select("sig", "set_id").join(degree, "set_id"), "groups")
-            comp, tried = None, None
-            for _ in range(STARS):
-                stars = save(self._stars(groups, comp, tried), "stars")
-                if stars.isEmpty():
-                    break
-                found = self._links(stars)
-                links = found if links is None else links.union(found)
-                tried = stars if tried is None else tried.union(stars)
-                comp = save(_components(links), "comp")
-            if comp is None:
-                break
-            known = groups.select("sig", "set_id").join(comp, groups.set_id == comp.node, "left").select("sig", "set_id", F.coalesce("component", "set_id").alias("comp"))
-            rest = save(_across(known), "across")
-            drop(spark, saved_path(groups))
-            if rest.isEmpty():
+        groups = save(_sharing(_signed(self.docs, self.text, self.k, self.classes)), "groups")
+        release()
+        # A set that shares more signatures is more central: edited copies agree more with their original than with each other.
+        degree = groups.groupBy("set_id").agg(F.count("*").alias("degree"))
+        groups = save(groups.select("sig", "set_id").join(degree, "set_id"), "groups")
+        links = tried = None
+        comp = spark.createDataFrame([], "node bigint, component bigint")
+        for _ in range(STARS):
+            stars = save(self._stars(groups, None if links is None else comp, tried), "stars")
+            if stars.isEmpty():
                 break
-            last = level == LEVELS - 1
-            if last and not rest.where("hard").isEmpty():
-                hard = rest.where("hard").select("sig", F.col("a").alias("set_id"))
-                # What agrees on a segment of each order and is still many: pairs by a join on the signature.
-                other = hard.select("sig", F.col("set_id").alias("b"))
-                easy = rest.where("not hard").select("a", "b").union(hard.select("sig", F.col("set_id").alias("a")).join(other, "sig").where("a < b").select("a", "b"))
-            else:
-                easy = rest.where("not hard").select("a", "b")
-            found = self._links(easy.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-            links = links.union(found)
+            found = self._links(stars)
+            links = found if links is None else links.union(found)
+            tried = stars if tried is None else tried.union(stars)
             comp = save(_components(links), "comp")
-            if last or rest.where("hard").isEmpty():
-                break
-            rows = self._refined(rest.where("hard"), level + 1)
+        if links is not None:
+            rest = save(self._residual(groups, comp).join(tried, ["a", "b"], "left_anti"), "rest")
+            release()
+            if not rest.isEmpty():
+                links = links.union(self._links(rest))
+                comp = save(_components(links), "comp")
         named = self.sets.join(comp, F.col("set_id") == F.col("node"), "left").select("set_id", "least", F.coalesce("component", "set_id").alias("comp"))
         named = save(named, "named")
         least = named.groupBy("comp").agg(F.min("least").alias("component"))
