@@ -382,6 +382,7 @@ def edited(rng, words, share):
 
 
 def test_near_duplicates(spark, odd, monkeypatch):
+    ship(spark)
     rng = random.Random(13)
     rows, i = [], 100
     for size in (3, 8, 20, 60, 200, 700):
@@ -394,8 +395,9 @@ def test_near_duplicates(spark, odd, monkeypatch):
     rows += odd
     got = Counter(map(tuple, ngram_join.near_duplicates(frame(spark, rows), k=4, num=85, den=100).collect()))
     assert got == joined(rows, 4, 85, 100)
-    # Signatures that count as too large, so that further levels are taken.
-    monkeypatch.setattr(ngram_join, "EASE", 0)
+    # No rounds with central sets first but one, and many small blocks.
+    monkeypatch.setattr(ngram_join, "STARS", 1)
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
     assert Counter(map(tuple, ngram_join.near_duplicates(frame(spark, rows), k=4, num=85, den=100).collect())) == joined(rows, 4, 85, 100)
     monkeypatch.undo()
     kept = ngram_join.drop_near_duplicates(frame(spark, rows))
