@@ -11,6 +11,8 @@ from brindle.functions import scalars as fn
 from brindle.operators.clean import top_per_group
 
 OVERFETCH = 30
+#: Query vectors broadcast at a time.
+BLOCK = 4096
 BRAND_SCORE, CATEGORY_SCORE, LINK_SCORE = 0.6, 0.75, 0.55
 
 
@@ -20,15 +22,26 @@ def nearest(vectors: DataFrame, key: str, column: str, query: Sequence[float], k
     return vectors.select(key, F.round(fn.index_score(F.col(column), literal), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
-def linked(queries: DataFrame, entities: DataFrame, query_key: str, entity_key: str, column: str, least: float = LINK_SCORE, k: int = 1) -> DataFrame:
-    """The k best entities of each query with at least that score.
+def linked(queries: DataFrame, entities: DataFrame, query_key: str, entity_key: str, column: str, least: float = LINK_SCORE, k: int = 1, *, apart: bool = False, block: int = BLOCK) -> DataFrame:
+    """The k best entities of each query with at least that score; apart: but for the row with the query's own key.
 
-    The queries are a stated set of mentions, small and broadcast; entities are
-    scanned once and only the best of each task travel.
+    Queries are counted and, if there are more than ``block``, dealt by key into
+    blocks of about so many.  A block is broadcast, the entities are scanned once
+    a block, and only the best of each task travel.
     """
-    q = F.broadcast(queries.select(F.col(query_key).alias("query"), F.col(column).alias("qv")))
-    scored = entities.select(F.col(entity_key).alias("entity"), F.col(column).alias("ev")).join(q).select("query", "entity", F.round(fn.index_score("qv", "ev"), 6).alias("score"))
-    return top_per_group(scored.where(F.col("score") >= least), ["query"], [F.desc("score"), F.col("entity")], k)
+    blocks = max(1, -(-queries.count() // block))
+    all_queries = queries.select(F.col(query_key).alias("query"), F.col(column).alias("qv"))
+    e = entities.select(F.col(entity_key).alias("entity"), F.col(column).alias("ev"))
+    out = None
+    for b in range(blocks):
+        q = F.broadcast(all_queries if blocks == 1 else all_queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b))
+        pairs = e.join(q)
+        if apart:
+            pairs = pairs.where("query <> entity")
+        scored = pairs.select("query", "entity", F.round(fn.index_score("qv", "ev"), 6).alias("score"))
+        best = top_per_group(scored.where(F.col("score") >= least), ["query"], [F.desc("score"), F.col("entity")], k)
+        out = best if out is None else out.union(best)
+    return out
 
 
 def conditions(filters: dict, products: DataFrame, brands: DataFrame, categories: DataFrame, key: str) -> DataFrame:

@@ -111,6 +111,13 @@ def entity_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.linked(v.where("vec_id < 20"), v.where("vec_id >= 20"), "vec_id", "vec_id", "embedding").drop("rank")
 
 
+@query("WITH s AS (SELECT a.vec_id AS query, b.vec_id AS entity, round((1 + list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))) / 2, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id) SELECT query, entity, score FROM s WHERE score >= 0.55 QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, entity) = 1")
+def entity_grounding_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row whose id 20 divides, against all other rows."""
+    v = table(spark, sf_dir, "embeddings")
+    return search.linked(v.where("vec_id % 20 = 0"), v, "vec_id", "vec_id", "embedding", apart=True).drop("rank")
+
+
 @query("WITH {REV}, top AS (SELECT asin, rating, helpful, event_time, l_orderkey, l_suppkey FROM rev WHERE asin <= 40 ORDER BY helpful DESC, event_time DESC, l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber || '-' || CAST(CAST(l_extendedprice * 100 AS BIGINT) AS VARCHAR) LIMIT 20), r AS (SELECT asin, 'review' AS kind, 'Review: ' || l_orderkey AS name, 'rated ' || rating AS value FROM (SELECT rev.*, l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber || '-' || CAST(CAST(l_extendedprice * 100 AS BIGINT) AS VARCHAR) AS review_id FROM rev WHERE asin <= 40 ORDER BY helpful DESC, event_time DESC, review_id LIMIT 20) QUALIFY row_number() OVER (PARTITION BY asin ORDER BY helpful DESC, event_time DESC, review_id) <= 5) SELECT p_partkey AS asin, 'attribute' AS kind, 'size' AS name, CAST(p_size AS VARCHAR) AS value FROM part WHERE p_partkey <= 40 UNION ALL SELECT p_partkey, 'attribute', 'type', p_type FROM part WHERE p_partkey <= 40 UNION ALL SELECT * FROM r")
 def product_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.round(F.col("l_extendedprice") * 100).cast("bigint"))

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +147,20 @@ def test_clean(spark):
     assert [r.item for r in clean.first_present(df, clean.ITEM_NAMES, "item").collect()] == ["b", "a"]
     with pytest.raises(ValueError):
         clean.first_present(df, clean.USER_NAMES, "user")
+
+
+@pytest.mark.parametrize("block", [4096, 2])
+def test_linked_whole(spark, block):
+    """Every query against all rows but itself, copies and low ids among them, in one block and in several."""
+    rng = random.Random(3)
+    v = {i: [rng.uniform(-1, 1) for _ in range(4)] for i in range(120)}
+    v[60] = v[3] = v[0]
+    df = spark.createDataFrame(list(v.items()), "vec_id bigint, embedding array<double>")
+    score = lambda a, b: round((1 + sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))) / 2, 6)
+    want = {}
+    for q in range(0, 120, 20):
+        s, e = min((-score(v[q], v[i]), i) for i in v if i != q)
+        want[q] = (e, -s)
+    got = search.linked(df.where("vec_id % 20 = 0"), df, "vec_id", "vec_id", "embedding", apart=True, block=block)
+    assert {r["query"]: (r.entity, pytest.approx(r.score)) for r in got.collect()} == want
+    assert want[0][0] == 3 and want[60][0] == 0
