@@ -163,6 +163,13 @@ def same_neighbour(edges: DataFrame, src: str, dst: str, start: Column) -> DataF
     return a.join(b, "dst").where("src <> other").select("src", "other", "dst")
 
 
+def same_groups(edges: DataFrame, src: str, dst: str) -> DataFrame:
+    """Sources that share a target, as (member, dst, size of the group) instead of pairs, whose number is the square of a group's size."""
+    members = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.col(src).alias("member"), F.col(dst).alias("dst")).distinct()
+    sizes = members.groupBy("dst").agg(F.count("*").alias("size")).where("size > 1")
+    return members.join(sizes, "dst").select("member", "dst", "size")
+
+
 def ancestors(edges: DataFrame, child: str, parent: str, most: int = 5) -> DataFrame:
     """(node, ancestor, hops, n_paths) for paths of 1 to ``most`` steps.
 

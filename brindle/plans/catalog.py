@@ -125,6 +125,14 @@ def product_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.evidence(r, attributes(spark, sf_dir), "asin", products(spark, sf_dir).where("asin <= 40"))
 
 
+@query("WITH {REV}, top AS (SELECT asin, rating, helpful, event_time, l_orderkey, l_suppkey FROM rev ORDER BY helpful DESC, event_time DESC, l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber || '-' || CAST(CAST(l_extendedprice * 100 AS BIGINT) AS VARCHAR) LIMIT 20), r AS (SELECT asin, 'review' AS kind, 'Review: ' || l_orderkey AS name, 'rated ' || rating AS value FROM (SELECT rev.*, l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber || '-' || CAST(CAST(l_extendedprice * 100 AS BIGINT) AS VARCHAR) AS review_id FROM rev ORDER BY helpful DESC, event_time DESC, review_id LIMIT 20) QUALIFY row_number() OVER (PARTITION BY asin ORDER BY helpful DESC, event_time DESC, review_id) <= 5) SELECT p_partkey AS asin, 'attribute' AS kind, 'size' AS name, CAST(p_size AS VARCHAR) AS value FROM part UNION ALL SELECT p_partkey, 'attribute', 'type', p_type FROM part UNION ALL SELECT * FROM r")
+def product_evidence_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all products."""
+    key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.round(F.col("l_extendedprice") * 100).cast("bigint"))
+    r = reviews(spark, sf_dir).select("asin", "helpful", "event_time", key.alias("review_id"), F.col("l_orderkey").cast("string").alias("title"), F.concat(F.lit("rated "), F.col("rating").cast("string")).alias("text"))
+    return search.evidence(r, attributes(spark, sf_dir), "asin", products(spark, sf_dir))
+
+
 @query("SELECT vec_id AS asin, position, fit FROM (SELECT vec_id, CAST(vec_id AS INTEGER) AS position, CASE WHEN vec_id % 3 = 0 THEN NULL ELSE CAST(label * 10 AS DOUBLE) END AS f, 0.5 + label / 20.0 AS score, CASE WHEN vec_id % 4 = 0 THEN NULL ELSE label > 3 END AS ok FROM embeddings) CROSS JOIN LATERAL (SELECT coalesce(f, score * 100) AS fit) WHERE coalesce(ok, true) ORDER BY fit DESC, position LIMIT 3")
 def critic_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, label = table(spark, sf_dir, "embeddings"), F.col("label")
@@ -150,6 +158,15 @@ def avg_rating_soft_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("asin", F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {AVG} SELECT p_partkey AS asin, round(a + (CASE WHEN contains(lower(p_type), 'steel') THEN 1 ELSE 0 END), 6) AS score FROM part LEFT JOIN av ON asin = p_partkey")
+def avg_rating_soft_score_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all products."""
+    rated = reviews(spark, sf_dir).groupBy("asin").agg(F.avg("rating").alias("avg_rating"))
+    base = products(spark, sf_dir).join(rated, "asin", "left")
+    found = search.preference_score(base, attributes(spark, sf_dir).where("name = 'type'"), "asin", ["STEEL"], [], F.col("avg_rating"))
+    return found.select("asin", F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {AVG} SELECT p_partkey AS asin, p_retailprice AS price, round(a, 6) AS avg_rating FROM part JOIN av ON asin = p_partkey WHERE round(a, 6) >= 3 AND p_retailprice <= 1500 ORDER BY round(a, 6) DESC, p_partkey LIMIT 10")
 def top_rated_under_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = stats.mean_and_count(reviews(spark, sf_dir), ["asin"], "rating").where("avg_rating >= 3")
@@ -341,6 +358,14 @@ def node_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.upsert_nodes(products(spark, sf_dir).where("asin <= 1000"), new, "asin")
 
 
+@query("SELECT coalesce(o.k, n.k) AS asin, o.title, CASE WHEN n.k IS NOT NULL THEN n.price ELSE o.price END AS price, n.size FROM (SELECT p_partkey AS k, p_name AS title, p_retailprice AS price FROM part) o FULL JOIN (SELECT p_partkey AS k, CASE WHEN p_size > 10 THEN p_retailprice + 1 END AS price, CAST(p_size AS DOUBLE) AS size FROM part) n ON o.k = n.k")
+def node_upsert_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with all products on both sides."""
+    part = table(spark, sf_dir, "part")
+    new = part.select(F.col("p_partkey").alias("asin"), F.when(F.col("p_size") > 10, F.col("p_retailprice") + 1).alias("price"), F.col("p_size").cast("double").alias("size"))
+    return graph.upsert_nodes(products(spark, sf_dir), new, "asin")
+
+
 @query("SELECT target_kind, count(*) AS n, CAST(sum(target) AS BIGINT) AS targets FROM (SELECT CASE WHEN l_suppkey IS NOT NULL AND l_partkey IS NOT NULL AND l_suppkey <> l_partkey THEN 'variant' ELSE 'parent' END AS target_kind, CASE WHEN l_suppkey <> l_partkey THEN l_suppkey ELSE coalesce(l_partkey, l_suppkey) END AS target FROM lineitem) GROUP BY 1")
 def variant_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = graph.split_targets(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey")
@@ -363,6 +388,12 @@ def same_brand_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.same_neighbour(table(spark, sf_dir, "part"), "p_partkey", "p_brand", F.col("p_partkey") <= 5)
 
 
+@query("SELECT p_partkey AS member, p_brand AS dst, count(*) OVER (PARTITION BY p_brand) AS size FROM part WHERE p_brand IS NOT NULL QUALIFY size > 1")
+def same_brand_products_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All products by brand, as groups with membership: the pairs are those of two members of a group."""
+    return graph.same_groups(table(spark, sf_dir, "part"), "p_partkey", "p_brand")
+
+
 @query(f"WITH {BASKET}, p AS (SELECT DISTINCT asin AS src, unnest(members) AS dst FROM cs) SELECT src, dst, CASE WHEN p_retailprice < 1000 THEN 'USD_400.00_1000.00' WHEN p_retailprice < 1500 THEN 'USD_1000.00_1500.00' WHEN p_retailprice >= 1500 THEN 'USD_1500.00_inf' END AS range_id FROM p LEFT JOIN part ON p_partkey = dst WHERE src <= 20 AND src <> dst")
 def bought_together_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = graph.bought_together(sets(spark, sf_dir), "asin").where("src <= 20").distinct()
@@ -370,6 +401,14 @@ def bought_together_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.join(priced, F.col("dst") == F.col("asin"), "left").select("src", "dst", "range_id")
 
 
+@query(f"WITH {BASKET}, p AS (SELECT DISTINCT asin AS src, unnest(members) AS dst FROM cs) SELECT src, dst, CASE WHEN p_retailprice < 1000 THEN 'USD_400.00_1000.00' WHEN p_retailprice < 1500 THEN 'USD_1000.00_1500.00' WHEN p_retailprice >= 1500 THEN 'USD_1500.00_inf' END AS range_id FROM p LEFT JOIN part ON p_partkey = dst WHERE src <> dst")
+def bought_together_buckets_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all products."""
+    pairs = graph.bought_together(sets(spark, sf_dir), "asin").distinct()
+    priced = graph.price_edges(products(spark, sf_dir), "asin", "price")
+    return pairs.join(priced, F.col("dst") == F.col("asin"), "left").select("src", "dst", "range_id")
+
+
 REGION = "ed AS (SELECT DISTINCT c, p FROM (SELECT 's' || s_suppkey AS c, 'n' || s_nationkey AS p FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation))"
 
 
@@ -407,6 +446,14 @@ def recent_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.recent(line, ["l_partkey"], order, 3).select(F.col("l_partkey").alias("asin"), "l_orderkey", "l_shipdate", "k")
 
 
+@query("SELECT l_partkey AS asin, l_orderkey, l_shipdate, CAST(k AS INTEGER) AS k FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_orderkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice) AS k FROM lineitem) WHERE k <= 3")
+def recent_reviews_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all products."""
+    line = table(spark, sf_dir, "lineitem")
+    order = [F.desc("l_shipdate"), *(F.col(c) for c in ORDER if c != "l_partkey")]
+    return graph.recent(line, ["l_partkey"], order, 3).select(F.col("l_partkey").alias("asin"), "l_orderkey", "l_shipdate", "k")
+
+
 @query("SELECT p_partkey AS asin FROM part WHERE contains(lower(p_type), 'a') AND p_size = 10")
 def category_and_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
     typed = categories(spark, sf_dir).where(search.any_contains("name", ["a"]) & ~F.col("name").startswith("Brand")).select("asin").distinct()

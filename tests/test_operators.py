@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from brindle.functions import models
 from brindle.functions import scalars as fn
 from brindle.operators import clean, graph, preferences, search, state
+from brindle.plans import catalog
 from brindle.sources import files
 from brindle.streaming import state as streams
 
@@ -164,3 +165,28 @@ def test_linked_whole(spark, block):
     got = search.linked(df.where("vec_id % 20 = 0"), df, "vec_id", "vec_id", "embedding", apart=True, block=block)
     assert {r["query"]: (r.entity, pytest.approx(r.score)) for r in got.collect()} == want
     assert want[0][0] == 3 and want[60][0] == 0
+
+
+def test_same_groups(spark):
+    """Groups with membership stand for the very pairs that brute force finds, in a hot group too."""
+    rng = random.Random(5)
+    edges = [(i, "hot" if i < 60 else rng.choice("abcdefgh")) for i in range(100)] + [(1, "hot"), (100, "alone"), (101, None)]
+    got = graph.same_groups(spark.createDataFrame(edges, "p bigint, b string"), "p", "b").collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r.dst, []).append(r)
+    assert all(len(g) == r.size for g in groups.values() for r in g)
+    assert {(x.member, y.member, d) for d, g in groups.items() for x in g for y in g if x.member != y.member} == {(x, y, b) for x, b in edges for y, c in edges if b is not None and b == c and x != y}
+
+
+@pytest.mark.parametrize("name", ["product_evidence", "avg_rating_soft_score", "node_upsert", "same_brand_products", "bought_together_buckets", "recent_reviews"])
+def test_no_product_is_left_out(spark, name):
+    """Every product that the tables speak of has a row, not only those with low ids."""
+    found = catalog.QUERIES[f"{name}_whole"](spark, "/root/testdata/sf0.01")
+    key = "member" if name.startswith("same") else "src" if name.startswith("bought") else "asin"
+    table = lambda t: spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet")
+    if name.startswith("bought"):
+        want = table("lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("k"), F.max("l_partkey").alias("m")).where("k < m").select("k")
+    else:
+        want = table("lineitem").select("l_partkey") if name.startswith("recent") else table("part").select("p_partkey")
+    assert {r[0] for r in found.select(key).distinct().collect()} == {r[0] for r in want.distinct().collect()}
