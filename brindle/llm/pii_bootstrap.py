@@ -19,7 +19,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.scratch import save
+from brindle.llm.scratch import drop, save, saved_path
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns, written so that each start is tried in constant time and no repetition is recursive: a run is entered at its start, or where the last match ended.
@@ -146,7 +146,9 @@ def bootstrap(found: DataFrame, *, rounds: int = ROUNDS, sure: float = SURE, sup
     The edges are distinct (kind, pattern, instance); counts come by partial sums,
     so a context or an identifier that is everywhere costs no more than its
     distinct partners.  Instances of one pattern have weights: a seed 1, another
-    its score of the round before.
+    its score of the round before.  After ``rounds`` of scores the instances that
+    are sure become seeds, support for patterns like the first ones, and the
+    scores are made anew, until no instance joins; seeds only grow, so it ends.
     """
 
     def edges(column: str, seed: bool) -> DataFrame:
@@ -154,8 +156,22 @@ def bootstrap(found: DataFrame, *, rounds: int = ROUNDS, sure: float = SURE, sup
         return x.where("pattern is not null").distinct().withColumn("seed", F.lit(1.0 if seed else 0.0))
 
     graph = save(edges("base", True).union(edges("other", False)).groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed")), "graph")
-    score = None
-    patterns = None
+    known = graph.where("seed = 1").count()
+    while True:
+        patterns, score = _scored(graph, rounds, sure, support)
+        found_sure = score.where(F.col("score") >= sure).select("kind", "instance", F.lit(1.0).alias("sure"))
+        grown = save(graph.join(found_sure, ["kind", "instance"], "left").select("kind", "pattern", "instance", F.greatest("seed", F.coalesce("sure", F.lit(0.0))).alias("seed")), "graph")
+        now = grown.where("seed = 1").count()
+        drop(graph.sparkSession, saved_path(graph), saved_path(score))
+        if now == known:
+            return patterns.where((F.col("seeds") >= support) & (F.col("trust") >= sure)).select("kind", "pattern")
+        drop(graph.sparkSession, saved_path(patterns))
+        graph, known = grown, now
+
+
+def _scored(graph: DataFrame, rounds: int, sure: float, support: int) -> tuple[DataFrame, DataFrame]:
+    """((kind, pattern, seeds, trust), (kind, instance, score)) after some rounds from the seeds of the graph."""
+    score = patterns = None
     for _ in range(rounds):
         known = graph.withColumn("weight", F.col("seed")) if score is None else graph.join(score, ["kind", "instance"], "left").withColumn("weight", F.greatest("seed", F.coalesce("score", F.lit(0.0))))
         # Of all instances of a pattern, of whatever kind, the share that is known to be of this one, smoothed by half an unknown.
@@ -166,7 +182,7 @@ def bootstrap(found: DataFrame, *, rounds: int = ROUNDS, sure: float = SURE, sup
         picked = graph.join(good, ["kind", "pattern"])
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-6)))))
         score = save(picked.groupBy("kind", "instance").agg((1 - doubt).alias("score")), "scores")
-    return patterns.where((F.col("seeds") >= support) & (F.col("trust") >= sure)).select("kind", "pattern")
+    return patterns, score
 
 
 def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -308,6 +308,23 @@ def test_bootstrap_finds_unseen(spark):
     assert masked[100] == "they said reach me at <EMAIL> today" and masked[102] == "plain words" and masked[103] is None
 
 
+def test_bootstrap_feeds_back(spark):
+    """What one pattern finds induces the next one, over three hops; none of the later patterns has a seed."""
+    ship(spark)
+    rows = [(i, f"note {i} please reach me at user{i}@mail.example.com or not") for i in range(40)]
+    n = 100
+    for context, names in (("reach me at", "a0 b0 c0 d0"), ("or write to", "a0 b0 c0 d0 a1 b1 c1"), ("they sent from", "a1 b1 c1 a2")):
+        for name in names.split():
+            rows.append((n, f"now {context} {name}@localhost today"))
+            n += 1
+    rows += [(n, "now they sent from last@localhost today"), (n + 1, "an odd place 12@34 nothing")]
+    found = {r.doc_id: [tuple(x) for x in r.added] for r in pii_bootstrap.find_pii(frame(spark, rows)).collect()}
+    for i, t in rows[40:-1]:
+        at = t.index(" today")
+        assert found[i] == [("email", t.rindex(" ", 0, at) + 1, at)], t
+    assert not found[n + 1] and not any(found[i] for i in range(40))
+
+
 # --- 6 ---------------------------------------------------------------------------
 
 
