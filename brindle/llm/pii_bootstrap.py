@@ -1,8 +1,9 @@
 """Personal data by base patterns and bootstrapped contextual extraction.
 
 Base spans come from fixed patterns and checks.  They are the seeds: the two
-words before a seed are a lexical pattern for its kind.  Tokens with digits or
-an at sign that no base pattern takes are candidates, each with its context.
+words before a seed's token are a lexical pattern for its kind.  Tokens with
+digits or an at sign that no base pattern takes, and stretches of them, are
+candidates, each with its context.
 Patterns and instances form a bipartite graph; its scores are iterated: a
 pattern is as sure as the instances it has picked out so far, an instance as
 sure as the independent patterns that pick it.  Instances of sure patterns join
@@ -31,8 +32,8 @@ PATTERNS = {
 }
 #: What a text must have for a pattern to be tried at all.
 NEEDED = {"email": "@", "ip": ".", "phone": "+"}
-#: Tokens with a digit or an at sign, and such tokens one blank apart.
-CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+(?:\x20[^\x20\x09-\x0D0-9@]{0,2}[0-9][^\x20\x09-\x0D]*+)*+"
+#: The first of two words before a token with a digit or an at sign; looked ahead at: the space up to the second word, it and the space after, the token, and as many such tokens one blank apart as an identifier has digits at most.
+BEFORE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]++(?=([\x20\x09-\x0D]++[^\x20\x09-\x0D]++[\x20\x09-\x0D]++)([^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)((?:\x20[^\x20\x09-\x0D0-9@]{0,2}[0-9][^\x20\x09-\x0D]*+){0,18}+))"
 #: Shapes that an unseen identifier of a kind may have, without the marks around it.
 SHAPES = {
     "email": r"^[^\s@]+@[^\s@]*[A-Za-z0-9][^\s@]*$",
@@ -41,9 +42,12 @@ SHAPES = {
     "phone": r"^[(]?[0-9](?:[ ().-]{0,2}[0-9]){6,14}$",
 }
 MARKS = r"\x21-\x24\x26-\x2A\x2C-\x2F\x3A-\x3F\x5B-\x60\x7B-\x7E"
+#: A stretch of tokens that may be an identifier with blanks in it, as long as it goes.
+RUN = rf"^[{MARKS}]*[0-9](?:[ ().-]{{0,2}}[0-9]){{6,18}}[{MARKS}]*(?=\x20|$)"
 ROUNDS, SURE, SUPPORT = 3, 0.8, 3
 SENT_ROWS = 200_000
 NO_SPANS = "array<struct<start: int, stop: int, found: string, gap: string>>"
+NO_TOKENS = "array<struct<start: int, stop: int, token: string, rest: string, pattern: string>>"
 
 
 def _spans(text: Column, pattern: str) -> Column:
@@ -89,11 +93,24 @@ def _of_kind(kind: str, x: Column) -> Column:
 
 
 def _seed(kind: str, x: Column) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), F.lower(x["found"]).alias("instance"), _tail(x["gap"]).alias("tail"))
+    """A base span; its context is that of the token in which it starts, null where less than two words come before."""
+    token = F.get(F.filter("__other", lambda t: (t["start"] <= x["start"]) & (x["start"] < t["stop"])), F.lit(0))
+    return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), F.lower(x["found"]).alias("instance"), token["pattern"].alias("pattern"))
+
+
+def _tokens(text: Column) -> Column:
+    """array<struct<start, stop, token, rest, pattern>>: tokens with a digit or an at sign, each with its context and the tokens after it one blank apart."""
+    parts = F.arrays_zip(F.regexp_extract_all(text, F.lit(BEFORE), 1).alias("between"), F.regexp_extract_all(text, F.lit(BEFORE), 2).alias("token"), F.regexp_extract_all(text, F.lit(BEFORE), 3).alias("rest"))
+
+    def one(x: Column, p: Column) -> Column:
+        start = x["stop"] + F.length(p["between"])
+        return F.struct(start.alias("start"), (start + F.length(p["token"])).alias("stop"), p["token"].alias("token"), p["rest"].alias("rest"), _context(x["found"], p["between"]).alias("pattern"))
+
+    return F.zip_with(_spans(text, BEFORE), parts, one)
 
 
 def with_base(docs: DataFrame, text: str) -> DataFrame:
-    """docs with an array of base spans for each kind (columns ``__email`` ...) and the candidates (``__other``)."""
+    """docs with an array of base spans for each kind (columns ``__email`` ...) and the tokens that have a context (``__other``)."""
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     docs = docs.withColumn("__t", t)
     none = F.array().cast(NO_SPANS)
@@ -102,39 +119,45 @@ def with_base(docs: DataFrame, text: str) -> DataFrame:
     for kind in KINDS:
         tried = F.when(body.contains(NEEDED[kind]), _spans(body, PATTERNS[kind])).otherwise(none) if kind in NEEDED else _spans(body, PATTERNS[kind])
         columns[f"__{kind}"] = F.filter(tried, partial(_checked, kind))
-    columns["__other"] = F.when(body.rlike("[0-9@]"), _spans(body, CANDIDATE)).otherwise(none)
+    columns["__other"] = F.when(body.rlike("[0-9@]"), _tokens(body)).otherwise(F.array().cast(NO_TOKENS))
     return docs.withColumns(columns).drop("__t")
 
 
-def _context(gap: Column) -> Column:
-    """The two words before, in lower case and without marks at their ends; null if the gap has not as many."""
-    words = F.regexp_extract(gap, r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++([^\x20\x09-\x0D]++)[\x20\x09-\x0D]*$", 1), F.regexp_extract(gap, r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++([^\x20\x09-\x0D]++)[\x20\x09-\x0D]*$", 2)
-    bare = [F.lower(F.regexp_replace(w, rf"^[{MARKS}]+|[{MARKS}]+$", "")) for w in words]
+def _context(first: Column, second: Column) -> Column:
+    """Two words in lower case and without marks at their ends; null if nothing is left of one."""
+    bare = [F.lower(F.regexp_replace(w, rf"^[{MARKS}]+|[{MARKS}]+$", "")) for w in (first, F.regexp_replace(second, r"[\x20\x09-\x0D]+", ""))]
     return F.when((bare[0] != "") & (bare[1] != ""), F.concat_ws(" ", *bare))
 
 
-def _tail(gap: Column) -> Column:
-    """The last part of a gap, enough for its last words: contexts don't pay for long gaps."""
-    return F.substring(gap, F.greatest(F.length(gap) - 199, F.lit(1)), F.lit(200))
-
-
 def described(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(doc_id, hash, base, other): spans of a row as (kind, start, stop, instance, pattern) and candidates alike, kind by shape, null where none fits."""
+    """(doc_id, hash, base, other): spans of a row as (kind, start, stop, instance, pattern) and candidates alike.
+
+    Candidates are each token by itself and, if longer, the longest stretch from
+    it on that ends before the next base span, where they have a kind's shape.
+    """
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = with_base(docs.select(F.col(f"`{id_col}`").alias("doc_id"), t.alias("text"), F.xxhash64(t).alias("hash")), "text")
     base = F.concat(*(F.transform(f"__{kind}", partial(_seed, kind)) for kind in KINDS))
     rows = rows.select("doc_id", "hash", base.alias("base"), "__other")
 
-    def bare(x: Column) -> Column:
-        lead = F.length(F.regexp_extract(x["found"], rf"^[{MARKS}]*", 0))
-        trail = F.length(F.regexp_extract(x["found"], rf"[{MARKS}]*$", 0))
-        keep = F.substring(x["found"], lead + 1, F.length(x["found"]) - lead - trail)
+    def bare(x: Column, found: Column) -> Column:
+        lead = F.length(F.regexp_extract(found, rf"^[{MARKS}]*", 0))
+        trail = F.length(F.regexp_extract(found, rf"[{MARKS}]*$", 0))
+        keep = F.substring(found, lead + 1, F.length(found) - lead - trail)
         kind = F.lit(None).cast("string")
         for k in reversed(KINDS):
             kind = F.when(keep.rlike(SHAPES[k]), k).otherwise(kind)
-        return F.struct(kind.alias("kind"), (x["start"] + lead).alias("start"), (x["stop"] - trail).alias("stop"), F.lower(keep).alias("instance"), _tail(x["gap"]).alias("tail"))
+        return F.struct(kind.alias("kind"), (x["start"] + lead).alias("start"), (x["start"] + F.length(found) - trail).alias("stop"), F.lower(keep).alias("instance"), x["pattern"].alias("pattern"))
+
+    def both(x: Column) -> Column:
+        whole = F.concat(x["token"], x["rest"])
+        ahead = F.array_min(F.transform(F.filter("base", lambda b: b["start"] > x["start"]), lambda b: b["start"]))
+        run = F.regexp_extract(F.substring(whole, F.lit(1), F.coalesce(ahead - x["start"], F.length(whole))), RUN, 0)
+        alone = bare(x, x["token"])
+        return F.when((x["rest"] != "") & (F.length(run) > F.length(x["token"])), F.array(alone, bare(x, run))).otherwise(F.array(alone))
 
-    other = F.filter(F.transform("__other", bare), lambda x: x["kind"].isNotNull())
+    tokens = F.filter("__other", lambda x: x["pattern"].isNotNull())
+    other = F.filter(F.flatten(F.transform(tokens, both)), lambda x: x["kind"].isNotNull())
     rows = rows.select("doc_id", "hash", "base", other.alias("other"))
     free = F.expr("filter(other, x -> not exists(base, b -> b.start < x.stop and x.start < b.stop))")
     return rows.select("doc_id", "hash", "base", free.alias("other"))
@@ -152,7 +175,7 @@ def bootstrap(found: DataFrame, *, rounds: int = ROUNDS, sure: float = SURE, sup
     """
 
     def edges(column: str, seed: bool) -> DataFrame:
-        x = found.select(F.explode(column).alias("x")).select("x.kind", "x.instance", _context(F.col("x.tail")).alias("pattern"))
+        x = found.select(F.explode(column).alias("x")).select("x.kind", "x.instance", "x.pattern")
         return x.where("pattern is not null").distinct().withColumn("seed", F.lit(1.0 if seed else 0.0))
 
     graph = save(edges("base", True).union(edges("other", False)).groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed")), "graph")
@@ -193,10 +216,12 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", **o
     """
     found = save(described(docs, id_col, text), "spans")
     rules = save(bootstrap(found, **options), "rules")
-    hits = found.where("size(other) > 0").select("doc_id", "hash", F.explode("other").alias("x")).select("doc_id", "hash", "x.kind", "x.start", "x.stop", _context(F.col("x.tail")).alias("pattern"))
+    hits = found.where("size(other) > 0").select("doc_id", "hash", F.explode("other").alias("x")).select("doc_id", "hash", "x.kind", "x.start", "x.stop", "x.pattern")
     few = rules.count() <= SENT_ROWS
     hits = hits.join(F.broadcast(rules) if few else rules, ["kind", "pattern"]).select("doc_id", "hash", F.struct("kind", "start", "stop").alias("x")).distinct()
-    added = save(hits.groupBy("doc_id", "hash").agg(F.sort_array(F.collect_list("x")).alias("added")), "added")
+    # Of a span and a longer one around it the longer stays.
+    widest = F.expr("filter(added, x -> not exists(added, y -> y.start <= x.start and x.stop <= y.stop and y.stop - y.start > x.stop - x.start))")
+    added = save(hits.groupBy("doc_id", "hash").agg(F.sort_array(F.collect_list("x")).alias("added")).select("doc_id", "hash", widest.alias("added")), "added")
     on = found.doc_id.eqNullSafe(added.doc_id) & (found.hash == added.hash)
     joined = found.join(F.broadcast(added) if added.count() <= SENT_ROWS else added, on, "left")
     base = F.transform(found.base, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop")))

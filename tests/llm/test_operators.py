@@ -325,6 +325,27 @@ def test_bootstrap_feeds_back(spark):
     assert not found[n + 1] and not any(found[i] for i in range(40))
 
 
+def test_candidates_and_contexts(spark):
+    """Tokens by themselves and joined, beside base spans, with words before them that hold digits or are far from the last match."""
+    ship(spark)
+    rows = [(i, f"note {i} please reach me at user{i}@mail.example.com or not") for i in range(12)]
+    rows += [(20 + i, f"a{i}@b.example.com in room 5 call +49 30 {7000000 + 37 * i} or not") for i in range(12)]
+    rows += [(40 + i, f"at {'x' * 250} hub u{i}@mail.example.com") for i in range(12)]
+    want = {
+        100: ("reach me at bob@localhost 2nd floor", "email", "bob@localhost"),
+        101: ("reach me at bob@localhost 9.9.9.9 4 times", "email", "bob@localhost"),
+        102: ("in room 5 call 5551234567", "phone", "5551234567"),
+        103: ("in room 5 call (555) 123 4567 2nd floor", "phone", "555) 123 4567"),
+        104: ("in room 5 call 555 123 4567 9.9.9.9", "phone", "555 123 4567"),
+        105: ("1.2.3.4 reach me at (bob@localhost)", "email", "bob@localhost"),
+        106: (f"at {'x' * 250} hub bob@localhost", "email", "bob@localhost"),
+    }
+    rows += [(i, t) for i, (t, _, _) in want.items()]
+    found = {r.doc_id: [tuple(x) for x in r.added] for r in pii_bootstrap.find_pii(frame(spark, rows)).collect()}
+    assert {i: [(k, t[a:b]) for k, a, b in found[i]] for i, (t, _, _) in want.items()} == {i: [(k, x)] for i, (t, k, x) in want.items()}
+    assert not any(found[i] for i in found if i < 100)
+
+
 # --- 6 ---------------------------------------------------------------------------
 
 
