@@ -39,26 +39,24 @@ from brindle.llm.scratch import new_path, save, shuffle_partitions
 
 MAGIC, HEAD = b"RPG1", struct.Struct("<4s6I")
 SHARD_IDS, SLICE_BYTES = 1 << 20, 2 << 20
-LEAST, ROUNDS = 8, 12
+LEAST = 8
 
 
 # --- grammar -----------------------------------------------------------------
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, base: int, *, least: int = LEAST, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, base: int, *, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(rules, lengths, symbols, ends in symbols) of a shard; ends: where texts end.
 
     In a round all pairs seen ``least`` times or more, the most frequent first as
     far as symbols last, get nonterminals; of overlapping occurrences the left
-    ones are replaced.
+    ones are replaced.  Rounds go on until no pair is so frequent or symbols run out.
     """
     room = max(0, (1 << 16) - base) if base <= 1 << 16 else (1 << 31) - base
     seq, last = ids.astype(np.int64), np.zeros(len(ids), bool)
     last[ends[ends > 0] - 1] = True
     rules, lengths = [np.zeros((0, 2), np.int64)], np.ones(base, np.int64)
-    for _ in range(rounds):
-        if len(seq) < 2 or not room:
-            break
+    while len(seq) > 1 and room:
         code = (seq[:-1] << 32) | seq[1:]
         ordered = np.sort(code[~last[:-1]])
         if not len(ordered):
@@ -88,8 +86,6 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, *, least: int = LEAST
         keep[at + 1] = False
         seq, last = seq[keep], last[keep]
         room -= len(used)
-        if len(at) * 50 < len(seq):
-            break
     inner = np.flatnonzero(last) + 1
     out_ends = np.zeros(len(ends), np.int64)
     full = np.diff(np.concatenate([[0], ends])) > 0

@@ -228,6 +228,16 @@ def test_grammar():
         assert [shard.text(k).tolist() for k in range(len(ends))] == [x.tolist() for x in np.split(ids, ends[:-1])]
 
 
+def test_grammar_is_whole():
+    """No frequent pair is left while there are symbols: after more rounds than twelve, and where rounds replace little."""
+    rng = np.random.default_rng(4)
+    rare = np.concatenate([rng.permutation(20_000).reshape(-1, 2), np.tile([[7, 8, 9, 10, 11, 12]], (9, 1)).reshape(-1, 2)]).ravel()
+    for ids in (np.tile([1, 2], 1 << 17), rare):
+        rules, _, seq, ends = repair_tokens.compress(ids.astype(np.uint32), np.array([len(ids)]), 49_000)
+        assert max(Counter(zip(seq[:-1].tolist(), seq[1:].tolist(), strict=True)).values(), default=0) < repair_tokens.LEAST and len(rules) < (1 << 16) - 49_000
+        assert ends.tolist() == [len(seq)] and repair_tokens.expand(seq, rules, 49_000).tolist() == ids.tolist()
+
+
 def test_packing(spark, odd):
     capacity, path = 64, public_tokenizers.path("byte_bpe_50k.json")
     got = complement_pack.pack(frame(spark, odd), path, capacity=capacity).collect()
