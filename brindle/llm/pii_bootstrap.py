@@ -15,12 +15,14 @@ gaps between them, in code points.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.scratch import drop, save, saved_path
+from brindle.llm.scratch import drop, free_names, save, saved_path, sendable
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns, written so that each start is tried in constant time and no repetition is recursive: a run is entered at its start, or where the last match ended.
@@ -45,24 +47,67 @@ MARKS = r"\x21-\x24\x26-\x2A\x2C-\x2F\x3A-\x3F\x5B-\x60\x7B-\x7E"
 #: A stretch of tokens that may be an identifier with blanks in it, as long as it goes.
 RUN = rf"^[{MARKS}]*[0-9](?:[ ().-]{{0,2}}[0-9]){{6,18}}[{MARKS}]*(?=\x20|$)"
 ROUNDS, SURE, SUPPORT = 3, 0.8, 3
-SENT_ROWS = 200_000
-NO_SPANS = "array<struct<start: int, stop: int, found: string, gap: string>>"
+#: Items of a block of a pass; beyond every text's end.
+HELD, END = 128, 2**31 - 1
 NO_TOKENS = "array<struct<start: int, stop: int, token: string, rest: string, pattern: string>>"
 
 
-def _spans(text: Column, pattern: str) -> Column:
-    """array<struct<start, stop, found, gap>>: the matches with the text between each and the one before."""
+@dataclass(frozen=True)
+class Pass:
+    """A pass over items that gives a value for each; step: (state, item) -> (state after, value)."""
+
+    items: Column
+    state: dict[str, Column]
+    step: Callable[[Column, Column], tuple[dict[str, Column], Column]]
+    kind: str
+
+    def _after(self, state: Column, x: Column) -> Column:
+        return F.struct(*(v.alias(k) for k, v in self.step(state, x)[0].items()))
+
+    def starts(self, blocks: str) -> Column:
+        """The state before each block."""
+        first = F.struct(*(v.alias(k) for k, v in self.state.items()))
+        through = lambda acc, block: F.struct(F.aggregate(block, acc["now"], self._after).alias("now"), F.concat(acc["out"], F.array(acc["now"])).alias("out"))
+        return F.aggregate(blocks, F.struct(first.alias("now"), F.slice(F.array(first), 1, 0).alias("out")), through, lambda acc: acc["out"])
+
+    def values(self, blocks: str) -> Column:
+        none = F.array().cast(f"array<{self.kind}>")
+
+        def one(acc: Column, x: Column) -> Column:
+            return F.struct(self._after(acc["now"], x).alias("now"), F.concat(acc["out"], F.array(self.step(acc["now"], x)[1].cast(self.kind))).alias("out"))
+
+        of_block = lambda block, now: F.aggregate(block, F.struct(now.alias("now"), none.alias("out")), one, lambda acc: acc["out"])
+        return F.flatten(F.zip_with(blocks, self.starts(blocks), of_block))
+
+
+def _passed(df: DataFrame, passes: dict[str, Pass]) -> DataFrame:
+    """df with what the passes give as columns.
+
+    An aggregation over an array copies what it has gathered at each step.  So
+    items go by blocks of ``HELD``, each with the state before it, and only
+    within a block does an array grow.
+    """
+    names = list(passes)
+    items, blocks = ([free for free in free_names(df, *(f"{what}_{k}" for k in range(len(names))))] for what in ("items", "blocks"))
+    df = df.withColumns({i: passes[n].items for i, n in zip(items, names, strict=True)})
+    cut = "if(size({0}) > 0, transform(sequence(0, (size({0}) - 1) div {1}), b -> slice({0}, cast(b * {1} + 1 AS int), {1})), slice(array({0}), 1, 0))"
+    df = df.withColumns({b: F.expr(cut.format(i, HELD)) for b, i in zip(blocks, items, strict=True)})
+    return df.withColumns({n: passes[n].values(b) for b, n in zip(blocks, names, strict=True)}).drop(*items, *blocks)
+
+
+def _spans(text: Column, pattern: str, tried: Column | None = None) -> Pass:
+    """array<struct<start, stop, found, gap>>: the matches, where the text is to be tried, with the text between each and the one before."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
     pairs = F.zip_with(found, F.slice(gaps, 1, F.greatest(F.size(found), F.lit(1))), lambda m, g: F.struct(m.alias("found"), g.alias("gap")))
     pairs = F.filter(pairs, lambda x: x["found"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(NO_SPANS).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
         a = acc["at"] + F.length(x["gap"])
         b = a + F.length(x["found"])
-        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("stop"), x["found"].alias("found"), x["gap"].alias("gap")))).alias("out"))
+        return {"at": b}, F.struct(a.alias("start"), b.alias("stop"), x["found"].alias("found"), x["gap"].alias("gap"))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    items = pairs if tried is None else F.when(tried, pairs).otherwise(F.array().cast("array<struct<found: string, gap: string>>"))
+    return Pass(items, {"at": F.lit(0)}, step, "struct<start: int, stop: int, found: string, gap: string>")
 
 
 def _luhn(digits: Column) -> Column:
@@ -92,35 +137,36 @@ def _of_kind(kind: str, x: Column) -> Column:
     return x["kind"] == kind
 
 
-def _seed(kind: str, x: Column) -> Column:
-    """A base span; its context is that of the token in which it starts, null where less than two words come before."""
-    token = F.get(F.filter("__other", lambda t: (t["start"] <= x["start"]) & (x["start"] < t["stop"])), F.lit(0))
-    return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), F.lower(x["found"]).alias("instance"), token["pattern"].alias("pattern"))
+def _bare_seed(kind: str, x: Column) -> Column:
+    return F.struct(x["start"].alias("start"), x["stop"].alias("stop"), F.lit(kind).alias("kind"), F.lower(x["found"]).alias("instance"))
 
 
-def _tokens(text: Column) -> Column:
-    """array<struct<start, stop, token, rest, pattern>>: tokens with a digit or an at sign, each with its context and the tokens after it one blank apart."""
-    parts = F.arrays_zip(F.regexp_extract_all(text, F.lit(BEFORE), 1).alias("between"), F.regexp_extract_all(text, F.lit(BEFORE), 2).alias("token"), F.regexp_extract_all(text, F.lit(BEFORE), 3).alias("rest"))
+def _events(base: str, tokens: str) -> Column:
+    """Base spans and tokens in one array, by start; of those that start at one place the tokens come first."""
+    spans = F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("base"), b["stop"].alias("stop"), F.lit(0).alias("k")))
+    other = F.transform(tokens, lambda x, k: F.struct(x["start"].alias("at"), F.lit(0).alias("base"), x["stop"].alias("stop"), k.alias("k")))
+    return F.concat(spans, other)
 
-    def one(x: Column, p: Column) -> Column:
-        start = x["stop"] + F.length(p["between"])
-        return F.struct(start.alias("start"), (start + F.length(p["token"])).alias("stop"), p["token"].alias("token"), p["rest"].alias("rest"), _context(x["found"], p["between"]).alias("pattern"))
 
-    return F.zip_with(_spans(text, BEFORE), parts, one)
+def _forward(events: Column) -> Pass:
+    """array<struct<base, k, behind>>: for each event the last token so far, and the farthest end of the base spans before."""
 
+    def step(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
+        is_base = x["base"] == 1
+        inside = F.when(is_base & (x["at"] < acc["stop"]), acc["k"]).otherwise(F.when(is_base, -1).otherwise(x["k"]))
+        after = {"k": F.when(is_base, acc["k"]).otherwise(x["k"]), "stop": F.when(is_base, acc["stop"]).otherwise(x["stop"]), "behind": F.when(is_base, F.greatest(acc["behind"], x["stop"])).otherwise(acc["behind"])}
+        return after, F.struct(x["base"].alias("base"), inside.alias("k"), acc["behind"].alias("behind"))
 
-def with_base(docs: DataFrame, text: str) -> DataFrame:
-    """docs with an array of base spans for each kind (columns ``__email`` ...) and the tokens that have a context (``__other``)."""
-    t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    docs = docs.withColumn("__t", t)
-    none = F.array().cast(NO_SPANS)
-    body = F.col("__t")
-    columns = {}
-    for kind in KINDS:
-        tried = F.when(body.contains(NEEDED[kind]), _spans(body, PATTERNS[kind])).otherwise(none) if kind in NEEDED else _spans(body, PATTERNS[kind])
-        columns[f"__{kind}"] = F.filter(tried, partial(_checked, kind))
-    columns["__other"] = F.when(body.rlike("[0-9@]"), _tokens(body)).otherwise(F.array().cast(NO_TOKENS))
-    return docs.withColumns(columns).drop("__t")
+    return Pass(F.sort_array(events), {"k": F.lit(-1), "stop": F.lit(0), "behind": F.lit(0)}, step, "struct<base: int, k: int, behind: int>")
+
+
+def _backward(events: Column) -> Pass:
+    """array<struct<base, ahead>>, last event first: where the next base span at or after its start starts."""
+
+    def step(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
+        return {"ahead": F.when(x["base"] == 1, x["at"]).otherwise(acc["ahead"])}, F.struct(x["base"].alias("base"), acc["ahead"].alias("ahead"))
+
+    return Pass(F.sort_array(events, asc=False), {"ahead": F.lit(END)}, step, "struct<base: int, ahead: int>")
 
 
 def _context(first: Column, second: Column) -> Column:
@@ -129,6 +175,27 @@ def _context(first: Column, second: Column) -> Column:
     return F.when((bare[0] != "") & (bare[1] != ""), F.concat_ws(" ", *bare))
 
 
+def with_base(docs: DataFrame, text: str) -> DataFrame:
+    """docs with an array of base spans for each kind (columns ``__email`` ...) and ``__other``: array<struct<start, stop, token, rest, pattern>>.
+
+    The latter are the tokens with a digit or an at sign, each with its context
+    and the tokens after it one blank apart.
+    """
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    passes = {f"__{kind}": _spans(body, PATTERNS[kind], body.contains(NEEDED[kind]) if kind in NEEDED else None) for kind in KINDS}
+    docs = _passed(docs, passes | {"__before": _spans(body, BEFORE, body.rlike("[0-9@]"))})
+    between, token, rest = (F.regexp_extract_all(body, F.lit(BEFORE), k) for k in (1, 2, 3))
+    parts = F.when(F.size("__before") > 0, F.arrays_zip(between.alias("between"), token.alias("token"), rest.alias("rest")))
+
+    def one(x: Column, p: Column) -> Column:
+        start = x["stop"] + F.length(p["between"])
+        return F.struct(start.alias("start"), (start + F.length(p["token"])).alias("stop"), p["token"].alias("token"), p["rest"].alias("rest"), _context(x["found"], p["between"]).alias("pattern"))
+
+    checked = {f"__{kind}": F.filter(f"__{kind}", partial(_checked, kind)) for kind in KINDS}
+    other = F.coalesce(F.zip_with("__before", parts, one), F.array().cast(NO_TOKENS))
+    return docs.withColumns(checked | {"__other": other}).drop("__before")
+
+
 def described(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """(doc_id, hash, base, other): spans of a row as (kind, start, stop, instance, pattern) and candidates alike.
 
@@ -137,8 +204,19 @@ def described(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = with_base(docs.select(F.col(f"`{id_col}`").alias("doc_id"), t.alias("text"), F.xxhash64(t).alias("hash")), "text")
-    base = F.concat(*(F.transform(f"__{kind}", partial(_seed, kind)) for kind in KINDS))
-    rows = rows.select("doc_id", "hash", base.alias("base"), "__other")
+    # By start, as the passes meet them; find_pii puts them in order of kind.
+    base = F.sort_array(F.concat(*(F.transform(f"__{kind}", partial(_bare_seed, kind)) for kind in KINDS)))
+    rows = rows.select("doc_id", "hash", base.alias("seeds"), "__other")
+    rows = rows.withColumn("events", F.when(F.size("seeds") > 0, _events("seeds", "__other")).otherwise(F.array().cast("array<struct<at: int, base: int, stop: int, k: int>>")))
+    rows = _passed(rows, {"before": _forward(F.col("events")), "after": _backward(F.col("events"))})
+    token_of = F.transform(F.filter("before", lambda e: e["base"] == 1), lambda e: e["k"])
+    # A seed's context is that of the token in which it starts, null where less than two words come before.
+    base = F.zip_with("seeds", token_of, lambda x, k: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), x["instance"].alias("instance"), F.when(k >= 0, F.get("__other", k)["pattern"]).alias("pattern")))
+    behind = F.transform(F.filter("before", lambda e: e["base"] == 0), lambda e: e["behind"])
+    ahead = F.reverse(F.transform(F.filter("after", lambda e: e["base"] == 0), lambda e: e["ahead"]))
+    # (token, behind, ahead): the stretch around a token that no base span takes.
+    around = F.arrays_zip(F.col("__other").alias("x"), behind.alias("behind"), ahead.alias("ahead"))
+    rows = rows.select("doc_id", "hash", base.alias("base"), around.alias("around"))
 
     def bare(x: Column, found: Column) -> Column:
         lead = F.length(F.regexp_extract(found, rf"^[{MARKS}]*", 0))
@@ -149,18 +227,16 @@ def described(docs: DataFrame, id_col: str, text: str) -> DataFrame:
             kind = F.when(keep.rlike(SHAPES[k]), k).otherwise(kind)
         return F.struct(kind.alias("kind"), (x["start"] + lead).alias("start"), (x["start"] + F.length(found) - trail).alias("stop"), F.lower(keep).alias("instance"), x["pattern"].alias("pattern"))
 
-    def both(x: Column) -> Column:
+    def both(y: Column) -> Column:
+        x, behind, ahead = y["x"], F.coalesce(y["behind"], F.lit(0)), F.coalesce(y["ahead"], F.lit(END))
         whole = F.concat(x["token"], x["rest"])
-        ahead = F.array_min(F.transform(F.filter("base", lambda b: b["start"] > x["start"]), lambda b: b["start"]))
-        run = F.regexp_extract(F.substring(whole, F.lit(1), F.coalesce(ahead - x["start"], F.length(whole))), RUN, 0)
+        run = F.regexp_extract(F.substring(whole, F.lit(1), ahead - x["start"]), RUN, 0)
         alone = bare(x, x["token"])
-        return F.when((x["rest"] != "") & (F.length(run) > F.length(x["token"])), F.array(alone, bare(x, run))).otherwise(F.array(alone))
+        every = F.when((x["rest"] != "") & (F.length(run) > F.length(x["token"])), F.array(alone, bare(x, run))).otherwise(F.array(alone))
+        return F.filter(every, lambda c: c["kind"].isNotNull() & (behind <= c["start"]) & (c["stop"] <= ahead))
 
-    tokens = F.filter("__other", lambda x: x["pattern"].isNotNull())
-    other = F.filter(F.flatten(F.transform(tokens, both)), lambda x: x["kind"].isNotNull())
-    rows = rows.select("doc_id", "hash", "base", other.alias("other"))
-    free = F.expr("filter(other, x -> not exists(base, b -> b.start < x.stop and x.start < b.stop))")
-    return rows.select("doc_id", "hash", "base", free.alias("other"))
+    tokens = F.filter("around", lambda y: y["x"]["pattern"].isNotNull())
+    return rows.select("doc_id", "hash", "base", F.flatten(F.transform(tokens, both)).alias("other"))
 
 
 def bootstrap(found: DataFrame, *, rounds: int = ROUNDS, sure: float = SURE, support: int = SUPPORT) -> DataFrame:
@@ -208,6 +284,19 @@ def _scored(graph: DataFrame, rounds: int, sure: float, support: int) -> tuple[D
     return patterns, score
 
 
+def _widest(spans: str) -> Pass:
+    """Of a span and a longer one around it the longer stays; the other's kind becomes null."""
+    by_start = F.sort_array(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), (-x["stop"]).alias("back"), x["kind"].alias("kind"))))
+
+    def step(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
+        stop = -x["back"]
+        covered = (acc["most"] >= stop) & ~((acc["start"] == x["start"]) & (acc["most"] == stop))
+        after = {"start": F.when(stop > acc["most"], x["start"]).otherwise(acc["start"]), "most": F.greatest(acc["most"], stop)}
+        return after, F.struct(F.when(~covered, x["kind"]).alias("kind"), x["start"].alias("start"), stop.alias("stop"))
+
+    return Pass(by_start, {"start": F.lit(-1), "most": F.lit(-1)}, step, "struct<kind: string, start: int, stop: int>")
+
+
 def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """(doc_id, hash, base, added) of each row; spans are (kind, start, stop), stop exclusive, in code points; base by kind as listed, then start.
 
@@ -217,15 +306,13 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", **o
     found = save(described(docs, id_col, text), "spans")
     rules = save(bootstrap(found, **options), "rules")
     hits = found.where("size(other) > 0").select("doc_id", "hash", F.explode("other").alias("x")).select("doc_id", "hash", "x.kind", "x.start", "x.stop", "x.pattern")
-    few = rules.count() <= SENT_ROWS
-    hits = hits.join(F.broadcast(rules) if few else rules, ["kind", "pattern"]).select("doc_id", "hash", F.struct("kind", "start", "stop").alias("x")).distinct()
-    # Of a span and a longer one around it the longer stays.
-    widest = F.expr("filter(added, x -> not exists(added, y -> y.start <= x.start and x.stop <= y.stop and y.stop - y.start > x.stop - x.start))")
-    added = save(hits.groupBy("doc_id", "hash").agg(F.sort_array(F.collect_list("x")).alias("added")).select("doc_id", "hash", widest.alias("added")), "added")
+    hits = hits.join(F.broadcast(rules) if sendable(rules) else rules, ["kind", "pattern"]).select("doc_id", "hash", F.struct("kind", "start", "stop").alias("x")).distinct()
+    hits = _passed(hits.groupBy("doc_id", "hash").agg(F.collect_list("x").alias("every")), {"passed": _widest("every")})
+    added = save(hits.select("doc_id", "hash", F.sort_array(F.filter("passed", lambda x: x["kind"].isNotNull())).alias("added")), "added")
     on = found.doc_id.eqNullSafe(added.doc_id) & (found.hash == added.hash)
-    joined = found.join(F.broadcast(added) if added.count() <= SENT_ROWS else added, on, "left")
+    joined = found.join(F.broadcast(added) if sendable(added) else added, on, "left")
     base = F.transform(found.base, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop")))
-    return joined.select(found.doc_id, found.hash, base.alias("base"), F.coalesce("added", F.array().cast("array<struct<kind: string, start: int, stop: int>>")).alias("added"))
+    return joined.select(found.doc_id, found.hash, in_order(base).alias("base"), F.coalesce("added", F.array().cast("array<struct<kind: string, start: int, stop: int>>")).alias("added"))
 
 
 def as_text(spans: Column) -> Column:
@@ -246,20 +333,25 @@ def mask(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", length:
     """
     found = find_pii(docs, id_col=id_col, text=text, **options)
     every = F.concat("base", "added")
-    spans = save(found.where("size(base) + size(added) > 0").select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), F.transform(every, lambda x: F.struct(x["start"].alias("start"), (-x["stop"]).alias("back"), x["kind"].alias("kind"))).alias("__spans")).dropDuplicates(["__id", "__hash"]), "masks")
+    of, hashed, spans_of, pieces, masked_as = free_names(docs, "of", "hashed", "spans", "pieces", "masked")
+    spans = F.transform(every, lambda x: F.struct(x["start"].alias("start"), (-x["stop"]).alias("back"), x["kind"].alias("kind")))
+    spans = found.where("size(base) + size(added) > 0").select(F.col("doc_id").alias(of), F.col("hash").alias(hashed), F.array_sort(spans).alias(spans_of))
+    spans = save(spans.dropDuplicates([of, hashed]), "masks")
     t = F.col(f"`{text}`").cast("string")
-    on = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(t, F.lit(""))) == F.col("__hash"))
-    joined = docs.join(F.broadcast(spans) if spans.count() <= SENT_ROWS else spans, on, "left")
-    masked = F.aggregate(
-        F.array_sort("__spans"),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, x: F.when(x["start"] >= acc["at"], F.struct((-x["back"]).alias("at"), F.concat(acc["out"], F.substring(t, acc["at"] + 1, x["start"] - acc["at"]), F.lit("<"), F.upper(x["kind"]), F.lit(">")).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], -x["back"]).alias("at"), acc["out"].alias("out"))),
-        lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))),
-    )
-    out = joined.withColumn("__masked", F.when(F.col("__spans").isNull(), t).otherwise(masked))
+    on = F.col(f"`{id_col}`").eqNullSafe(F.col(of)) & (F.xxhash64(F.coalesce(t, F.lit(""))) == F.col(hashed))
+    joined = docs.join(F.broadcast(spans) if sendable(spans) else spans, on, "left")
+
+    def step(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
+        fresh = F.concat(F.substring(t, acc["at"] + 1, x["start"] - acc["at"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))
+        return {"at": F.greatest(acc["at"], -x["back"])}, F.when(x["start"] >= acc["at"], fresh).otherwise("")
+
+    end = F.array_max(F.transform(spans_of, lambda x: -x["back"]))
+    masked = F.concat(F.array_join(pieces, ""), F.substring(t, end + 1, F.length(t)))
+    joined = _passed(joined, {pieces: Pass(F.col(spans_of), {"at": F.lit(0)}, step, "string")})
+    out = joined.withColumn(masked_as, F.when(F.col(spans_of).isNull(), t).otherwise(masked))
     columns = []
     for c in docs.columns:
-        new = F.col("__masked") if c == text else F.length("__masked").cast(docs.schema[c].dataType) if c == length else F.col(f"`{c}`")
+        new = F.col(masked_as) if c == text else F.length(masked_as).cast(docs.schema[c].dataType) if c == length else F.col(f"`{c}`")
         columns.append(new.alias(c))
     return out.select(*columns)
 

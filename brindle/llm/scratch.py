@@ -1,8 +1,8 @@
 """Shared scratch tables: where lineage is cut and files are exchanged.
 
-Everything lies under ``spark.checkpoint.dir`` (or, where that is unset as in
-tests, under a temporary folder of the driver), so a lost executor costs the
-recomputation of its tasks and never a table.
+Everything lies under ``spark.checkpoint.dir`` (or, where that is unset and the
+master is local as in tests, under a temporary folder), so a lost executor costs
+the recomputation of its tasks and never a table.
 """
 
 from __future__ import annotations
@@ -21,10 +21,12 @@ _LEFT: list[tuple] = []
 
 
 def base_dir(spark: SparkSession) -> str:
-    """The shared folder as a URI; set to a temporary one only where none is configured."""
+    """The shared folder as a URI; a temporary one only where none is configured and driver and executors are one machine."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="brindle-")
         sc.setCheckpointDir(found)
     return found
@@ -66,6 +68,24 @@ def save(df: DataFrame, what: str = "table", by: list[str] | None = None) -> Dat
     return out
 
 
+def sendable(saved: DataFrame, most: int = 8 << 20) -> bool:
+    """Whether a saved table may be broadcast: its files, compressed, have so many bytes at most, about a tenth of what an executor then holds."""
+    spark = saved.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(saved_path(saved))
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength() <= most
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of df has it, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def saved_path(df: DataFrame) -> str:
     return df._brindle_path
 
