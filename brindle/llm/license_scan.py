@@ -4,8 +4,10 @@ Templates are classed by length; a class has windows of its own size, an eighth
 of it apart, so that some window lies within a sixteenth of wherever a template
 starts.  MinHash bands (``BANDS`` of ``ROWS``) of windows retrieve templates: two
 shingle sets of similarity s meet in a band with probability
-1 - (1 - s**ROWS)**BANDS, over 0.999 for s of 0.6.  The retrieved templates are
-verified by the exact share of their shingles that the window holds.
+1 - (1 - s**ROWS)**BANDS.  The worst case of a match has a share of 0.8, a window
+a quarter longer than the template and a sixteenth of it off: s is 0.47 and the
+probability 0.999.  The retrieved templates are verified by the exact share of
+their shingles that the window holds.
 
 A text in which no anchor word of any template occurs can't reach the share and
 isn't split: a template's anchor words are such that every set of shingles large
@@ -17,12 +19,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-K, ROWS, BANDS, SHARE = 3, 2, 18, 0.8
-#: Most templates: their shingles and bands are literals and a broadcast table, both bounded by this.
+K, ROWS, BANDS, SHARE = 3, 2, 28, 0.8
+#: Most templates of one pass: their shingles are a constant set and their bands a broadcast table, both bounded by this; more take several passes.
 MOST_TEMPLATES = 2000
 
 #: Public notices, as they are customarily printed.
@@ -95,8 +98,6 @@ def _seeded(i: int):
 
 def template_table(spark: SparkSession, templates: tuple[tuple[str, str], ...]) -> DataFrame:
     """(template, license, window, shingles, bands) of the templates that have words."""
-    if len(templates) > MOST_TEMPLATES:
-        raise ValueError(f"more than {MOST_TEMPLATES} templates: scan with parts of them")
     rows = [(i, name, w, shape_of(max(1, len(w) - K + 1)).window) for i, (name, text) in enumerate(templates) if (w := words_of(text))]
     literal = F.array(*(F.struct(F.lit(i).alias("template"), F.lit(n).alias("license"), F.array(*map(F.lit, w)).alias("words"), F.lit(z).alias("window")) for i, n, w, z in rows))
     table = spark.range(1).select(F.explode(literal).alias("t")).select("t.*")
@@ -113,11 +114,14 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, *,
     Other columns aren't read.
     """
     spark = docs.sparkSession
-    table = template_table(spark, templates)
-    known = table.select("template", "license", "window", "shingles", "bands").collect() if templates else []
-    if not known:
+    if not any(words_of(t) for _, t in templates):
         return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.lit("").alias("license"), F.lit(0).alias("template"), F.lit(0.0).alias("share"), F.lit(0).alias("first_shingle")).where("false")
-    seeds = F.array(*(F.lit(h) for h in sorted({h for r in known for h in r["shingles"]})))
+    if len(templates) > MOST_TEMPLATES:
+        passes = (scan(docs, templates[k : k + MOST_TEMPLATES], share=share, id_col=id_col, text=text).withColumn("template", F.col("template") + k) for k in range(0, len(templates), MOST_TEMPLATES))
+        return reduce(DataFrame.unionByName, passes)
+    table = template_table(spark, templates)
+    known = table.select("window", "shingles").collect()
+    seeds = sorted({h for r in known for h in r["shingles"]})
     low = F.translate(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), _A_Z, _LOW)
     words = sorted({a for _, t in templates for a in anchors(words_of(t), share)})
     outside = _SEPARATOR.removesuffix("+").replace("[", "[^")
@@ -128,8 +132,9 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, *,
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), low.alias("low"), here).where(some & stay)
     rows = rows.select("doc_id", F.array_remove(F.split("low", _SEPARATOR), "").alias("words"))
     rows = rows.select("doc_id", _shingles(F.col("words")).alias("h"))
-    rows = rows.select("doc_id", "h", F.array_intersect("h", seeds).alias("common"), here).where((F.size("common") > 0) & stay)
-    rows = rows.withColumn("hits", F.expr("filter(transform(h, (x, i) -> if(array_contains(common, x), i, -1)), i -> i >= 0)"))
+    # A constant set, looked up in constant time and never built anew for a row.
+    hits = F.filter(F.transform("h", lambda x, i: F.when(x.isin(seeds), i).otherwise(-1)), lambda i: i >= 0)
+    rows = rows.select("doc_id", "h", hits.alias("hits"), here).where((F.size("hits") > 0) & stay)
     shapes = [Shape(w) for w in sorted({r["window"] for r in known})]
     literal = F.array(*(F.struct(F.lit(s.window).alias("window"), F.lit(s.step).alias("step")) for s in shapes))
     rows = rows.withColumn("shape", F.explode_outer(literal)).select("doc_id", "h", "hits", "shape.window", "shape.step")
