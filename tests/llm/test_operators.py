@@ -43,7 +43,7 @@ def texts(documents):
 def odd(spark):
     ship(spark)
     long = " ".join(f"w{i % 7919}" for i in range(60_000))
-    return [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (4, "one"), (5, "two words"), (None, "a null id here"), (6, long), (7, long + " more"), (8, "é ñ 漢字 😀 a@b.co"), (9, "A" * 50_000)]
+    return [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (4, "one"), (5, "two words"), (None, "a null id here"), (6, long), (7, long + " more"), (8, "é ñ 漢字 😀 a@b.co"), (9, "A" * 50_000), (10, "a <|endoftext|> b<|startoftext|>")]
 
 
 def empty(spark):
@@ -188,15 +188,15 @@ def test_encoder(texts, name, pieces):
     rng = random.Random(7)
     letters = ["a", "B", "é", "ß", "'", "s", "t", " ", "  ", "\n", "\t", "1", "22", ".", "#", "漢", " ", " ", "́", "😀", "\x1c", "\x85", "<|endoftext|>", "İ", "Σ", "ﬁ", "¿", "×"]
     given = list(texts.values()) + ["".join(rng.choices(letters, k=rng.randrange(30))) for _ in range(2000)] + ["", "don't 've"]
+    given += ["a <|endoftext|> b", "<|startoftext|>", "x<|endoftext|>y<|endoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "<|endoftext", "|> <|startoftext|><|endoftext|>z"]
     enc = encoder.Encoder(public_tokenizers.path(name), pieces)
     ids, off = enc(pa.array(given))
-    for k, e in enumerate(enc.tokenizer.encode_batch(given, add_special_tokens=False)):
+    for k, e in enumerate(Tokenizer.from_file(public_tokenizers.path(name)).encode_batch(given, add_special_tokens=False)):
         assert ids[off[k] : off[k + 1]].tolist() == e.ids, given[k]
 
 
 def ids_of(name, text, end):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
