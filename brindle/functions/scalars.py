@@ -62,19 +62,7 @@ def slugify(c: Column | str) -> Column:
     return F.when(words == "", "unknown").otherwise(F.replace(words, F.lit(" "), F.lit("_")))
 
 
-def sanitized(c: Column | str, characters: int = 512, tokens: int = 200) -> Column:
-    """White space collapsed, cut to so many characters and tokens; null where nothing is left."""
-    flat = F.trim(F.regexp_replace(col(c), r"\s+", " "))
-    cut = F.trim(F.substring(flat, 1, characters))
-    return F.when(cut != "", F.array_join(F.slice(F.split(cut, " "), 1, tokens), " "))
-
-
-def rejection(c: Column | str) -> Column:
-    """Why a text is rejected, or null."""
-    return F.when(col(c).isNull(), "non-string text").when(F.trim(F.regexp_replace(col(c), r"\s+", " ")) == "", "empty after strip")
-
-
-# Units: a value is a dimension, else a storage size, else a weight, else as it is.
+# Units: a value is a dimension, else a storage size, else a weight, else as it is.  Fixed values: the units and the patterns that tell them.
 
 
 def normalized_dimension(c: Column) -> Column:
@@ -136,18 +124,6 @@ def json_list(c: Column | str, schema: str) -> Column:
     return F.from_json(F.regexp_extract(col(c), r"(?s)\[.*\]", 0), schema)
 
 
-def embedding_text(kind: str, name: Column | str, value: Column | str | None = None, generic: tuple[str, ...] = GENERIC_KEYS) -> Column:
-    """The sentence of a node that gets embedded."""
-    n = col(name)
-    if kind == "Attribute":
-        return F.when(n.isin(*generic), col(value)).otherwise(F.concat_ws(": ", n, col(value)))
-    if kind == "Brand":
-        return F.concat(F.lit("Brand: "), n, F.lit(". Domain: "), F.coalesce(col(value), F.lit("consumer electronics")))
-    if kind == "Category":
-        return F.concat(F.lit("Category: "), n, F.lit(". Context: "), F.coalesce(F.when(col(value) != "", col(value)), F.lit("Root Category")))
-    return F.concat_ws(". ", n, col(value))
-
-
 def sentiment(c: Column | str) -> Column:
     x = F.lower(F.trim(col(c)))
     return F.initcap(F.when(x.isin("positive", "negative", "neutral"), x).otherwise("neutral"))

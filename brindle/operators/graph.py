@@ -102,7 +102,12 @@ def detail_attributes(items: DataFrame, key: str, details: str) -> DataFrame:
     """Attributes from a map of details; blank and missing values don't count."""
     rows = items.select(key, F.explode(details).alias("raw_key", "raw_value")).where(F.col("raw_value").isNotNull() & ~F.trim("raw_value").isin("", fn.MISSING_DETAIL))
     name, value = fn.attribute_key("raw_key"), F.trim("raw_value")
-    return rows.select(key, F.sha1(F.concat_ws("|", name, value)).alias("attribute_id"), name.alias("attribute_name"), value.alias("attribute_value"), F.lower(value).alias("normalized_value"))
+    return _attributes(rows, key, name, value, "categorical", 0.8)
+
+
+def _attributes(rows: DataFrame, key: str, name: Column, value: Column, kind: str, confidence: float) -> DataFrame:
+    columns = {"attribute_id": F.sha1(F.concat_ws("|", name, value)), "attribute_name": name, "attribute_value": value, "normalized_value": F.lower(value), "value_type": F.lit(kind), "confidence": F.lit(confidence)}
+    return rows.select(key, *(c.alias(n) for n, c in columns.items()))
 
 
 def feature_attributes(items: DataFrame, key: str, features: str) -> DataFrame:
@@ -111,7 +116,7 @@ def feature_attributes(items: DataFrame, key: str, features: str) -> DataFrame:
     parts = F.split("f", ":", 2)
     name = F.when(F.size(parts) == 2, fn.attribute_key(parts[0])).otherwise("feature")
     value = F.trim(F.when(F.size(parts) == 2, parts[1]).otherwise(F.col("f")))
-    return rows.select(key, F.sha1(F.concat_ws("|", name, value)).alias("attribute_id"), name.alias("attribute_name"), value.alias("attribute_value"), F.lower(value).alias("normalized_value"))
+    return _attributes(rows, key, name, value, "text", 0.6)
 
 
 def brand_of(brand: str | None, details: str | None) -> Column:
@@ -127,6 +132,12 @@ def brand_nodes(items: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
     return first_per_key(found, ["brand_id"], [F.col(c) for c in order]).select("brand_id", F.col(name).alias("name"))
 
 
+def brand_edges(items: DataFrame, key: str, brand: str | None, details: str | None, confidence: float = 0.95) -> DataFrame:
+    """(key, brand_id, name, confidence) of the items that name a brand."""
+    named = items.select(key, brand_of(brand, details).alias("name")).where("name IS NOT NULL")
+    return named.select(key, F.sha1(F.lower("name")).alias("brand_id"), "name", F.lit(confidence).alias("confidence"))
+
+
 def price_edges(items: DataFrame, key: str, price: str) -> DataFrame:
     return items.select(key, fn.bucket_id(price).alias("range_id")).where("range_id IS NOT NULL")
 
@@ -185,6 +196,24 @@ def ancestors(edges: DataFrame, child: str, parent: str, most: int = 5) -> DataF
     return out.select("node", "ancestor", "hops", "n_paths")
 
 
+def path_counts(edges: DataFrame, child: str, parent: str, most: int = 100) -> DataFrame:
+    """(node, ancestor, hops, n_paths) for paths of any length.
+
+    A step at a time until none is left, each kept while the next is made; more
+    than ``most`` steps are taken for a cycle and are an error.
+    """
+    step = edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).distinct()
+    now = step.select(F.col("c").alias("node"), F.col("p").alias("ancestor"), F.lit(1).cast("bigint").alias("n_paths")).persist()
+    out = None
+    for hop in range(1, most + 1):
+        if now.isEmpty():
+            return out if out is not None else now.withColumn("hops", F.lit(1)).select("node", "ancestor", "hops", "n_paths")
+        reached = now.select("node", "ancestor", F.lit(hop).alias("hops"), "n_paths")
+        out = reached if out is None else out.unionByName(reached)
+        now = now.join(step, F.col("ancestor") == F.col("c")).groupBy("node", F.col("p").alias("ancestor")).agg(F.sum("n_paths").alias("n_paths")).persist()
+    raise ValueError(f"paths of more than {most} steps: the edges have a cycle")
+
+
 def self_or_parent(edges: DataFrame, child: str, parent: str, nodes: DataFrame) -> DataFrame:
     """(node, reached) over paths of no or one step; nodes: a table of one column."""
     own = nodes.select(F.col(nodes.columns[0]).alias("node"), F.col(nodes.columns[0]).alias("reached"))

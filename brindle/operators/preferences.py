@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions import scalars as fn
@@ -20,6 +22,28 @@ def cleaned_mentions(triplets: DataFrame) -> DataFrame:
     })
 
 
+def parsed_triplets(outputs: DataFrame, key: str, column: str, canonical: Callable[[Column], Column] = fn.slugify) -> DataFrame:
+    """(key, aspect, surface_form, opinion, sentiment, confidence) from a model's JSON texts.
+
+    A text is a list, or an object with a list under Triplets or triplets; its
+    elements are objects, with keys in either case, or lists of aspect, opinion
+    and sentiment.  Elements of another kind, and such without aspect and
+    opinion, are dropped.
+    """
+    c = F.col(column)
+    inner = F.coalesce(*(F.get_json_object(c, f"$.{k}") for k in ("Triplets", "triplets")), F.when(c.rlike(r"^\s*\["), c))
+    rows = outputs.select(key, F.explode(F.from_json(inner, "array<string>")).alias("e"))
+    t, field = F.from_json("e", "array<string>"), lambda *names: F.coalesce(*(F.nullif(F.get_json_object("e", f"$.{n}"), F.lit("")) for n in names), F.lit(""))
+    listed = F.col("e").startswith("[")
+    rows = rows.where(F.col("e").startswith("{") | (listed & (F.size(t) >= 3)))
+    part = lambda k, *names: F.when(listed, F.coalesce(F.get(t, F.lit(k)), F.lit(""))).otherwise(field(*names))
+    aspect, opinion, mood = part(0, "aspect", "Aspect", "target", "Target"), part(1, "opinion", "Opinion"), part(2, "sentiment", "Sentiment", "Polarity")
+    sure = F.when(listed, 1.0).otherwise(F.coalesce(F.get_json_object("e", "$.confidence").try_cast("double"), F.lit(1.0)))
+    rows = rows.select(key, aspect.alias("a"), opinion.alias("o"), mood.alias("m"), sure.alias("confidence")).where((F.trim("a") != "") | (F.trim("o") != ""))
+    surface = F.when(F.col("a") == "", F.col("o")).otherwise(F.col("a"))
+    return rows.select(key, canonical(surface).alias("aspect"), F.trim(surface).alias("surface_form"), F.trim("o").alias("opinion"), fn.sentiment("m").alias("sentiment"), "confidence")
+
+
 def aspect_nodes(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("aspect").agg(F.array_sort(F.collect_set("surface_form")).alias("surface_forms"), F.count("*").alias("mention_count"))
 
@@ -44,4 +68,4 @@ def preferences(counts: DataFrame, min_opinions: int = 3, prefer: float = 0.7, d
 def quantified(payload: dict) -> dict:
     """A preference payload with weights: likes and dislikes get theirs, constraints and the rest pass through."""
     weighted = {k: [{"value": v, "weight": w} for v in payload.get(k) or []] for k, w in (("likes", LIKE), ("dislikes", DISLIKE))}
-    return {"weighted_preferences": weighted | {"constraints": payload.get("constraints") or {}}, "intent": payload.get("intent") or "other", "notes": payload.get("notes") or ""}
+    return {"weighted_preferences": weighted | {"constraints": payload.get("constraints") or {}}, "intent": payload.get("intent", "recommendation"), "notes": payload.get("notes", "")}

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import scalars as fn
 from brindle.operators.clean import top_per_group
 
 OVERFETCH = 30
-#: Query vectors broadcast at a time.
-BLOCK = 4096
+#: Query vectors broadcast at a time, and their bytes at most.
+BLOCK, BLOCK_BYTES = 4096, 8 << 20
 BRAND_SCORE, CATEGORY_SCORE, LINK_SCORE = 0.6, 0.75, 0.55
 
 
@@ -25,11 +25,13 @@ def nearest(vectors: DataFrame, key: str, column: str, query: Sequence[float], k
 def linked(queries: DataFrame, entities: DataFrame, query_key: str, entity_key: str, column: str, least: float = LINK_SCORE, k: int = 1, *, apart: bool = False, block: int = BLOCK) -> DataFrame:
     """The k best entities of each query with at least that score; apart: but for the row with the query's own key.
 
-    Queries are counted and, if there are more than ``block``, dealt by key into
-    blocks of about so many.  A block is broadcast, the entities are scanned once
-    a block, and only the best of each task travel.
+    Queries are counted and measured and, if there are more than ``block`` or
+    than ``BLOCK_BYTES`` hold, dealt by key into blocks of about so many.  A block
+    is broadcast, the entities are scanned once a block, and only the best of
+    each task travel.
     """
-    blocks = max(1, -(-queries.count() // block))
+    n, size = queries.agg(F.count("*"), F.coalesce(F.max(F.size(column)), F.lit(1))).first()
+    blocks = max(1, -(-n // max(1, min(block, BLOCK_BYTES // (8 * max(1, size))))))
     all_queries = queries.select(F.col(query_key).alias("query"), F.col(column).alias("qv"))
     e = entities.select(F.col(entity_key).alias("entity"), F.col(column).alias("ev"))
     out = None
@@ -98,16 +100,47 @@ def search(
     return presented(found, brands, categories, key, [F.desc("score"), F.col(key)], limit)
 
 
-def grounded(filters: dict, ground: Callable[[str, str], tuple[str, float] | None]) -> dict:
-    """Filters with brand and category names replaced by what they are grounded to; those that aren't are dropped."""
+def grounded(filters: dict, ground: Callable[[str, str, int], Sequence[tuple[str, float]]]) -> dict:
+    """Filters with brand and category names replaced by the best that they are grounded to; those that aren't are dropped.
+
+    ground: (filter, text, k) -> up to k (name, score); brands are asked for one, categories for three.
+    """
     out = dict(filters)
-    for name, least in (("brand", BRAND_SCORE), ("exclude_brand", BRAND_SCORE), ("category", CATEGORY_SCORE)):
+    for name, least, k in (("brand", BRAND_SCORE, 1), ("exclude_brand", BRAND_SCORE, 1), ("category", CATEGORY_SCORE, 3)):
         if out.get(name):
-            hit = ground(name, out[name])
+            hit = max(ground(name, out[name], k), key=lambda h: h[1], default=None)
             out[name] = hit[0] if hit and hit[1] >= least else None
     return out
 
 
+def grounded_preferences(terms: DataFrame, entities: DataFrame, key: str, entity_key: str, column: str, *, least: float = LINK_SCORE, apart: bool = False) -> DataFrame:
+    """(key, resolved, score): each term's nearest entity by name, or its own text where none is near enough.
+
+    terms: (key, text, vector); entities: (entity_key, name, vector).
+    """
+    near = linked(terms, entities, key, entity_key, column, least, 1, apart=apart)
+    named = near.join(entities.select(F.col(entity_key).alias("entity"), "name"), "entity").select(F.col("query").alias(key), "name", "score")
+    return terms.join(named, key, "left").select(key, F.coalesce("name", "text").alias("resolved"), "score")
+
+
+def recommended(found: DataFrame, attributes: DataFrame, reviews: DataFrame, key: str, scorer: Callable[[DataFrame], DataFrame], *, n: int = 3) -> DataFrame:
+    """The n best of a search's items by a scorer that sees their evidence.
+
+    scorer: gets the items with ``position`` and ``evidence`` (an array of
+    (kind, name, value)) and adds ``fit_score`` and ``is_recommended``; a model
+    behind an Arrow UDF, or expressions.  found is a result of bounded size.
+    """
+    told = evidence(reviews, attributes, key, found).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("kind", "name", "value"))).alias("evidence"))
+    placed = found.withColumn("position", F.row_number().over(Window.partitionBy().orderBy(F.desc("score"), key)))
+    return reranked(scorer(placed.join(told, key, "left")), n)
+
+
+def in_price_range(products: DataFrame, ranges: DataFrame, edges: DataFrame, key: str, words: Sequence[str]) -> DataFrame:
+    """Products whose price range has a label with one of the words.  Labels are amounts, so words like ``cheap`` find nothing."""
+    wanted = edges.join(ranges.where(any_contains("label", words)).select("range_id"), "range_id", "left_semi")
+    return products.join(wanted.select(key), key, "left_semi")
+
+
 def any_contains(column: Column | str, terms: Sequence[str]) -> Column:
     """Whether a text has any of the terms, in any case; false without terms."""
     out = F.lit(False)

@@ -13,12 +13,25 @@ def mean_and_count(df: DataFrame, by: Sequence[str], value: str, digits: int = 6
 
 
 def histogram(df: DataFrame, value: str) -> DataFrame:
-    """(value, n, share) of each value; shares come from a window over the few counts."""
+    """(value, n, share) of each value; shares come from a window over the counts in one task, so value is to have few values, as ratings have."""
     counts = df.groupBy(value).agg(F.count("*").alias("n"))
     return counts.withColumn("share", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
 
 
+def binned(df: DataFrame, value: str, lo: float, hi: float, bins: int = 20) -> DataFrame:
+    """(bin, least, n) of values in equal bins from lo to hi, numbered from 1; hi itself is in the last bin, values beyond are left out."""
+    x, width = F.col(value), (hi - lo) / bins
+    bin_ = F.least(F.floor((x - lo) / width) + 1, F.lit(bins)).cast("int")
+    return df.where(x.between(lo, hi)).groupBy(bin_.alias("bin")).agg(F.count("*").alias("n")).select("bin", F.round(lo + (F.col("bin") - 1) * width, 6).alias("least"), "n")
+
+
+def top_means(df: DataFrame, by: str, value: str, n: int = 15) -> DataFrame:
+    """Mean and count of the n groups with the most rows."""
+    return mean_and_count(df, [by], value).orderBy(F.desc("review_count"), by).limit(n)
+
+
 def summary(df: DataFrame, value: str) -> DataFrame:
+    """Count, mean, exact median and ends.  The median keeps each distinct value with its count: for values like ratings, of which there are few."""
     return df.agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.median(value).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"))
 
 

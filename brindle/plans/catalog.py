@@ -299,13 +299,13 @@ def category_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.category_memberships(prefixes(spark, sf_dir), "asin")
 
 
-@query("SELECT event_id, sha1('k|' || json_extract_string(props, '$.k')) AS attribute_id, 'k' AS attribute_name, json_extract_string(props, '$.k') AS attribute_value, lower(json_extract_string(props, '$.k')) AS normalized_value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+@query("SELECT event_id, sha1('k|' || json_extract_string(props, '$.k')) AS attribute_id, 'k' AS attribute_name, json_extract_string(props, '$.k') AS attribute_value, lower(json_extract_string(props, '$.k')) AS normalized_value, 'categorical' AS value_type, 0.8::DOUBLE AS confidence FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
 def detail_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,string>").alias("details"))
     return graph.detail_attributes(events, "event_id", "details")
 
 
-@query("SELECT p_partkey AS asin, sha1('size|' || p_size) AS attribute_id, 'size' AS attribute_name, CAST(p_size AS VARCHAR) AS attribute_value, CAST(p_size AS VARCHAR) AS normalized_value FROM part UNION ALL SELECT p_partkey, sha1('feature|' || trim(p_type)), 'feature', trim(p_type), lower(trim(p_type)) FROM part")
+@query("SELECT p_partkey AS asin, sha1('size|' || p_size) AS attribute_id, 'size' AS attribute_name, CAST(p_size AS VARCHAR) AS attribute_value, CAST(p_size AS VARCHAR) AS normalized_value, 'text' AS value_type, 0.6::DOUBLE AS confidence FROM part UNION ALL SELECT p_partkey, sha1('feature|' || trim(p_type)), 'feature', trim(p_type), lower(trim(p_type)), 'text', 0.6::DOUBLE FROM part")
 def feature_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("asin"), F.array(F.concat(F.lit("Size: "), F.col("p_size").cast("string")), F.col("p_type")).alias("features"))
     return graph.feature_attributes(part, "asin", "features")
@@ -491,11 +491,6 @@ def sentiment_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- text ---------------------------------------------------------------------------
 
 
-@query(r"SELECT doc_id, CASE WHEN s <> '' THEN array_to_string(string_split(s, ' ')[1:200], ' ') END AS clean FROM (SELECT doc_id, trim(substr(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')), 1, 512)) AS s FROM documents)")
-def sanitize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", fn.sanitized("text").alias("clean"))
-
-
 @query(r"SELECT p_partkey AS asin, CASE WHEN s = '' THEN 'unknown' ELSE replace(s, ' ', '_') END AS slug FROM (SELECT p_partkey, trim(lower(regexp_replace(p_name || ' ' || p_brand, '[^\p{L}\p{N}]+', ' ', 'g'))) AS s FROM part)")
 def slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("asin"), fn.slugify(F.concat_ws(" ", "p_name", "p_brand")).alias("slug"))
@@ -526,12 +521,6 @@ def review_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("helpful", "verified", "weight").agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_partkey AS asin, 'Brand: ' || p_brand || '. Domain: consumer electronics' AS brand_text, 'Category: ' || p_type || '. Context: Root Category' AS category_text, 'size: ' || p_size AS attribute_text FROM part")
-def embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = F.lit(None).cast("string")
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("asin"), fn.embedding_text("Brand", "p_brand", none).alias("brand_text"), fn.embedding_text("Category", "p_type", none).alias("category_text"), fn.embedding_text("Attribute", F.lit("size"), F.col("p_size").cast("string")).alias("attribute_text"))
-
-
 # --- state and sets --------------------------------------------------------------------
 
 
@@ -564,3 +553,6 @@ def except_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey AS asin, p_retailprice AS price FROM part ORDER BY price, asin LIMIT 20 OFFSET 40")
 def paginate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return products(spark, sf_dir).select("asin", "price").orderBy("price", "asin").offset(40).limit(20)
+
+
+from brindle.plans import records  # noqa: E402, F401  its queries are registered here

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,17 +30,61 @@ def read_jsonl_tolerant(spark: SparkSession, path: str, schema: str) -> tuple[Da
     return df.where(F.col(BAD).isNull()).drop(BAD), df.where(F.col(BAD).isNotNull()).select(F.col(BAD).alias("line"))
 
 
+def load_report(good: DataFrame, bad: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows with a value under the first of the keys that the table has, counts): counts is one row of rows kept, rows without a key, and bad lines."""
+    there = [k for k in keys if k in good.columns]
+    if not there:
+        raise ValueError(f"none of {', '.join(keys)} is a column")
+    has = F.coalesce(F.col(there[0]).cast("string") != "", F.lit(False))
+    counts = good.agg(F.count_if(has).alias("kept"), F.count_if(~has).alias("without_key")).join(bad.agg(F.count("*").alias("bad")))
+    return good.where(has), counts
+
+
 def line_count(spark: SparkSession, path: str) -> int:
     return spark.read.text(path).count()
 
 
 def first_lines(spark: SparkSession, path: str, fraction: float) -> DataFrame:
-    """The first part of the lines of a file, by count."""
-    return spark.read.text(path).limit(int(line_count(spark, path) * fraction))
+    """The first part of the lines by count: files by name, lines as they stand in them.
+
+    A line's place is its file, where its split starts, and its row within the
+    task that reads the split; only lines up to the limit are merged.
+    """
+    lines = spark.read.text(path).select("value", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")).alias("place"))
+    return lines.orderBy("place").limit(int(line_count(spark, path) * fraction)).select("value")
+
+
+def read_csv(spark: SparkSession, path: str, schema: str, rows: int | None = None) -> DataFrame:
+    """A CSV file; rows: so many of them at most."""
+    df = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return df if rows is None else df.limit(rows)
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+#: Names of the processed outputs, and the columns of the last.
+OUTPUTS = ("processed_metadata", "processed_reviews", "combined_product_data", "recommender_data")
+RECOMMENDER = ("asin", "title", "main_category", "average_rating", "combined_text")
+
 
+def write_outputs(metadata: DataFrame, reviews: DataFrame, combined: DataFrame, root: str) -> None:
+    """The four processed outputs as CSV, one folder each."""
+    for name, df in zip(OUTPUTS, (metadata, reviews, combined, combined.select(*(c for c in RECOMMENDER if c in combined.columns))), strict=True):
+        write_csv(df, f"{root}/{name}")
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+
+def read_outputs(spark: SparkSession, root: str, schemas: dict[str, str], combine: Callable[[DataFrame, DataFrame], DataFrame]) -> dict[str, DataFrame]:
+    """The processed tables: metadata and reviews must be there; the combination is computed anew where it isn't."""
+    missing = [n for n in OUTPUTS[:2] if not there(spark, f"{root}/{n}")]
+    if missing:
+        raise FileNotFoundError(f"{root}: {', '.join(missing)}")
+    out = {n: read_csv(spark, f"{root}/{n}", schemas[n]) for n in OUTPUTS[:2]}
+    name = OUTPUTS[2]
+    out[name] = read_csv(spark, f"{root}/{name}", schemas[name]) if there(spark, f"{root}/{name}") else combine(out[OUTPUTS[0]], out[OUTPUTS[1]])
+    return out
 
 
 def write_csv(df: DataFrame, path: str, append: bool = False) -> None:
@@ -80,3 +124,33 @@ def store(tables: dict[str, DataFrame], root: str, dry_run: bool = False) -> Non
 
 def load(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}")
+
+
+def tables(spark: SparkSession, root: str) -> list[str]:
+    """Names of the stored tables."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    where = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in where.listStatus(at) if f.isDirectory()) if where.exists(at) else []
+
+
+def registered(spark: SparkSession, root: str) -> list[str]:
+    """All stored tables as views, for SQL."""
+    names = tables(spark, root)
+    for name in names:
+        load(spark, root, name).createOrReplaceTempView(name)
+    return names
+
+
+def clear(spark: SparkSession, root: str) -> None:
+    """Deletes the stored tables and their views."""
+    for name in tables(spark, root):
+        spark.catalog.dropTempView(name)
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def dump(spark: SparkSession, root: str, target: str) -> list[str]:
+    """Copies all stored tables to another folder, by Spark; restoring is the same the other way round."""
+    names = tables(spark, root)
+    store({name: load(spark, root, name) for name in names}, target)
+    return names

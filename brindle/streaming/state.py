@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from brindle.operators import graph
+from brindle.sources import files
 
 
 def bounded_history(events: DataFrame, key: str, order: str, value: str, n: int = 20) -> DataFrame:
@@ -35,16 +37,46 @@ def windowed_counts(events: DataFrame, time: str, kind: str, width: str = "10 mi
     return events.withWatermark(time, late).groupBy(F.window(time, width), kind).agg(F.count("*").alias("n"))
 
 
-def upserting(path: str, key: str, order: Sequence[str]):
-    """A foreachBatch function that merges each batch into the node table at path, which it writes anew beside the old and then names current."""
+def upserting(path: str, key: str, order: Sequence[str], parts: int = 64):
+    """A foreachBatch function that merges each batch into the node table at path; ``upserted`` reads it.
+
+    The table is dealt by a hash of the key into ``parts`` folders, and a batch
+    rewrites only those that it touches, each under a new version.  A manifest
+    names the current version of each part; it is written last, so a batch that
+    fails or comes again does no harm, and neither a new checkpoint nor a skipped
+    batch id loses what is there.
+    """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = graph.last_wins(batch, [key], order)
-        current = f"{path}/v{batch_id - 1}"
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(current)
-        there = batch_id > 0 and hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-        merged = graph.upsert_nodes(spark.read.parquet(current), new, key) if there else new
-        merged.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        dealt = lambda df: df.withColumn("__part", F.pmod(F.xxhash64(F.col(key)), F.lit(parts)).cast("int"))
+        new = dealt(graph.last_wins(batch, [key], order)).persist()
+        touched = [r[0] for r in new.select("__part").distinct().collect()]
+        number, now = _manifest(spark, path)
+        if touched:
+            version = f"v{number + 1}-{uuid.uuid4().hex[:8]}"
+            old = [now[p] for p in touched if p in now]
+            merged = dealt(graph.upsert_nodes(_read(spark, path, old), new.drop("__part"), key)) if old else new
+            merged.write.partitionBy("__part").parquet(f"{path}/{version}")
+            now |= {p: f"{version}/__part={p}" for p in touched}
+            spark.createDataFrame(sorted(now.items()), "part int, folder string").coalesce(1).write.parquet(f"{path}/manifest/{number + 1}")
+        new.unpersist()
 
     return merge
+
+
+def _manifest(spark: SparkSession, path: str) -> tuple[int, dict[int, str]]:
+    """Number and content of the last manifest that was written to its end: a row a part."""
+    done = [int(n) for n in files.tables(spark, f"{path}/manifest") if files.there(spark, f"{path}/manifest/{n}/_SUCCESS")]
+    if not done:
+        return 0, {}
+    return max(done), {r["part"]: r["folder"] for r in spark.read.parquet(f"{path}/manifest/{max(done)}").collect()}
+
+
+def _read(spark: SparkSession, path: str, folders: Sequence[str]) -> DataFrame:
+    return spark.read.option("mergeSchema", True).parquet(*(f"{path}/{f}" for f in folders))
+
+
+def upserted(spark: SparkSession, path: str) -> DataFrame:
+    """The table as the last batch left it."""
+    return _read(spark, path, list(_manifest(spark, path)[1].values()))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from brindle.functions import models
 from brindle.functions import scalars as fn
-from brindle.operators import clean, graph, preferences, search, state
+from brindle.functions import texts
+from brindle.operators import clean, graph, preferences, rankers, records, search, state, templates, vector_index
 from brindle.plans import catalog
 from brindle.sources import files
 from brindle.streaming import state as streams
@@ -51,9 +52,9 @@ def test_preferences(spark):
 
 
 def test_text(spark):
-    assert values(spark, [None, "  ", "x" * 600, " ".join("ab" for _ in range(150))], fn.sanitized)[:3] == [None, None, "x" * 512]
+    assert values(spark, [None, "  ", "x" * 600, " ".join("ab" for _ in range(150))], texts.sanitized)[:3] == [None, None, "x" * 512]
     assert values(spark, ["Battery-Life!", "***"], fn.slugify) == ["battery_life", "unknown"]
-    assert values(spark, [None, "  ", "ok"], fn.rejection) == ["non-string text", "empty after strip", None]
+    assert values(spark, [None, " \u00a0\u2003 ", "ok"], texts.rejection) == ["non-string text", "empty after strip", None]
     assert values(spark, ['```json\n{"a": 1, // c\n}\n```'], fn.json_cleaned)[0].replace(" ", "").replace("\n", "") == '{"a":1}'
     assert values(spark, ['so: [{"k": "v"}] done'], lambda c: fn.json_list(c, "array<struct<k:string>>")) == [[("v",)]]
     assert [r[0] for r in spark.range(1).select(fn.weighted_text(F.lit("m"), F.lit("r"))).collect()] == ["m m r"]
@@ -82,12 +83,12 @@ def test_copurchase(spark):
 
 def test_filters():
     assert not search.has_filters({}) and not search.has_filters({"brand": None}) and search.has_filters({"brand": ""})
-    assert search.grounded({"brand": "x", "category": "y"}, lambda k, v: (v.upper(), 0.7)) == {"brand": "X", "category": None}
+    assert search.grounded({"brand": "x", "category": "y"}, lambda f, v, k: [("low", 0.1), (v.upper(), 0.7)][-k:]) == {"brand": "X", "category": None}
 
 
 def test_quantified():
     got = preferences.quantified({"likes": ["a"], "constraints": {"brands": ["B"]}})
-    assert got["weighted_preferences"] == {"likes": [{"value": "a", "weight": 0.8}], "dislikes": [], "constraints": {"brands": ["B"]}} and got["intent"] == "other"
+    assert got["weighted_preferences"] == {"likes": [{"value": "a", "weight": 0.8}], "dislikes": [], "constraints": {"brands": ["B"]}} and got["intent"] == "recommendation"
 
 
 def test_state(spark):
@@ -140,7 +141,7 @@ def test_streams(spark, tmp_path):
     assert {r.k: r.history for r in spark.table("histories").collect()} == {"u": ["d", "b"], "v": ["c"]}
     q = stream.writeStream.foreachBatch(streams.upserting(str(tmp_path / "out"), "k", ["t"])).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert {r.k: r.v for r in spark.read.parquet(str(tmp_path / "out/v0")).collect()} == {"u": "d", "v": "c"}
+    assert {r.k: r.v for r in streams.upserted(spark, str(tmp_path / "out")).collect()} == {"u": "d", "v": "c"}
 
 
 def test_clean(spark):
@@ -190,3 +191,110 @@ def test_no_product_is_left_out(spark, name):
     else:
         want = table("lineitem").select("l_partkey") if name.startswith("recent") else table("part").select("p_partkey")
     assert {r[0] for r in found.select(key).distinct().collect()} == {r[0] for r in want.distinct().collect()}
+
+
+def test_unicode_blanks_and_texts(spark):
+    assert values(spark, ["a  b\x1cc", None], texts.collapsed) == ["a b c", None]
+    long = " ".join(["ab"] * 150)
+    assert values(spark, ["x" * 600, long + " tail", " ".join(["a"] * 250), " ".join(["b"] * 150) + " " * 9], texts.sanitized) == ["x" * 512, (long + " tail")[:512], " ".join(["a"] * 200), " ".join(["b"] * 150)]
+    assert values(spark, ["The Battery-life rocks", "Battery", "battery life", "new-Screen!"], lambda c: texts.canonical_aspect(c, ["Battery", "Battery-life", "Screen"])) == ["battery-life", "battery", "battery_life", "screen"]
+    assert values(spark, ["x y"], lambda c: texts.canonical_aspect(c, [])) == ["x_y"]
+    row = spark.createDataFrame([("T", ["d1", None], [], ["A", "B"], None, "S")], "t string, d array<string>, f array<string>, c array<string>, m string, s string")
+    row = row.withColumn("k", F.create_map(*map(F.lit, ("Color", "red", "Other", "x", "Size", ""))))
+    assert row.select(texts.metadata_text("t", "d", "f", "c", "m", "s", "k")).first()[0] == "T T d1 A B Brand: S Color: red Color: red Other: x Size: "
+    assert row.select(texts.category_context_text("t", "c", F.array(F.lit(" ".join(map(str, range(12)))), F.lit(None), F.lit("")))).first()[0] == "Category: T. Context: A. Related items: 0 1 2 3 4 5 6 7 8 9."
+    assert row.select(texts.category_context_text("t", F.array(F.lit("A")), F.array().cast("array<string>"))).first()[0] == "Category: T. Context: Root Category. Related items: None."
+    assert row.select(texts.attribute_text(F.lit(" Bullet_Point"), F.lit('14"')), texts.attribute_text(F.lit("Size"), F.lit("16gb"))).first()[:] == ("14 inch", "Size: 16 GB")
+
+
+def test_templates():
+    text = "MATCH $brands $limit $x1 $x"
+    assert templates.bound(text, {"x": None}) == {"x": None, "limit": 10, "brands": [], "x1": []}
+    assert templates.rendered(text, {"brands": ["a'b", 1, True], "x": None, "x1": {"k": "v"}}) == "MATCH ['a\\'b', 1, true] $limit {k: 'v'} NULL"
+    assert "- a (weight=0.80)" in templates.told_preferences(preferences.quantified({"likes": ["a"]})) and templates.told_preferences({}).startswith("No structured")
+    assert templates.told_items([{"details": {"title": "t", "score": "x"}}]).splitlines()[:3] == ["Item 1:", "- Title: t", "- Category: Unknown"]
+    assert templates.told_profile({"history": [{"product_title": str(k)} for k in range(9)]}).count("- ") == 5
+    assert templates.told_turns([{"user": "a", "assistant": "b"}, {"user": "c"}]) == "User: a\nAssistant: b\nUser: c"
+    call = {"messages": [{"content": "no"}, {"tool_calls": [{"name": "t", "args": {"likes": ["x"]}}]}], "output": "o"}
+    assert templates.preferences_of(templates.payload(call, "t"))["likes"] == ["x"] and templates.payload({"content": "c"}, "t") == "c" and templates.payload({"output": "o"}, "t") == "o"
+    assert templates.preferences_of(" not json ")["notes"] == "not json" and templates.preferences_of("[1]")["intent"] == "recommendation"
+
+
+def test_small_operators(spark):
+    """Those that had no test: optional columns, numbers, mentions, price ranges, windows, batches, shapes."""
+    df = spark.createDataFrame([("1.5", "NaN", "x", None)], "a string, b string, c string, d string")
+    assert clean.optional_select(df, ["z", "c", "a"]).columns == ["c", "a"]
+    assert df.select(*(fn.safe_float(c) for c in "abcd")).first()[:] == (1.5, None, None, None)
+    m = spark.createDataFrame([(" Fit ", None, None, "POSITIVE", None, None), (" ", None, "nice", "odd", 0.5, "m"), ("", " ", None, None, None, None)], "aspect string, surface_form string, opinion string, sentiment string, confidence double, model_version string")
+    assert [tuple(r) for r in preferences.cleaned_mentions(m).collect()] == [("fit", "fit", "", "Positive", 1.0, "unknown"), ("nice", "nice", "nice", "Neutral", 0.5, "m")]
+    assert [r.label for r in graph.price_ranges(spark).orderBy("lower_bound").collect()] == ["$0-$50", "$50-$150", "$150-$400", "$400-$1000", "$1000-$1500", "$1500+"]
+    events = spark.createDataFrame([("2024-01-01 00:01:00", "a"), ("2024-01-01 00:09:00", "a"), ("2024-01-01 00:11:00", "a")], "t string, k string").withColumn("t", F.to_timestamp("t"))
+    assert sorted(r.n for r in streams.windowed_counts(events, "t", "k").collect()) == [1, 2]
+    sizes = records.in_batches(spark.range(25).coalesce(1), 10, lambda part: part.assign(id=len(part)).iloc[:1], "id bigint")
+    assert sorted(r.id for r in sizes.collect()) == [5, 10, 10]
+    shapes = {r.key: (r.kind, r.sizes) for r in records.key_shapes(spark.createDataFrame([([1, 2], "abc")], "l array<int>, s string")).collect()}
+    assert shapes == {"l": ("array<int>", [2]), "s": ("string", [3])}
+    full = records.absent_filled(spark.createDataFrame([('{"a": null}', None), ("{}", None)], "raw string, a string"), "raw", {"a": "d", "b": 0})
+    assert [(r.a, r.b) for r in full.collect()] == [(None, 0), ("d", 0)]
+    assert records.combined(spark.range(0).withColumn("p", F.lit(1)), spark.range(0).withColumn("p", F.lit(1)), "p") is None
+    with pytest.raises(ValueError):
+        graph.path_counts(spark.createDataFrame([(1, 2), (2, 1)], "c int, p int"), "c", "p", 5)
+
+
+def test_stored_tables(spark, tmp_path):
+    root, other = str(tmp_path / "a"), str(tmp_path / "b")
+    files.store({"n": spark.range(3), "e": spark.range(2)}, root)
+    assert files.registered(spark, root) == ["e", "n"] and spark.sql("SELECT count(*) FROM n").first()[0] == 3
+    assert files.dump(spark, root, other) == ["e", "n"] and files.load(spark, other, "e").count() == 2
+    files.clear(spark, root)
+    assert files.tables(spark, root) == [] and not spark.catalog.tableExists("n")
+    m, r = spark.createDataFrame([("a", "t")], "asin string, title string"), spark.createDataFrame([("a", "u")], "asin string, user_id string")
+    files.write_outputs(m, r, m, other)
+    schemas = {"processed_metadata": "asin string, title string", "processed_reviews": "asin string, user_id string", "combined_product_data": "asin string, title string"}
+    assert files.read_outputs(spark, other, schemas, lambda a, b: a)["combined_product_data"].count() == 1
+    files.write_outputs(m, r, m, str(tmp_path / "c"))
+    import shutil
+
+    shutil.rmtree(tmp_path / "c/combined_product_data")
+    assert files.read_outputs(spark, str(tmp_path / "c"), schemas, lambda a, b: a.join(b, "asin"))["combined_product_data"].columns == ["asin", "title", "user_id"]
+    with pytest.raises(FileNotFoundError):
+        files.read_outputs(spark, str(tmp_path / "d"), schemas, lambda a, b: a)
+    for k in range(4):
+        (tmp_path / f"l{k}.txt").write_text("".join(f"{k}-{i}\n" for i in range(25)))
+    got = [x.value for x in files.first_lines(spark, str(tmp_path / "l*.txt"), 0.4).collect()]
+    assert sorted(got) == sorted([f"0-{i}" for i in range(25)] + [f"1-{i}" for i in range(15)])
+    good, counts = files.load_report(spark.createDataFrame([("a",), ("",), (None,)], "asin string"), spark.range(2), ["x", "asin"])
+    assert good.count() == 1 and counts.first()[:] == (1, 2, 2)
+
+
+def test_upserting_keeps_what_is_there(spark, tmp_path):
+    """A batch that comes again, one whose id was skipped, and a new checkpoint that starts at 0."""
+    path, merge = str(tmp_path / "t"), streams.upserting(str(tmp_path / "t"), "k", ["t"], parts=4)
+    for batch_id, rows in ((0, [("a", "1", 0), ("b", "2", 0)]), (5, [("b", "3", 1)]), (5, [("b", "3", 1)]), (0, [("c", "4", 2)]), (1, [])):
+        merge(spark.createDataFrame(rows, "k string, v string, t int"), batch_id)
+    assert {r.k: r.v for r in streams.upserted(spark, path).collect()} == {"a": "1", "b": "3", "c": "4"}
+
+
+def test_vector_index(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(c, 1.0) for c in rng.choice([(4, 0, 0, 0), (0, 4, 0, 0), (0, 0, 4, -4)])]) for i in range(600)] + [(999, None)]
+    v = spark.createDataFrame(rows, "id int, e array<float>")
+    assert vector_index.build(v, "id", "e", str(tmp_path / "i"), lists=8, sample=300) and not vector_index.build(v, "id", "e", str(tmp_path / "i"))
+    hits = 0
+    for q in rows[:20]:
+        exact = [r.id for r in search.nearest(v.where("e IS NOT NULL"), "id", "e", q[1], 10).collect()]
+        assert [r.id for r in vector_index.search(spark, str(tmp_path / "i"), "id", "e", q[1], 10, probes=8).collect()] == exact
+        hits += len(set(exact) & {r.id for r in vector_index.search(spark, str(tmp_path / "i"), "id", "e", q[1], 10, probes=3).collect()})
+    assert hits >= 0.9 * 200
+
+
+def test_rankers(spark):
+    items = spark.createDataFrame([("red shoe and hat", "a"), ("the blue hat", "b"), (None, None)], "text string, kind string")
+    for kind in ("hashed", "tfidf"):
+        out = rankers.item_features(items, ["kind"], kind).transform(items).select("features").collect()
+        assert len({len(r.features) for r in out}) == 1 and out[0].features.numNonzeros() >= 3
+    ratings = spark.createDataFrame([(u, i, 1.0) for u in range(20) for i in range(20) if (u + i) % 2 == 0 and (u, i) != (0, 0)], "u int, i int, r double")
+    model = rankers.ranker(ratings, "u", "i", "r", rank=4, rounds=5)
+    cold = spark.createDataFrame([(7, 0.5)], "i int, score double")
+    best = rankers.ranked_for(model, spark.createDataFrame([(0,), (99,)], "u int"), 10, cold).collect()
+    assert {r.i for r in best if r.u == 0} == set(range(0, 20, 2)) and [(r.i, r.score) for r in best if r.u == 99] == [(7, 0.5)]
