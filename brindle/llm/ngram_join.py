@@ -27,19 +27,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm import textbytes as tb
 from brindle.llm.components import connected_components
-from brindle.llm.scratch import drop, release, save, saved_path, shuffle_partitions
+from brindle.llm.scratch import drop, free_names, release, save, saved_path, sendable, shuffle_partitions
 
 SPARE = 2
 FRAGMENTS = 8
 SLICE_BYTES = 2 << 20
-#: Ids that may be broadcast; links that one task may hold; rounds in which each set is compared with one other; sets of a block; how many are compared at once.
-SENT_IDS, ONE_TASK, STARS, BLOCK = 500_000, 500_000, 3, 2048
+#: Rounds in which each set is compared with one other; sets of a block; how many are compared at once.
+STARS, BLOCK = 3, 2048
 ROWS_AT_ONCE, PAIRS_AT_ONCE = 512, 8192
+#: Most bytes, compressed, of ids that are broadcast: about half a million of them.
+SENT_BYTES = 8 << 20
 U = np.uint64
 
 
@@ -123,16 +125,20 @@ def signatures(values: np.ndarray, off: np.ndarray, classes: Classes) -> tuple[n
 
 
 def _described(docs: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
-    """(doc_id, n, set_id) of each text."""
+    """(doc_id, hash, n, set_id) of each text; hash is the text's own."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in tb.slices(whole, text, SLICE_BYTES):
-                values, off = shingle_sets(batch.column(text), k)
-                yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(np.diff(off), pa.int64()), pa.array(set_ids(values, off))], ["doc_id", "n", "set_id"])
+            for batch in tb.slices(whole, "text", SLICE_BYTES):
+                values, off = shingle_sets(batch.column("text"), k)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), pa.array(np.diff(off), pa.int64()), pa.array(set_ids(values, off))], ["doc_id", "hash", "n", "set_id"])
+
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_hash(text).alias("hash"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"doc_id {kind}, hash bigint, n bigint, set_id bigint")
+
 
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")).mapInArrow(run, f"doc_id {kind}, n bigint, set_id bigint")
+def text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
 
 
 def _signed(docs: DataFrame, text: str, k: int, classes: Classes) -> DataFrame:
@@ -151,45 +157,34 @@ def _signed(docs: DataFrame, text: str, k: int, classes: Classes) -> DataFrame:
     return docs.select(F.col(f"`{text}`")).mapInArrow(run, "sig bigint, set_id bigint")
 
 
-def _sharing(rows: DataFrame, more: list[str] | None = None) -> DataFrame:
-    """(sig, set_id, head, ...) of signatures with two different sets or more; head is the least of them.
+def _sharing(rows: DataFrame) -> DataFrame:
+    """(sig, set_id) of signatures with two different sets or more, each once.
 
-    The rows are dealt by signature and sorted; Python sees a stream of them and
-    holds those of one signature at most beyond a batch.
+    The rows are dealt by signature and sorted.  Python sees a stream of them in
+    which a row stays if a neighbour has its signature, so it holds one batch and
+    one row more, however many sets share a signature.
     """
-    cols = ["sig", "set_id", *(more or [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        last, shared = None, False  # the row held back, and whether the one before it had its signature
         for batch in batches:
-            part = [batch.column(c).to_numpy(zero_copy_only=False) for c in cols]
-            if held:
-                part = [np.concatenate(x) for x in zip(held, part, strict=True)]
-            if not len(part[0]):
+            sig, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "set_id"))
+            if last is not None:
+                sig, ids = np.concatenate([[last[0]], sig]), np.concatenate([[last[1]], ids])
+            if not len(sig):
                 continue
-            cut = int(np.searchsorted(part[0], part[0][-1], "left"))
-            held = [x[cut:] for x in part]
-            yield from shared([x[:cut] for x in part])
-        if held:
-            yield from shared(held)
-
-    def shared(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        sig, ids = part[0], part[1]
-        if len(sig) < 2:
-            return
-        new_sig = np.concatenate([[True], sig[1:] != sig[:-1]])
-        first = np.concatenate([[True], (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])])
-        part, new_sig = [x[first] for x in part], new_sig[first]
-        start = np.flatnonzero(new_sig)
-        size = np.diff(np.concatenate([start, [len(new_sig)]]))
-        head = np.repeat(part[1][start], size)
-        keep = np.repeat(size, size) > 1
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (*part, head)], [*cols, "head"])
-
-    n = shuffle_partitions(rows.sparkSession)
-    dealt = rows.select(*cols).repartition(n, "sig").sortWithinPartitions("sig", "set_id")
-    return dealt.mapInArrow(run, ", ".join(f"{c} bigint" for c in (*cols, "head")))
+            new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])])
+            sig, ids = sig[new], ids[new]
+            before = np.concatenate([[shared], sig[1:] == sig[:-1]])
+            keep = before[:-1] | before[1:]
+            last, shared = (sig[-1], ids[-1]), bool(before[-1])
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep]) for x in (sig, ids)], ["sig", "set_id"])
+        if shared:
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in last], ["sig", "set_id"])
+
+    dealt = rows.select("sig", "set_id").repartition(shuffle_partitions(rows.sparkSession), "sig").sortWithinPartitions("sig", "set_id")
+    return dealt.mapInArrow(run, "sig bigint, set_id bigint")
 
 
 def _survivors(table: pa.Table, num: int, den: int) -> pa.Table:
@@ -235,37 +230,6 @@ def _survivors(table: pa.Table, num: int, den: int) -> pa.Table:
     return pa.table({"a": np.concatenate(out_a or [ids[:0]]), "b": np.concatenate(out_b or [ids[:0]])})
 
 
-def _components(links: DataFrame) -> DataFrame:
-    """(node, component) of links (a, b).
-
-    Up to ``ONE_TASK`` links go through a union-find in one task, which holds
-    them in a few megabytes; more take the distributed rounds.  The result is
-    the same: each node's least reachable set.
-    """
-    if links.count() > ONE_TASK:
-        return connected_components(links, "a", "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            top = x
-            while (up := root.setdefault(top, top)) != top:
-                top = up
-            while root[x] != top:
-                root[x], x = top, root[x]
-            return top
-
-        for batch in batches:
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-        nodes = list(root)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["node", "component"])
-
-    return links.select("a", "b").coalesce(1).mapInArrow(run, "node bigint, component bigint")
-
-
 class Join:
     """A self-join of the texts of docs; see the module."""
 
@@ -278,7 +242,7 @@ class Join:
     def _texts(self, wanted: DataFrame) -> DataFrame:
         """One text of each wanted set.  wanted: (set_id), distinct."""
         ids = save(wanted.join(self.sets, "set_id").select("set_id", "least"), "wanted")
-        few = ids.count() <= SENT_IDS
+        few = sendable(ids, SENT_BYTES)
         right = ids.select("least").distinct()
         on = F.col(f"`{self.id}`").eqNullSafe(F.col("least"))
         return self.docs.select(F.col(f"`{self.id}`"), F.col(f"`{self.text}`")).join(F.broadcast(right) if few else right, on, "left_semi")
@@ -395,7 +359,7 @@ class Join:
         return best.select("p.a", "p.b").distinct()
 
     def components(self) -> DataFrame:
-        """(doc_id, n, component): a row for each row of docs."""
+        """(doc_id, hash, n, comp, component): a row for each row of docs; comp names the component by its least set, component by its least id."""
         spark = self.docs.sparkSession
         groups = save(_sharing(_signed(self.docs, self.text, self.k, self.classes)), "groups")
         release()
@@ -411,19 +375,19 @@ class Join:
             found = self._links(stars)
             links = found if links is None else links.union(found)
             tried = stars if tried is None else tried.union(stars)
-            comp = save(_components(links), "comp")
+            comp = save(connected_components(links, "a", "b"), "comp")
         if links is not None:
             rest = save(self._residual(groups, comp).join(tried, ["a", "b"], "left_anti"), "rest")
             release()
             if not rest.isEmpty():
                 links = links.union(self._links(rest))
-                comp = save(_components(links), "comp")
+                comp = save(connected_components(links, "a", "b"), "comp")
         named = self.sets.join(comp, F.col("set_id") == F.col("node"), "left").select("set_id", "least", F.coalesce("component", "set_id").alias("comp"))
         named = save(named, "named")
         least = named.groupBy("comp").agg(F.min("least").alias("component"))
-        of_set = named.join(least, "comp").select("set_id", "component")
-        out = self.described.select("doc_id", "n", F.when(F.col("n") > 0, F.col("set_id")).alias("set_id")).join(of_set, "set_id", "left")
-        return out.select("doc_id", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component"))
+        of_set = named.join(least, "comp").select("set_id", "comp", "component")
+        out = self.described.select("doc_id", "hash", "n", F.when(F.col("n") > 0, F.col("set_id")).alias("set_id")).join(of_set, "set_id", "left")
+        return out.select("doc_id", "hash", "n", "comp", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -436,20 +400,31 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     rows with a null id take part, but a null id is never the least.  An empty
     table gives no rows.  Other columns aren't read.
     """
-    return Join(docs, id_col, text, k, num, den).components()
+    return Join(docs, id_col, text, k, num, den).components().select("doc_id", "n", "component")
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs, its columns unchanged, with one row of each component: that with the least id.
+    """docs, its columns unchanged, with one row of each component: that with the least id, a null id after all others.
 
-    Rows without a set stay.  Rows go by their id: one goes if each row of its id
-    has a component with a lesser one.  Of repeated rows with one id one stays.
+    Rows without a set (null, empty and blank texts) stay, repeats too.  Rows go
+    by id and text: of rows that agree in both one stays, whichever; where one id
+    has several texts in a component, that of the least hash.  Other columns may
+    be of any type and name.  An empty table stays empty.
     """
-    join = Join(docs, id_col, text, **{"k": 5, "num": 80, "den": 100} | options)
-    found = join.components()
-    gone = found.groupBy("doc_id").agg(F.min((F.col("n") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component"))).alias("all"))
-    gone = save(gone.where("all").select(F.col("doc_id").alias("__gone")), "gone")
-    few = gone.count() <= SENT_IDS
-    kept = docs.join(F.broadcast(gone) if few else gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__gone")), "left_anti")
-    again = join.described.where("n > 0").groupBy("doc_id", "set_id").count().where("count > 1").join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
-    return kept if again.isEmpty() else kept.dropDuplicates()
+    found = save(Join(docs, id_col, text, **{"k": 5, "num": 80, "den": 100} | options).components().where("n > 0").groupBy("doc_id", "hash", "comp").count(), "found")
+    first = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("hash") == F.col("first.hash"))
+    placed = found.join(first, "comp").select("doc_id", "hash", "count", stays.alias("stays"))
+    of, hashed, nth = free_names(docs, "of", "hashed", "nth")
+
+    def on(keys: DataFrame) -> tuple[DataFrame, Column]:
+        same = F.col(f"`{id_col}`").eqNullSafe(F.col(of)) & (text_hash(text) == F.col(hashed))
+        return F.broadcast(keys) if sendable(keys, SENT_BYTES) else keys, same
+
+    gone = save(placed.where("NOT stays").select(F.col("doc_id").alias(of), F.col("hash").alias(hashed)), "gone")
+    again = save(placed.where("stays AND count > 1").select(F.col("doc_id").alias(of), F.col("hash").alias(hashed)), "again")
+    kept = docs.join(*on(gone), "left_anti")
+    if again.isEmpty():
+        return kept
+    repeated = kept.join(*on(again), "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(F.col(f"`{id_col}`"), text_hash(text)).orderBy(F.lit(1))))
+    return kept.join(*on(again), "left_anti").unionByName(repeated.where(F.col(nth) == 1).drop(nth))

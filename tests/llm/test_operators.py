@@ -455,6 +455,17 @@ def test_near_duplicates(spark, odd, monkeypatch):
     assert ngram_join.near_duplicates(empty(spark)).isEmpty()
 
 
+def test_drop_near_duplicates_repeats(spark):
+    """Repeats without a set, repeats of a kept row, copies under one id, one id with several texts, map columns, clashing names."""
+    ship(spark)
+    a, b = "a b c d e f", "u v w x y z"
+    rows = [(1, a, "p"), (1, a, "p"), (1, a, "q"), (2, "", "p"), (2, "", "p"), (2, None, "p"), (3, a, "p"), (1, b, "p"), (4, b, "p"), (None, b, "p"), (None, "q r s t q", "p"), (None, "q r s t q", "p")]
+    df = spark.createDataFrame([(i, t, {"k": x}, x, x, 1) for i, t, x in rows], "doc_id bigint, text string, m map<string,string>, `of` string, hashed string, nth int")
+    kept = ngram_join.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, a), (2, ""), (2, ""), (2, None), (1, b), (None, "q r s t q")])
+
+
 # --- 9 ---------------------------------------------------------------------------
 
 
