@@ -8,14 +8,20 @@ it.  That gives every verbatim match with its place; matches one word apart on
 one diagonal are chained into the longest ones.  Leaving out suffixes that
 start with no benchmark sequence loses no match and keeps the arrays small.
 
-The benchmark is a stated query set.  It reaches the executors in blocks of
-``block_bytes`` of text, each a narrow pass over the documents, so nothing is
-shuffled and no task holds more than one shard and one block.
+The benchmark is a stated query set.  Tasks write it into the shared folder in
+blocks of ``block_bytes`` of text; the driver gets their names.  One narrow pass
+over the documents reads them: a task holds some shards (``HELD_BYTES``) and one
+block at a time, so neither plan nor memory grows with the benchmark.
+
+Words and windows are compared by 64-bit hashes: two different ones among n meet
+with probability n**2 / 2**65.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.llm import arrowfs
 from brindle.llm import textbytes as tb
+from brindle.llm.scratch import new_path
 
 WINDOW, RATIO = 13, 20
-SHARD_BYTES, BLOCK_BYTES = 3 << 20, 8 << 20
+SHARD_BYTES, BLOCK_BYTES, HELD_BYTES = 3 << 20, 8 << 20, 64 << 20
 FOUND = "__found"
 _MATCH = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("item_word", T.LongType()), T.StructField("doc_word", T.LongType()), T.StructField("n_words", T.LongType())])
 _FOUND = T.StructType([
@@ -178,12 +186,13 @@ def _longest(block: Block, item: np.ndarray, word: np.ndarray, within: np.ndarra
     return [best[x] for x in sorted(best)]
 
 
-def _shard(block: Block | None, batch: pa.RecordBatch, text: str, ratio: int) -> pa.Array:
+def _shard(block: Block | None, batch: pa.RecordBatch, text: str, ratio: int, found: pa.Array | None = None) -> pa.Array:
+    """What a block finds in a shard, with what earlier blocks found."""
     raw, off = tb.text_bytes(batch.column(text))
     data = tb.LOWER[raw]
     s, e, first = tb.runs(data, off, tb.ALNUM)
     counts = np.diff(first)
-    old = batch.column(FOUND).to_pylist() if FOUND in batch.schema.names else [None] * batch.num_rows
+    old = [None] * batch.num_rows if found is None else found.to_pylist()
     nothing = hashlib.sha256(b"").hexdigest()
     out = [x or {"n_words": int(n), "n_hit": 0, "n_items": 0, "items_sha256": nothing, "contaminated": False, "items": [], "hit_from": [], "hit_to": [], "longest": []} for x, n in zip(old, counts.tolist(), strict=True)]
     window, word = shard_matches(block, tb.run_hashes(data, s, e), first) if block else (np.zeros(0, np.int64),) * 2
@@ -206,18 +215,41 @@ def _shard(block: Block | None, batch: pa.RecordBatch, text: str, ratio: int) ->
     return pa.array(out, _ARROW)
 
 
-def _blocks(benchmark: DataFrame, item_id: str, item_text: str, most: int) -> Iterator[list[tuple[str, str]]]:
-    """The items by blocks of bounded size; the driver holds one of them at a time."""
-    rows = benchmark.select(F.col(item_id).cast("string"), F.col(item_text)).where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull())
-    block, size = [], 0
-    for name, text in rows.toLocalIterator():
-        block.append((name, text))
-        size += len(text)
-        if size >= most:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str, window: int, most: int) -> list[str]:
+    """Writes the items as blocks of bounded size into the shared folder, from tasks; the files' names."""
+    rows = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("name"), F.col(f"`{item_text}`").cast("string").alias("text")).where("name IS NOT NULL AND text IS NOT NULL")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    folder = new_path(benchmark.sparkSession, "benchmark")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def written(items: list[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
+            block = Block(items, window)
+            if block.shortest:
+                uri = f"{folder}/{uuid.uuid4().hex}.block"  # an attempt's own; only names that arrive are read
+                where, name = arrowfs.at(uri)
+                where.create_dir(name.rpartition("/")[0], recursive=True)
+                with where.open_output_stream(name, compression=None) as out:
+                    out.write(pickle.dumps(block))
+                yield pa.RecordBatch.from_arrays([pa.array([uri])], ["file"])
+
+        held, n = [], 0
+        for batch in batches:
+            for item in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                held.append(item)
+                n += len(item[1])
+                if n >= most:
+                    yield from written(held)
+                    held, n = [], 0
+        if held:
+            yield from written(held)
+
+    return sorted(r["file"] for r in rows.repartition(max(1, -(-size // most))).mapInArrow(run, "file string").collect())
+
+
+def _read_block(uri: str) -> Block:
+    where, name = arrowfs.at(uri)
+    with where.open_input_file(name) as f:
+        return pickle.loads(f.read())
 
 
 def find_contamination(
@@ -234,21 +266,31 @@ def find_contamination(
     schema = T.StructType([*docs.schema.fields, T.StructField(FOUND, _FOUND)])
     names = docs.columns
 
-    def over(block: Block | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for batch in tb.slices(whole, text, shard_bytes):
-                    found = _shard(block, batch, text, ratio)
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), found], [*names, FOUND])
-
-        return run
-
-    out = None
-    for items in _blocks(benchmark, item_id, item_text, block_bytes):
-        block = Block(items, window)
-        if block.shortest:
-            out = (docs if out is None else out).mapInArrow(over(block), schema)
-    return docs.mapInArrow(over(None), schema) if out is None else out
+    files = _blocks(benchmark, item_id, item_text, window, block_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = _read_block(files[0]) if len(files) == 1 else None
+
+        def judged(shards: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = [None] * len(shards) if files else [_shard(None, x, text, ratio) for x in shards]
+            for uri in files:
+                block = only or _read_block(uri)
+                found = [_shard(block, x, text, ratio, old) for x, old in zip(shards, found, strict=True)]
+            for x, each in zip(shards, found, strict=True):
+                yield pa.RecordBatch.from_arrays([*(x.column(c) for c in names), each], [*names, FOUND])
+
+        held, size = [], 0
+        for whole in batches:
+            for batch in tb.slices(whole, text, shard_bytes):
+                held.append(batch)
+                size += batch.nbytes
+                if len(files) < 2 or size >= HELD_BYTES:
+                    yield from judged(held)
+                    held, size = [], 0
+        if held:
+            yield from judged(held)
+
+    return docs.mapInArrow(run, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
