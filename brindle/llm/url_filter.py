@@ -115,8 +115,6 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame = DEFA
     if redirects is not None:
         edges = edges.union(redirects.select(node_of(F.col("src")), node_of(F.col("dst"))).where("src <> dst"))
     edges = save(edges.distinct(), "aliases")
-    if edges.isEmpty():
-        return own.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.lit("allow")).alias("verdict"), F.lit(None).cast("string").alias("component"))
     comp = connected_components(edges, "src", "dst")
     ruled = with_rule(comp.withColumns({"host": host_of(F.col("node")), "path": path_of(F.col("node"))}), rules)
     decided = ruled.groupBy("component").agg(F.max(F.col("rule_verdict") == "allow").alias("allowed"), F.max(F.col("rule_verdict") == "block").alias("blocked"))
