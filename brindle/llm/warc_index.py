@@ -65,6 +65,13 @@ def record(page: str | None, url: str | None, payload: bytes, refers: str | None
     return gzip.compress(head + block + b"\r\n\r\n", compresslevel=1, mtime=0)
 
 
+def info(date: str) -> bytes:
+    """The record at the head of a file, which says what the file is."""
+    block = b"software: brindle\r\nformat: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}", "", ""]
+    return gzip.compress("\r\n".join(lines).encode() + block + b"\r\n\r\n", compresslevel=1, mtime=0)
+
+
 def parse(raw: bytes) -> dict:
     """The fields of one record: page, url, kind, refers, digest (hex), payload_bytes, payload (None for a revisit)."""
     data = gzip.decompress(raw)
@@ -108,6 +115,8 @@ def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url: str = "u
             if out is None and batch.num_rows:
                 where.create_dir(name.rpartition("/")[0], recursive=True)
                 out = where.open_output_stream(name, compression=None)
+                out.write(head := info(date))
+                place = len(head)
             at, size = [], []
             columns = [batch.column(c) for c in ("id", "url", "html", "revisit", "keeper")]
             for row in zip(*columns, strict=True):
