@@ -1,9 +1,9 @@
 """Best-fit packing by exact-complement hashing.
 
 Only lengths matter to the packing, and there are at most ``capacity`` of them,
-so the plan is made from a histogram: for the longest length left, look up the
-gap among single, pair and triple sums of the lengths still there, under their
-counts; consume a combination that fills it exactly, as often as counts allow;
+so the plan is made from a histogram.  Single, pair and triple sums of the lengths
+are indexed by sum.  For the longest length left the gap is looked up there, and a
+combination that fills it exactly is consumed, as often as counts allow;
 where none does, place the best-fitting length and look again.  A plan is a
 list of templates (lengths, how often); each step uses up a length or a
 combination, so their number depends on the capacity and not on the corpus.
@@ -14,6 +14,7 @@ of each task, prefix sums of those) and each takes its slot.
 
 from __future__ import annotations
 
+import bisect
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,10 +32,41 @@ SLICE_BYTES = 2 << 20
 
 
 class Complements:
-    """Which lengths are left, and the combinations of up to three of them with a given sum."""
+    """Which lengths are left, and an index of the pairs and triples of them by their sum.
+
+    An entry is named by its longest part: a pair's other part follows from it,
+    and a triple's other two are a pair of the rest.  Counts only fall, so an
+    entry that is found used up is taken out for good; a sum's list is made when
+    it is first asked for.  There are at most capacity**2 / 2 entries of a kind.
+    """
 
     def __init__(self, counts: np.ndarray):
-        self.counts = counts.copy()
+        self.counts, top = counts.copy(), len(counts) - 1
+        lengths = np.flatnonzero(counts[1:]) + 1
+        i, j = np.tril_indices(len(lengths))
+        long, total = lengths[i], lengths[i] + lengths[j]
+        self.pairs = self._by_sum(total[total <= top], long[total <= top], top)
+        #: Of each sum the least longest part: a triple's pair must not have a longer part than the triple.
+        least = np.full(top + 1, top + 1)
+        np.minimum.at(least, total[total <= top], long[total <= top])
+        sums = np.flatnonzero(least <= top)
+        long, rest = np.repeat(lengths, len(sums)), np.tile(sums, len(lengths))
+        use = (long + rest <= top) & (least[rest] <= long)
+        self.triples = self._by_sum((long + rest)[use], long[use], top)
+
+    @staticmethod
+    def _by_sum(total: np.ndarray, long: np.ndarray, top: int) -> dict[int, np.ndarray | list[int]]:
+        """For each sum the longest parts, ascending."""
+        by = np.lexsort((long, total))
+        total, long = total[by], long[by].astype(np.int32)
+        edge = np.searchsorted(total, np.arange(top + 2))
+        return {x: long[edge[x] : edge[x + 1]] for x in np.unique(total).tolist()}
+
+    def _listed(self, index: dict, total: int) -> list[int]:
+        found = index.get(total, [])
+        if isinstance(found, np.ndarray):
+            found = index[total] = found.tolist()
+        return found
 
     def _fits(self, parts: list[int]) -> bool:
         return all(self.counts[x] >= parts.count(x) for x in set(parts))
@@ -43,23 +75,30 @@ class Complements:
         """Lengths, three at most, whose sum is the gap: one before two before three, with the longest first."""
         if self.counts[gap] > 0:
             return [gap]
-        here = self.counts[: gap + 1] > 0
-        a = np.flatnonzero(here[: gap + 1])
-        a = a[(a >= gap - a) & (a < gap)]
-        for x in a[here[gap - a]][::-1].tolist():
-            if self._fits([x, gap - x]):
-                return [x, gap - x]
-        lengths = np.flatnonzero(here[1:]) + 1
-        for x in lengths[::-1].tolist():
-            rest = gap - x
-            if 3 * x < gap:
-                break
-            if rest < 2:
-                continue
-            b = lengths[(lengths <= x) & (2 * lengths >= rest) & (lengths < rest)]
-            for y in b[here[rest - b]][::-1].tolist():
-                if self._fits([x, y, rest - y]):
-                    return [x, y, rest - y]
+        pairs = self._listed(self.pairs, gap)
+        while pairs:
+            if self._fits([pairs[-1], gap - pairs[-1]]):
+                return [pairs[-1], gap - pairs[-1]]
+            pairs.pop()
+        triples = self._listed(self.triples, gap)
+        while triples:
+            found = self._with_pair(triples[-1], gap - triples[-1])
+            if found:
+                return found
+            triples.pop()
+        return None
+
+    def _with_pair(self, x: int, rest: int) -> list[int] | None:
+        """x and the first pair of that sum, none of it longer than x, that fits beside it."""
+        if not self.counts[x]:
+            return None
+        pairs = self._listed(self.pairs, rest)
+        for at in range(bisect.bisect_right(pairs, x) - 1, -1, -1):
+            y = pairs[at]
+            if self._fits([x, y, rest - y]):
+                return [x, y, rest - y]
+            if not self._fits([y, rest - y]):
+                del pairs[at]
         return None
 
     def best(self, gap: int) -> int | None:
