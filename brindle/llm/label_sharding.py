@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.scratch import drop, save, saved_path
+from brindle.llm.scratch import drop, save, saved_path, shuffle_partitions
 
 ROUNDS, SLOT_ROWS = 4, 50_000
 
@@ -107,7 +107,7 @@ def label_propagation(docs: DataFrame, shards: int = 8, *, rounds: int = ROUNDS,
 
 def _filled(labelled: DataFrame, room: list[int], total: int) -> DataFrame:
     """Shards of exactly ``room`` rows: linked rows keep theirs as far as there is room, all others fill the rest."""
-    shards, buckets = len(room), max(1, total // SLOT_ROWS)
+    shards, buckets = len(room), max(shuffle_partitions(labelled.sparkSession), total // SLOT_ROWS)
     kept = save(rank_within(labelled.where("shard is not null"), "shard", F.col("uid"), "rank", buckets), "kept")
     limit = F.element_at(F.array(*(F.lit(r) for r in room)), F.col("shard") + 1)
     over = kept.where(F.col("rank") >= limit)
@@ -124,3 +124,11 @@ def _filled(labelled: DataFrame, room: list[int], total: int) -> DataFrame:
         shard, slot = F.when(here, F.lit(s)).otherwise(shard), F.when(here, F.col("rank") - first + used[s]).otherwise(slot)
         first += n
     return stay.unionByName(loose.select("doc_id", "size", "text_crc32", "group", shard.alias("shard"), slot.alias("slot")))
+
+
+def cut_edges(placed: DataFrame) -> DataFrame:
+    """(pairs, cut): pairs of copies, and how many of them lie on different shards; from counts, no pair is made.  placed: rows with group and shard."""
+    pairs_of = lambda n: n * (n - 1) / 2
+    each = placed.groupBy("group", "shard").agg(F.count("*").cast("double").alias("n"))
+    of_group = each.groupBy("group").agg(pairs_of(F.sum("n")).alias("pairs"), F.sum(pairs_of(F.col("n"))).alias("together"))
+    return of_group.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum(F.col("pairs") - F.col("together")), F.lit(0.0)).alias("cut"))
