@@ -171,10 +171,13 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", rules:
 def keep_good(docs: DataFrame, *, text: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
     """docs, its columns unchanged, without the rows that are rejected; the cases are those of ``judge``.
 
-    Rows are written once with their measures, which the model and the verdict
-    then read: a text is measured once, and nothing is shuffled.  A row is one
-    struct there, so its columns may have any names.
+    The measures are taken twice, for the model and for the verdict: that costs
+    time but neither a shuffle nor a copy of the texts.  A row is one struct
+    meanwhile, so its columns may have any names.
     """
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text}`").alias("text"))
-    measured = save(measures(packed).select("row", FOUND), "measures")
-    return measured.where(verdict(fit(measured, rules), rules, threshold)).select("row.*")
+    model = fit(measures(packed.select("text")).select(FOUND), rules)
+    # The partition's number, not being deterministic, keeps the filter above the
+    # projection: below it, arrays would be built anew for each element of a lambda.
+    judged = measures(packed).select("row", verdict(model, rules, threshold).alias("kept"), F.spark_partition_id().alias("here"))
+    return judged.where(F.col("kept") & (F.col("here") >= 0)).select("row.*")
