@@ -36,7 +36,7 @@ from brindle.llm.scratch import drop, free_names, release, save, saved_path, sen
 
 SPARE = 2
 FRAGMENTS = 8
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Rounds in which each set is compared with one other; sets of a block; how many are compared at once.
 STARS, BLOCK = 3, 2048
 ROWS_AT_ONCE, PAIRS_AT_ONCE = 512, 8192
