@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -508,3 +509,65 @@ def test_licenses(spark, documents, texts, odd):
     exact = {(d, k) for d, t in texts.items() for k, (_, x) in enumerate(license_scan.TEMPLATES) if " ".join(license_scan.words_of(x)) in " ".join(license_scan.words_of(t or ""))}
     assert exact <= {(r.doc_id, r.template) for r in license_scan.scan(documents).collect()}
     assert license_scan.scan(empty(spark)).isEmpty() and license_scan.scan(frame(spark, rows), ()).isEmpty()
+
+
+def test_label_model_against_brute_force(spark):
+    """Expectation-maximisation over the documents one by one, not over counts of combinations, gives the same posteriors."""
+    ship(spark)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = weak_quality.measures(docs.select("doc_id", "text")).select("doc_id", *(v.alias(f"v{k}") for k, v in enumerate(weak_quality.votes()))).collect()
+    votes = np.array([tuple(r)[1:] for r in rows])
+    hits, alarms, prior, weight = 0.4, 0.02, 0.8, 20
+    rates, last = np.tile([hits, alarms], (votes.shape[1], 1)), None
+    for _ in range(200):
+        odds = np.full(len(votes), math.log(prior / (1 - prior)))
+        for k, (a, b) in enumerate(rates):
+            odds += np.where(votes[:, k] == 0, math.log(b / a), np.where(votes[:, k] == 1, math.log((1 - b) / (1 - a)), 0))
+        good = 1 / (1 + np.exp(-odds))
+        if last is not None and np.abs(good - last).max() < 1e-6:
+            break
+        last, prior = good, (good.sum() + 0.8 * weight) / (len(votes) + weight)
+        for k in range(votes.shape[1]):
+            bad, voted = votes[:, k] == 0, votes[:, k] < 2
+            top = np.array([((1 - good) * bad).sum() + hits * weight, (good * bad).sum() + alarms * weight])
+            base = np.array([((1 - good) * voted).sum() + weight, (good * voted).sum() + weight])
+            rates[k] = top / base if top[0] / base[0] >= top[1] / base[1] else top.sum() / base.sum()
+    got = {r.doc_id: r.posterior for r in weak_quality.judge(docs).collect()}
+    assert all(abs(got[r.doc_id] - p) < 1e-4 for r, p in zip(rows, good, strict=True))
+
+
+def test_cut_edges(spark):
+    ship(spark)
+    rng = random.Random(23)
+    placed = [(rng.choice("abc"), rng.randrange(3)) for _ in range(60)] + [("alone", 1)]
+    pairs = [x[1] != y[1] for i, x in enumerate(placed) for y in placed[:i] if x[0] == y[0]]
+    got = label_sharding.cut_edges(spark.createDataFrame(placed, "`group` string, shard int")).first()
+    assert (got.pairs, got.cut) == (len(pairs), sum(pairs))
+
+
+def test_redirects_by_random_aliases(spark):
+    """Verdicts of a random alias graph, known redirects and canonical links mixed, against a union of sets."""
+    ship(spark)
+    rng = random.Random(29)
+    urls = [f"http://{h}/{i}" for i, h in enumerate(rng.choices(["a.org", "b.net/es", "x.com", "c.net/fr", "d.io"], k=80))]
+    edges = [(rng.choice(urls), rng.choice(urls)) for _ in range(45)]
+    root = {u: u for u in urls}
+
+    def find(u):
+        while root[u] != u:
+            u = root[u]
+        return u
+
+    for a, b in edges:
+        root[find(a)] = find(b)
+    own = lambda u: "allow" if ".com/" in u else "block" if ".net/es/" in u or ".net/fr/" in u else None
+    groups = defaultdict(set)
+    for u in urls:
+        groups[find(u)].add(own(u))
+    linked = {u for e in edges for u in e if e[0] != e[1]}
+    want = {u: own(u) or (("allow" if "allow" in groups[find(u)] else "block" if "block" in groups[find(u)] else "allow") if u in linked else "allow") for u in urls}
+    html = defaultdict(lambda: None, {a: f'<link rel="canonical" href="{b}">' for a, b in edges[:20]})
+    known = [(a, b) for a, b in edges if html[a] != f'<link rel="canonical" href="{b}">']
+    pages = spark.createDataFrame([(i, u, html[u]) for i, u in enumerate(urls)], "page_id int, url string, html string")
+    got = url_filter.judge(pages, redirects=spark.createDataFrame(known, "src string, dst string")).collect()
+    assert {urls[r.page_id]: r.verdict for r in got} == want
