@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm.scratch import drop, save, saved_path, shuffle_partitions
 
-ROUNDS, SLOT_ROWS = 4, 50_000
+ROUNDS, SLOT_ROWS, HOT = 4, 50_000, 64
 
 
 def rank_within(df: DataFrame, key: str, order: Column, name: str, buckets: int) -> DataFrame:
@@ -57,6 +57,13 @@ def _quotas(flow: dict[tuple[int, int], int], load: list[int], room: list[int])
     return {k: v / flow[k] for k, v in share.items() if flow[k]}
 
 
+def _with(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows joined with one row of each group: the big ones, of a bounded number, are broadcast, so that none lands in one task."""
+    own = [c for c in groups.columns if c != "big"]
+    hot = rows.where("big").join(F.broadcast(groups.where("big").select(own)), "group")
+    return hot.unionByName(rows.where("NOT big").join(groups.where("NOT big").select(own), "group"))
+
+
 def label_propagation(docs: DataFrame, shards: int = 8, *, rounds: int = ROUNDS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, group, shard, slot) of each row of docs, under the law ``rows``.
 
@@ -71,16 +78,20 @@ def label_propagation(docs: DataFrame, shards: int = 8, *, rounds: int = ROUNDS,
     base = save(base.withColumn("uid", F.monotonically_increasing_id()), "docs")
     total = base.count()
     room = [total // shards + (s < total % shards) for s in range(shards)]
-    hubs = base.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
-    linked = base.join(hubs, "group").select("uid", "group", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int").alias("shard"))
+    # Of groups with more rows than this there are at most HOT for each shard.
+    big = F.col("n") > max(1, total // (shards * HOT))
+    hubs = save(base.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group", big.alias("big")), "hubs")
+    hot = F.broadcast(hubs.where("big"))
+    marked = base.join(hot, "group", "left").withColumn("big", F.coalesce("big", F.lit(False)))
+    linked = _with(marked, hubs).select("uid", "group", "big", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int").alias("shard"))
     linked = save(linked, "labels")
     n_linked = linked.count()
     for turn in range(rounds if n_linked else 0):
-        counts = linked.groupBy("group", "shard").agg(F.count("*").alias("n"))
+        counts = linked.groupBy("group", "big", "shard").agg(F.count("*").alias("n"))
         # Of equally good shards the one a hash prefers: else the first shards would be asked for more than others.
         liked = F.struct(F.col("n"), F.xxhash64("group", "shard").alias("by"), F.col("shard"))
-        wish = counts.groupBy("group").agg(F.max(liked).alias("best")).select("group", F.col("best.shard").alias("to"))
-        asked = save(linked.join(wish, "group"), "asked")
+        wish = counts.groupBy("group", "big").agg(F.max(liked).alias("best")).select("group", "big", F.col("best.shard").alias("to"))
+        asked = save(_with(linked, wish), "asked")
         load = [0] * shards
         for s, n in asked.groupBy("shard").count().collect():
             load[s] = n
@@ -96,10 +107,8 @@ def label_propagation(docs: DataFrame, shards: int = 8, *, rounds: int = ROUNDS,
         dice = F.pmod(F.xxhash64("group", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)
         small = F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)
         moves = (F.col("shard") != F.col("to")) & (F.when(F.col("big"), small).otherwise(dice) < allowed)
-        big = hubs.where(F.col("n") > max(1, total // (shards * 64))).select("group", F.lit(True).alias("big"))
-        stepped = asked.join(big, "group", "left").withColumn("big", F.coalesce("big", F.lit(False)))
         before = linked
-        linked = save(stepped.select("uid", "group", F.when(moves, F.col("to")).otherwise(F.col("shard")).alias("shard")), "labels")
+        linked = save(asked.select("uid", "group", "big", F.when(moves, F.col("to")).otherwise(F.col("shard")).alias("shard")), "labels")
         drop(asked.sparkSession, saved_path(asked), saved_path(before))
     labelled = base.join(linked.select("uid", "shard"), "uid", "left")
     return _filled(labelled, room, total)
