@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import complement_pack, label_sharding, license_scan, ngram_join, pii_bootstrap, repair_tokens, suffix_decontam, url_filter, warc_index, weak_quality
+from brindle.llm import complement_pack, dual_tree, fill_middle, label_sharding, language_id, license_scan, ngram_join, pii_bootstrap, repair_tokens, suffix_decontam, url_filter, warc_index, weak_quality
 from brindle.llm.scratch import ship
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -65,6 +65,26 @@ def op10_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_hierarchical_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    model = language_id.fit(docs.where(~held_out))
+    return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op12_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dual_tree.lloyd(table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def op13_automaton_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sha256 = lambda text: F.sha2(text, 256)
+    told = (F.col(f"fim.{c}") for c in ("n", "form", "prefix_chars", "middle_chars"))
+    return found.select("doc_id", *told, sha256(F.col("fim.output")).alias("output_sha256"), sha256(fill_middle.restored(F.col("fim.output"), F.col("fim.form"))).alias("restored_sha256"))
+
+
 OP1_SQL = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
@@ -109,6 +129,37 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) m USING (doc_id)
 """
 
+
+def _lloyd_sql(rounds: int = 5, k: int = 40) -> str:
+    """The rounds written out one after another."""
+    parts = [
+        "k AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS cluster, v AS c FROM (SELECT sha256('2:' || vec_id) AS h, v FROM k ORDER BY h, v LIMIT {k}))",
+    ]
+    for i in range(rounds + 1):
+        dot = lambda a, b: f"list_inner_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
+        parts.append(f"a{i} AS MATERIALIZED (SELECT r, min({{'d': CAST({dot('v', 'v')} + {dot('c', 'c')} - 2 * {dot('v', 'c')} AS BIGINT), 'cluster': cluster}}) AS best FROM k CROSS JOIN c{i} GROUP BY r)")
+        if i < rounds:
+            parts.append(
+                f"c{i + 1} AS MATERIALIZED (SELECT cluster, coalesce(m, c) AS c FROM c{i} LEFT JOIN (SELECT cluster, list(m ORDER BY pos) AS m FROM (SELECT best.cluster AS cluster, pos, CAST(floor(sum(x) / count(*)) AS BIGINT) AS m "
+                f"FROM (SELECT best, unnest(v) AS x, unnest(range(64)) AS pos FROM a{i} JOIN k USING (r)) GROUP BY 1, 2) GROUP BY cluster) USING (cluster))"
+            )
+    return (
+        f"WITH {', '.join(parts)} SELECT vec_id, CAST(best.cluster AS INTEGER) AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.cluster) AS BIGINT) AS cluster_inertia, "
+        f"CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN k USING (r) JOIN c{rounds} c ON c.cluster = best.cluster"
+    )
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || doc_id) AS h FROM documents),
+x AS (SELECT *, len(u) AS n, [CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT) FOR i IN range(4)] AS g FROM d),
+y AS (SELECT *, least(g[1] % (n + 1), g[2] % (n + 1)) AS a, greatest(g[1] % (n + 1), g[2] % (n + 1)) AS b, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR g[3] % 100 >= 100 THEN 'plain' WHEN g[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM x),
+z AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM y)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM z
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_decontamination": op1_suffix_decontamination,
     "op2_redirect_equivalence": op2_redirect_equivalence,
@@ -120,6 +171,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_complement_packing": op8_exact_complement_packing,
     "op9_balanced_label_sharding": op9_balanced_label_sharding,
     "op10_license_windows": op10_license_windows,
+    "op11_hierarchical_language": op11_hierarchical_language,
+    "op12_dual_tree_lloyd": op12_dual_tree_lloyd,
+    "op13_automaton_fill_middle": op13_automaton_fill_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -127,4 +181,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_redirect_equivalence": OP2_SQL,
     "op3_warc_capture_index": OP3_SQL,
     "op7_ngram_jaccard": OP7_SQL,
+    "op12_dual_tree_lloyd": _lloyd_sql(),
+    "op13_automaton_fill_middle": OP13_SQL,
 }
