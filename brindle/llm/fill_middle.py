@@ -251,7 +251,7 @@ def transform(
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))), 256)
     number = lambda k: F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("bigint")
     dealt_out = docs.withColumns({low: number(0), high: number(1), kind: number(2), order: number(3)})
-    size = F.coalesce(F.octet_length(F.col(f"`{text}`").cast("string")), F.lit(0))
+    size, giant = F.coalesce(F.octet_length(F.col(f"`{text}`").cast("string")), F.lit(0)), max(0, giant)
     cut = _small_cuts(dealt_out.where(size <= giant), text, low, high, [units, first, second], automaton)
     cut = cut.unionByName(_giant_cuts(dealt_out.where(size > giant), text, low, high, [units, first, second], automaton, dealt))
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))

@@ -37,7 +37,7 @@ FAMILIES = {
 }
 UNKNOWN = "und"
 #: Different texts of a language in the sample, and on each side of a machine, about; n-gram lengths; hashed features.
-PER_LANGUAGE, PER_SIDE, ORDERS, FEATURES = 500, 1000, (2, 3, 4), 1 << 13
+PER_LANGUAGE, PER_SIDE, ORDERS, FEATURES = 1000, 2000, (2, 3, 4), 1 << 13
 #: Texts looked at together: bytes, and rows.
 SLICE, ROWS = 2 << 20, 128
 COST, EPOCHS = 10.0, 20
