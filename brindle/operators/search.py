@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import scalars as fn
+from brindle.operators import similarity
 from brindle.operators.clean import top_per_group
 
 OVERFETCH = 30
-#: Query vectors broadcast at a time, and their bytes at most.
-BLOCK, BLOCK_BYTES = 4096, 8 << 20
 BRAND_SCORE, CATEGORY_SCORE, LINK_SCORE = 0.6, 0.75, 0.55
 
 
@@ -22,28 +21,12 @@ def nearest(vectors: DataFrame, key: str, column: str, query: Sequence[float], k
     return vectors.select(key, F.round(fn.index_score(F.col(column), literal), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
-def linked(queries: DataFrame, entities: DataFrame, query_key: str, entity_key: str, column: str, least: float = LINK_SCORE, k: int = 1, *, apart: bool = False, block: int = BLOCK) -> DataFrame:
-    """The k best entities of each query with at least that score; apart: but for the row with the query's own key.
+def linked(queries: DataFrame, entities: DataFrame, query_key: str, entity_key: str, column: str, least: float = LINK_SCORE, k: int = 1, *, apart: bool = False, **how) -> DataFrame:
+    """(query, entity, score, rank): the k best entities of each query with at least that score; apart: but for the row with the query's own key.
 
-    Queries are counted and measured and, if there are more than ``block`` or
-    than ``BLOCK_BYTES`` hold, dealt by key into blocks of about so many.  A block
-    is broadcast, the entities are scanned once a block, and only the best of
-    each task travel.
+    A join by cells, exact unless ``exact=False``; see ``similarity.top_matches``.
     """
-    n, size = queries.agg(F.count("*"), F.coalesce(F.max(F.size(column)), F.lit(1))).first()
-    blocks = max(1, -(-n // max(1, min(block, BLOCK_BYTES // (8 * max(1, size))))))
-    all_queries = queries.select(F.col(query_key).alias("query"), F.col(column).alias("qv"))
-    e = entities.select(F.col(entity_key).alias("entity"), F.col(column).alias("ev"))
-    out = None
-    for b in range(blocks):
-        q = F.broadcast(all_queries if blocks == 1 else all_queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b))
-        pairs = e.join(q)
-        if apart:
-            pairs = pairs.where("query <> entity")
-        scored = pairs.select("query", "entity", F.round(fn.index_score("qv", "ev"), 6).alias("score"))
-        best = top_per_group(scored.where(F.col("score") >= least), ["query"], [F.desc("score"), F.col("entity")], k)
-        out = best if out is None else out.union(best)
-    return out
+    return similarity.top_matches(queries, entities, query_key, entity_key, column, k, least=least, apart=apart, **how)
 
 
 def conditions(filters: dict, products: DataFrame, brands: DataFrame, categories: DataFrame, key: str) -> DataFrame:
@@ -113,6 +96,23 @@ def grounded(filters: dict, ground: Callable[[str, str, int], Sequence[tuple[str
     return out
 
 
+def grounded_requests(requests: DataFrame, brands: DataFrame, categories: DataFrame, *, request: str = "request_id", name: str = "name", column: str = "vector") -> DataFrame:
+    """(request, kind, resolved, score): names in the filters of many requests, each by its nearest entity or null.
+
+    requests: (request, kind, vector), kind one of brand, exclude_brand and
+    category; brands and categories: (name, vector).  A brand is taken from a
+    score of 0.6 on, a category from 0.75; the best of several is the nearest.
+    A row of requests is known by its request and kind.
+    """
+    keyed = requests.select(F.struct(request, "kind").alias("ask"), column)
+    found = None
+    for kinds, entities, least in ((("brand", "exclude_brand"), brands, BRAND_SCORE), (("category",), categories, CATEGORY_SCORE)):
+        near = linked(keyed.where(F.col("ask.kind").isin(*kinds)), entities.select(name, column), "ask", name, column, least).drop("rank")
+        found = near if found is None else found.unionByName(near)
+    answers = found.select(F.col(f"query.{request}").alias(request), F.col("query.kind").alias("kind"), F.col("entity").alias("resolved"), "score")
+    return requests.select(request, "kind").join(answers, [request, "kind"], "left")
+
+
 def grounded_preferences(terms: DataFrame, entities: DataFrame, key: str, entity_key: str, column: str, *, least: float = LINK_SCORE, apart: bool = False) -> DataFrame:
     """(key, resolved, score): each term's nearest entity by name, or its own text where none is near enough.
 
@@ -174,11 +174,13 @@ def evidence(reviews: DataFrame, attributes: DataFrame, key: str, products: Data
     return a.union(r.select(key, F.lit("review"), F.concat(F.lit("Review: "), F.coalesce("title", F.lit(""))), F.substring("text", 1, 300)))
 
 
-def similar_items(vectors: DataFrame, key: str, column: str, rated: DataFrame, neighbours: int = 3, n: int = 10) -> DataFrame:
-    """Items near those of one user, without what they have: (item, score), best first."""
-    mine = rated.select(F.col(rated.columns[0]).alias(key)).distinct()
-    seeds = vectors.join(mine, key, "left_semi")
-    near = linked(seeds, vectors, key, key, column, least=0.0, k=neighbours + 1).where("query <> entity")
-    near = top_per_group(near.drop("rank"), ["query"], [F.desc("score"), F.col("entity")], neighbours)
-    new = near.join(mine.select(F.col(key).alias("entity")), "entity", "left_anti")
-    return new.groupBy(F.col("entity").alias("item")).agg(F.max("score").alias("score")).orderBy(F.desc("score"), "item").limit(n)
+def similar_items(vectors: DataFrame, key: str, column: str, rated: DataFrame, user: str, item: str, neighbours: int = 3, n: int = 10) -> DataFrame:
+    """(user, item, score, rank): for each user the n best of the items nearest to theirs, without what they have.
+
+    Each rated item is looked up once, however many users rated it.
+    """
+    pairs = rated.select(F.col(user).alias("user"), F.col(item).alias("item")).where("user IS NOT NULL AND item IS NOT NULL").distinct()
+    seeds = vectors.join(pairs.select(F.col("item").alias(key)).distinct(), key, "left_semi")
+    near = linked(seeds, vectors, key, key, column, least=0.0, k=neighbours, apart=True).select(F.col("query").alias("item"), "entity", "score")
+    offered = pairs.join(near, "item").groupBy("user", F.col("entity").alias("item")).agg(F.max("score").alias("score"))
+    return top_per_group(offered.join(pairs, ["user", "item"], "left_anti"), ["user"], [F.desc("score"), F.col("item")], n)

@@ -6,13 +6,15 @@ their brand and type the brand and category path; events are aspect mentions.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import scalars as fn
-from brindle.operators import clean, graph, preferences, search, state, stats
+from brindle.operators import clean, graph, preferences, search, state, stats, vector_index
+from brindle.shared import base_dir, remove
 
 ORDER = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
 QUERY = [((k * 37) % 19 - 9) / 10 for k in range(64)]
@@ -157,10 +159,34 @@ def hierarchy_brand_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return products(spark, sf_dir).join(typed, "asin", "left_semi").join(wanted, "asin").select("asin", "price", "brand").orderBy("price", "asin").limit(30)
 
 
-@query("WITH a AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id IN (1, 2, 3)), s AS (SELECT a.vec_id AS q, b.vec_id AS item, round((1 + list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))) / 2, 6) AS score FROM a, embeddings b WHERE a.vec_id <> b.vec_id), k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, item) <= 3) SELECT item, max(score) AS score FROM k WHERE item NOT IN (1, 2, 3) GROUP BY item ORDER BY score DESC, item LIMIT 10")
+COSINE = "round((1 + list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))) / 2, 6)"
+
+
+@query(f"WITH {{REV}}, rated AS (SELECT DISTINCT user_id, asin FROM rev WHERE user_id % 20 = 0), s AS (SELECT a.vec_id AS q, b.vec_id AS item, {COSINE} AS score FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id AND a.vec_id IN (SELECT asin FROM rated)), k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, item) <= 3), o AS (SELECT user_id, k.item, max(score) AS score FROM rated JOIN k ON q = asin GROUP BY ALL) SELECT user_id, item, score, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item) AS INTEGER) AS rank FROM o WHERE NOT EXISTS (SELECT 1 FROM rated WHERE rated.user_id = o.user_id AND rated.asin = o.item) QUALIFY rank <= 10")
 def similar_items_reco(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = vectors(spark, sf_dir)
-    return search.similar_items(v, "asin", "embedding", v.where("asin IN (1, 2, 3)").select("asin"))
+    """For every user whose id 20 divides."""
+    rated = reviews(spark, sf_dir).where("user_id % 20 = 0")
+    return search.similar_items(vectors(spark, sf_dir), "asin", "embedding", rated, "user_id", "asin").withColumnRenamed("user", "user_id")
+
+
+@query(f"WITH r AS (SELECT vec_id, embedding, ['brand', 'exclude_brand', 'category'][CAST(vec_id // 20 % 3 + 1 AS INTEGER)] AS kind FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT a.vec_id, a.kind, (CASE WHEN a.kind = 'category' THEN 'c' ELSE 'b' END) || b.vec_id AS name, {COSINE} AS score FROM r a, embeddings b WHERE CASE WHEN a.kind = 'category' THEN b.label % 2 = 1 ELSE b.label % 2 = 0 END AND b.vec_id % 20 <> 0), k AS (SELECT * FROM s WHERE score >= CASE WHEN kind = 'category' THEN 0.75 ELSE 0.6 END QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, name) = 1) SELECT r.vec_id AS request_id, r.kind, k.name AS resolved, k.score FROM r LEFT JOIN k USING (vec_id)")
+def filter_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of brands and categories in filters, grounded by vectors: rows that 20 divides ask, the others are brands (even label) and categories."""
+    v = table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector")
+    kind = F.get(F.array(*map(F.lit, ("brand", "exclude_brand", "category"))), F.expr("cast(vec_id div 20 % 3 as int)"))
+    named = lambda rows, letter: rows.select(F.concat(F.lit(letter), F.col("vec_id").cast("string")).alias("name"), "vector")
+    known = v.where("vec_id % 20 <> 0")
+    return search.grounded_requests(v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("request_id"), kind.alias("kind"), "vector"), named(known.where("label % 2 = 0"), "b"), named(known.where("label % 2 = 1"), "c"))
+
+
+@query(f"SELECT a.vec_id AS query, b.vec_id AS entity, {COSINE} AS score, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY {COSINE} DESC, b.vec_id) AS INTEGER) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 QUALIFY rank <= 10")
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of all vectors, written and searched exactly by every row whose id 20 divides."""
+    v, path = table(spark, sf_dir, "embeddings"), f"{base_dir(spark)}/vector-index-{uuid.uuid4().hex}"
+    vector_index.build(v, "vec_id", "embedding", path, measure=False)
+    found = vector_index.search_all(spark, path, v.where("vec_id % 20 = 0"), "vec_id", "embedding", 10, exact=True)
+    remove(spark, path)
+    return found
 
 
 # --- cleaning ----------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from brindle.functions import models
 from brindle.functions import scalars as fn
 from brindle.functions import texts
-from brindle.operators import clean, graph, preferences, rankers, records, search, state, templates, vector_index
+from brindle.operators import clean, graph, preferences, rankers, records, search, state, templates
 from brindle.plans import catalog
 from brindle.sources import files
 from brindle.streaming import state as streams
@@ -275,19 +275,6 @@ def test_upserting_keeps_what_is_there(spark, tmp_path):
     assert {r.k: r.v for r in streams.upserted(spark, path).collect()} == {"a": "1", "b": "3", "c": "4"}
 
 
-def test_vector_index(spark, tmp_path):
-    rng = random.Random(3)
-    rows = [(i, [rng.gauss(c, 1.0) for c in rng.choice([(4, 0, 0, 0), (0, 4, 0, 0), (0, 0, 4, -4)])]) for i in range(600)] + [(999, None)]
-    v = spark.createDataFrame(rows, "id int, e array<float>")
-    assert vector_index.build(v, "id", "e", str(tmp_path / "i"), lists=8, sample=300) and not vector_index.build(v, "id", "e", str(tmp_path / "i"))
-    hits = 0
-    for q in rows[:20]:
-        exact = [r.id for r in search.nearest(v.where("e IS NOT NULL"), "id", "e", q[1], 10).collect()]
-        assert [r.id for r in vector_index.search(spark, str(tmp_path / "i"), "id", "e", q[1], 10, probes=8).collect()] == exact
-        hits += len(set(exact) & {r.id for r in vector_index.search(spark, str(tmp_path / "i"), "id", "e", q[1], 10, probes=3).collect()})
-    assert hits >= 0.9 * 200
-
-
 def test_rankers(spark):
     items = spark.createDataFrame([("red shoe and hat", "a"), ("the blue hat", "b"), (None, None)], "text string, kind string")
     for kind in ("hashed", "tfidf"):
