@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.scalars import GENERIC_KEYS, col, normalized_attribute, slugify
@@ -20,25 +20,46 @@ def collapsed(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(col(c), f"{BLANK}+", " "))
 
 
-def sanitized(c: Column | str, characters: int = 512, tokens: int = 200) -> Column:
-    """White space collapsed, cut to so many characters, then tokens; null where nothing is left.  A blank at the cut stays unless tokens are cut."""
-    cut = F.substring(collapsed(c), 1, characters)
-    words = F.filter(F.split(cut, " "), lambda w: w != "")
+def _words(cut: Column) -> Column:
+    return F.filter(F.split(cut, " "), lambda w: w != "")
+
+
+def _clean(cut: Column, words: Column, tokens: int) -> Column:
     return F.when(F.size(words) > tokens, F.array_join(F.slice(words, 1, tokens), " ")).when(F.size(words) > 0, cut)
 
 
-def rejection(c: Column | str, characters: int = 512, tokens: int = 200) -> Column:
-    """Why a text is rejected, or null."""
-    flat = collapsed(c)
-    cut = F.substring(flat, 1, characters)
-    words = F.filter(F.split(cut, " "), lambda w: w != "")
-    reasons = ((col(c).isNull(), "non-string text"), (flat == "", "empty after strip"), (F.size(words) == 0, "empty after cap"), (F.size(F.slice(words, 1, tokens)) == 0, "empty after token cap"))
+def _reason(given: Column, cut: Column, words: Column, tokens: int) -> Column:
+    reasons = ((given.isNull(), "non-string text"), (cut == "", "empty after strip"), (F.size(words) == 0, "empty after cap"), (F.lit(tokens < 1), "empty after token cap"))
     out = F.lit(None).cast("string")
     for failed, reason in reversed(reasons):
         out = F.when(failed, reason).otherwise(out)
     return out
 
 
+def sanitized(c: Column | str, characters: int = 512, tokens: int = 200) -> Column:
+    """White space collapsed, cut to so many characters, then tokens; null where nothing is left.  A blank at the cut stays unless tokens are cut.  For whole texts in a table see ``sanitize``."""
+    cut = F.substring(collapsed(c), 1, characters)
+    return _clean(cut, _words(cut), tokens)
+
+
+def rejection(c: Column | str, characters: int = 512, tokens: int = 200) -> Column:
+    """Why a text is rejected, or null."""
+    cut = F.substring(collapsed(c), 1, characters)
+    return _reason(col(c), cut, _words(cut), tokens)
+
+
+def sanitize(df: DataFrame, text: str, characters: int = 512, tokens: int = 200) -> DataFrame:
+    """df with ``clean`` and ``reason``, as ``sanitized`` and ``rejection`` give them.
+
+    The collapse of the whole text and the words of what is left of it are
+    columns of projections of their own, so each is made once for a row.
+    """
+    flat = df.withColumn("__cut", F.substring(collapsed(text), 1, characters))
+    split = flat.withColumn("__words", _words(F.col("__cut")))
+    words, cut = F.col("__words"), F.col("__cut")
+    return split.withColumns({"clean": _clean(cut, words, tokens), "reason": _reason(col(text), cut, words, tokens)}).drop("__cut", "__words")
+
+
 def list_text(c: Column | str, between: str = " | ") -> Column:
     """A list's elements in one text; nulls are left out, and no list is an empty text."""
     return F.coalesce(F.array_join(col(c), between), F.lit(""))

@@ -25,11 +25,6 @@ def optional_select(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
     return df.select(*(f"`{c}`" for c in wanted if c in df.columns))
 
 
-def with_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
-    """Missing columns as constants; values that are there, nulls too, stay."""
-    return df.withColumns({c: F.lit(v) for c, v in defaults.items() if c not in df.columns})
-
-
 def time_window(df: DataFrame, column: str, start: str, end: str) -> DataFrame:
     """Rows between two instants, both included; bare literals reach the scan."""
     kind = df.schema[column].dataType.simpleString()

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import scalars as fn
 from brindle.operators.clean import first_per_key
+from brindle.shared import Kept
 
 # --- upserts -----------------------------------------------------------------
 
@@ -167,13 +169,6 @@ def bought_together(sets: DataFrame, key: str, compat: bool = False) -> DataFram
 # --- patterns and paths ---------------------------------------------------------
 
 
-def same_neighbour(edges: DataFrame, src: str, dst: str, start: Column) -> DataFrame:
-    """Other sources that share a target with the starting ones: (src, other, dst)."""
-    a = edges.where(start).select(F.col(src).alias("src"), F.col(dst).alias("dst"))
-    b = edges.select(F.col(src).alias("other"), F.col(dst).alias("dst"))
-    return a.join(b, "dst").where("src <> other").select("src", "other", "dst")
-
-
 def same_groups(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """Sources that share a target, as (member, dst, size of the group) instead of pairs, whose number is the square of a group's size."""
     members = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.col(src).alias("member"), F.col(dst).alias("dst")).distinct()
@@ -197,27 +192,84 @@ def ancestors(edges: DataFrame, child: str, parent: str, most: int = 5) -> DataF
 
 
 def path_counts(edges: DataFrame, child: str, parent: str, most: int = 100) -> DataFrame:
-    """(node, ancestor, hops, n_paths) for paths of any length.
+    """(node, ancestor, hops, n_paths) for paths of any length in edges without a cycle.
 
-    A step at a time until none is left, each kept while the next is made; more
-    than ``most`` steps are taken for a cycle and are an error.
+    A step at a time until none is left, each written to the shared folder and
+    read for the next; more than ``most`` steps are taken for a cycle and are an
+    error, as then a path would need to know its edges: see ``trails``.
     """
-    step = edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).distinct()
-    now = step.select(F.col("c").alias("node"), F.col("p").alias("ancestor"), F.lit(1).cast("bigint").alias("n_paths")).persist()
-    out = None
-    for hop in range(1, most + 1):
-        if now.isEmpty():
-            return out if out is not None else now.withColumn("hops", F.lit(1)).select("node", "ancestor", "hops", "n_paths")
-        reached = now.select("node", "ancestor", F.lit(hop).alias("hops"), "n_paths")
-        out = reached if out is None else out.unionByName(reached)
-        now = now.join(step, F.col("ancestor") == F.col("c")).groupBy("node", F.col("p").alias("ancestor")).agg(F.sum("n_paths").alias("n_paths")).persist()
-    raise ValueError(f"paths of more than {most} steps: the edges have a cycle")
+    with Kept(edges.sparkSession) as kept:
+        step = edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).distinct()
+        now, out = step.select(F.col("c").alias("node"), F.col("p").alias("ancestor"), F.lit(1).cast("bigint").alias("n_paths")), []
+        for hop in range(1, most + 1):
+            now = kept.table(now, "paths")
+            if out and now.isEmpty():
+                break
+            out.append(now.select("node", "ancestor", F.lit(hop).alias("hops"), "n_paths"))
+            now = now.join(step, F.col("ancestor") == F.col("c")).groupBy("node", F.col("p").alias("ancestor")).agg(F.sum("n_paths").alias("n_paths"))
+        else:
+            raise ValueError(f"paths of more than {most} steps: the edges have a cycle")
+        return kept.table(reduce(DataFrame.unionByName, out), "paths", stays=True)
+
+
+def trails(edges: DataFrame, src: str, dst: str, most: int | None = None, starts: DataFrame | None = None) -> DataFrame:
+    """(start, end, hops, n_paths): paths of 1 to ``most`` steps (any number if None) that use no edge twice, as patterns of a variable length count them; nodes may come again.
+
+    Parallel edges are edges each; nulls are no nodes.  starts: a table of one
+    column, where paths may begin.  An edge that lies on no cycle can't come
+    again, so a row carries only the edges that do: without cycles rows are sums
+    over all paths between two nodes, as in ``path_counts``.  Each round joins
+    what is new with the edges by node and is written to the shared folder.
+    Without ``most`` it ends when no trail goes on; a dense cycle has more trails
+    than can be counted so.
+    """
+    with Kept(edges.sparkSession) as kept:
+        known = edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).where("s IS NOT NULL AND d IS NOT NULL").withColumn("e", F.monotonically_increasing_id())
+        known = kept.table(known, "edges")
+        again = on_cycles(known.select("s", "d"), kept)
+        known = kept.table(known.join(again.withColumn("again", F.lit(True)), ["s", "d"], "left").withColumn("again", F.coalesce("again", F.lit(False))), "edges")
+        held = lambda used: F.when(F.col("again"), F.array_sort(F.concat(used, F.array("e")))).otherwise(used)
+        first = known if starts is None else known.join(starts.select(F.col(starts.columns[0]).alias("s")).distinct(), "s", "left_semi")
+        now = first.select(F.col("s").alias("start"), F.col("d").alias("end"), held(F.array().cast("array<bigint>")).alias("used"))
+        now, out, hop = now.groupBy("start", "end", "used").agg(F.count("*").alias("n_paths")), [], 1
+        while True:
+            now = kept.table(now, "trails")
+            if out and now.isEmpty():
+                break
+            out.append(now.groupBy("start", "end").agg(F.sum("n_paths").alias("n_paths")).withColumn("hops", F.lit(hop)).select("start", "end", "hops", "n_paths"))
+            if hop == most:
+                break
+            on = now.join(known, F.col("end") == F.col("s")).where(~F.array_contains("used", F.col("e")))
+            now = on.select("start", F.col("d").alias("end"), held(F.col("used")).alias("used"), "n_paths").groupBy("start", "end", "used").agg(F.sum("n_paths").alias("n_paths"))
+            hop += 1
+        return kept.table(reduce(DataFrame.unionByName, out), "trails", stays=True)
+
+
+def on_cycles(edges: DataFrame, kept: Kept, rounds: int = 20) -> DataFrame:
+    """(s, d): edges, each once, that may lie on a cycle.
+
+    Edges from nodes that none leads to, and to nodes that none leaves, lie on
+    none; these are peeled off, again and again while some are found and for
+    ``rounds`` at most: what stays holds all edges on cycles, and may hold more.
+    """
+    left = kept.table(edges.distinct(), "core")
+    n = left.count()
+    for _ in range(rounds):
+        if not n:
+            break
+        ends, begins = left.select(F.col("d").alias("s")).distinct(), left.select(F.col("s").alias("d")).distinct()
+        left = kept.table(left.join(ends, "s", "left_semi").join(begins, "d", "left_semi").select("s", "d"), "core")
+        before, n = n, left.count()
+        if n == before:
+            break
+    return left
 
 
 def self_or_parent(edges: DataFrame, child: str, parent: str, nodes: DataFrame) -> DataFrame:
-    """(node, reached) over paths of no or one step; nodes: a table of one column."""
-    own = nodes.select(F.col(nodes.columns[0]).alias("node"), F.col(nodes.columns[0]).alias("reached"))
-    return own.union(edges.select(F.col(child), F.col(parent))).distinct()
+    """(node, reached) over paths of no or one step from the nodes, a table of one column."""
+    own = nodes.select(F.col(nodes.columns[0]).alias("node")).where("node IS NOT NULL").distinct()
+    up = edges.select(F.col(child).alias("node"), F.col(parent).alias("reached")).join(own, "node", "left_semi")
+    return own.select("node", F.col("node").alias("reached")).union(up).distinct()
 
 
 def counts(tables: dict[str, DataFrame]) -> DataFrame:

@@ -150,31 +150,37 @@ def combined(first: DataFrame, then: DataFrame, position: str) -> DataFrame | No
 # --- mappings ----------------------------------------------------------------------
 
 
-def _given(c: Column) -> Column:
-    """c, or null for what counts as nothing: zero and empty texts."""
-    return F.when((c.cast("string") != "") & ~c.cast("string").isin("0", "0.0"), c)
+def _given(c: Column, kind: str) -> Column:
+    """c as text, or null for what counts as nothing: an empty text, and zero where it is a number."""
+    return F.when(c != (0 if kind not in ("string", "void") else ""), c).cast("string")
 
 
 def result_items(records: DataFrame, node: str | None = None) -> DataFrame:
     """Records of a search in one shape: title, main_category, store, price, rating, features, score, as texts but for the score.
 
-    A field of the record comes before the node's (a struct column); what is
-    nowhere is ``Unknown``.
+    A field of the record comes before the node's (a struct column); what counts
+    as nothing in either is passed over, but a price or rating of zero that the
+    node gives last stays.  What is nowhere is ``Unknown``, the category the
+    first of the record's.
     """
-    inner = records.schema[node].dataType.names if node else []
+    inner = {f.name: f.dataType.simpleString() for f in records.schema[node].dataType.fields} if node else {}
+    own = dict(records.dtypes)
 
-    def pick(names: Sequence[str], last: Column, own: Sequence[str] | None = None) -> Column:
-        found = [_given(F.col(n)) for n in names if n in records.columns] + [F.col(node)[n] for n in own or names if n in inner]
-        return F.coalesce(*(c.cast("string") for c in found), last)
+    def pick(names: Sequence[str], last: Column, of_node: Sequence[str] | None = None, zero: bool = False) -> Column:
+        found = [_given(F.col(n), own[n]) for n in names if n in own]
+        for n in of_node or names:
+            if n in inner:
+                found.append(F.col(node)[n].cast("string") if zero else _given(F.col(node)[n], inner[n]))
+        return F.coalesce(*found, last)
 
     unknown = F.lit("Unknown")
-    lists = [n for n in ("categories", "category") if n in records.columns and records.schema[n].dataType.typeName() == "array"]
+    lists = [n for n in ("categories", "category") if own.get(n, "").startswith("array")]
     first = F.coalesce(*(F.get(F.col(n), F.lit(0)) for n in lists), unknown)
-    features = [F.when(F.size(n) > 0, F.array_join(n, ", ")) for n in ("attributes", "features") if n in records.columns and records.schema[n].dataType.typeName() == "array"]
-    score = F.coalesce(F.col("score").cast("string").try_cast("double"), F.lit(0.0)) if "score" in records.columns else F.lit(0.0)
+    features = [F.when(F.size(n) > 0, F.array_join(n, ", ")) for n in ("attributes", "features") if own.get(n, "").startswith("array")]
+    score = F.coalesce(F.col("score").cast("string").try_cast("double"), F.lit(0.0)) if "score" in own else F.lit(0.0)
     columns = {
-        "title": pick(["title"], unknown), "main_category": pick(["main_category"], first), "store": pick(["brand"], unknown), "price": pick(["price"], unknown),
-        "rating": pick(["avg_rating", "rating"], unknown, ["avg_rating"]), "features": F.coalesce(*features, F.lit("None specified")), "score": score,
+        "title": pick(["title"], unknown), "main_category": pick(["main_category"], first), "store": pick(["brand"], unknown), "price": pick(["price"], unknown, zero=True),
+        "rating": pick(["avg_rating", "rating"], unknown, ["avg_rating"], zero=True), "features": F.coalesce(*features, F.lit("None specified")), "score": score,
     }
     return records.select(*(c.alias(n) for n, c in columns.items()))
 

@@ -146,17 +146,40 @@ def avg_rating_soft_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("asin", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {AVG} SELECT p_partkey AS asin, p_retailprice AS price, round(a, 6) AS avg_rating FROM part JOIN av ON asin = p_partkey WHERE round(a, 6) >= 3 AND p_retailprice <= 1500 ORDER BY round(a, 6) DESC, p_partkey LIMIT 10")
+RECENT = "av AS (SELECT asin, avg(rating) AS a FROM (SELECT asin, rating FROM rev QUALIFY row_number() OVER (PARTITION BY asin ORDER BY event_time DESC, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice) <= 3) GROUP BY 1)"
+
+
+def recently_rated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(asin, avg_rating): the mean of each product's three last ratings."""
+    last = clean.top_per_group(reviews(spark, sf_dir), ["asin"], [F.desc("event_time"), *map(F.col, ORDER)], 3)
+    return stats.mean_and_count(last, ["asin"], "rating").select("asin", "avg_rating")
+
+
+@query(f"WITH {{REV}}, {RECENT} SELECT p_partkey AS asin, p_retailprice AS price, round(a, 6) AS avg_rating, p_brand AS brand, p_type || '|' || p_brand AS categories, round(a, 6) AS score FROM part JOIN av ON asin = p_partkey WHERE round(a, 6) >= 4.0 AND p_retailprice <= 1500 AND (contains(lower(p_type), 'pro') OR contains(lower(p_brand), 'pro')) ORDER BY score DESC, p_partkey LIMIT 10")
 def top_rated_under_price(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rated = stats.mean_and_count(reviews(spark, sf_dir), ["asin"], "rating").where("avg_rating >= 3")
-    return products(spark, sf_dir).where("price <= 1500").join(rated, "asin").select("asin", "price", "avg_rating").orderBy(F.desc("avg_rating"), "asin").limit(10)
+    """Well rated products of a category under a price."""
+    rated = recently_rated(spark, sf_dir).where("avg_rating >= 4.0")
+    found = search.conditions({"price_max": 1500, "category": "Pro"}, products(spark, sf_dir).join(rated, "asin"), brands(spark, sf_dir), categories(spark, sf_dir), "asin")
+    paths = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("asin"), F.col("p_brand").alias("brand"), F.concat_ws("|", "p_type", "p_brand").alias("categories"))
+    top = found.orderBy(F.desc("avg_rating"), "asin").limit(10)
+    return top.join(paths, "asin").select("asin", "price", "avg_rating", "brand", "categories", F.col("avg_rating").alias("score"))
 
 
-@query("SELECT p_partkey AS asin, p_retailprice AS price, p_brand AS brand FROM part WHERE p_brand IN ('Brand#12', 'Brand#23', 'Brand#34') AND contains(lower(p_type), 'a') ORDER BY price, asin LIMIT 30")
+@query(f"WITH {{REV}}, {RECENT}, {{PATH}}, up AS (SELECT DISTINCT category_id AS c, parent_id AS p FROM pre WHERE parent_id IS NOT NULL), name AS (SELECT DISTINCT category_id, name FROM pre), reach AS (SELECT category_id AS c, category_id AS target FROM name UNION SELECT c, p FROM up), hit AS (SELECT DISTINCT asin FROM pre JOIN reach ON reach.c = category_id JOIN name ON name.category_id = target WHERE is_primary AND (contains(lower(name.name), 'pro') OR contains(lower(name.name), 'eco'))), att AS (SELECT p_partkey AS asin, 'size' AS name, CAST(p_size AS VARCHAR) AS value FROM part UNION ALL SELECT p_partkey, 'type', p_type FROM part), likes AS (SELECT asin, count(*) FILTER (contains(lower(value), '1') OR contains(lower(value), 'eco')) AS n, array_to_string(list(name || '=' || value ORDER BY name), '|') AS attributes FROM att GROUP BY 1) SELECT p_partkey AS asin, p_retailprice AS price, round(a, 6) AS avg_rating, p_brand AS brand, p_brand AS categories, attributes, round(round(a, 6) + n, 6) AS score FROM part JOIN hit ON hit.asin = p_partkey JOIN likes ON likes.asin = p_partkey LEFT JOIN av ON av.asin = p_partkey WHERE p_retailprice <= 1500 AND p_brand IN ('Brand#1', 'Brand#2', 'Brand#3') ORDER BY price, p_partkey LIMIT 30")
 def hierarchy_brand_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = brands(spark, sf_dir).where(F.col("name").isin("Brand#12", "Brand#23", "Brand#34")).withColumnRenamed("name", "brand")
-    typed = table(spark, sf_dir, "part").where(search.any_contains("p_type", ["A"])).select(F.col("p_partkey").alias("asin"))
-    return products(spark, sf_dir).join(typed, "asin", "left_semi").join(wanted, "asin").select("asin", "price", "brand").orderBy("price", "asin").limit(30)
+    """Products of some brands under a price, whose category or the one above it has one of the names, the cheapest first; the score is the rating and what is liked."""
+    paths = prefixes(spark, sf_dir)
+    named = paths.select("category_id", "name").distinct()
+    reach = graph.self_or_parent(paths.select("category_id", "parent_id").distinct(), "category_id", "parent_id", named.select("category_id")).where("reached IS NOT NULL")
+    wanted = reach.join(named.where(search.any_contains("name", ["Pro", "Eco"])).select(F.col("category_id").alias("reached")), "reached", "left_semi")
+    own = paths.where("primary")
+    hit = own.join(wanted.select(F.col("node").alias("category_id")).distinct(), "category_id", "left_semi").select("asin").distinct()
+    of_brand = brands(spark, sf_dir).where(F.col("name").isin("Brand#1", "Brand#2", "Brand#3")).withColumnRenamed("name", "brand")
+    found = products(spark, sf_dir).where("price <= 1500").join(of_brand, "asin").join(hit, "asin", "left_semi").join(recently_rated(spark, sf_dir), "asin", "left")
+    scored = search.preference_score(found, attributes(spark, sf_dir), "asin", ["1", "eco"], [], F.col("avg_rating")).orderBy("price", "asin").limit(30)
+    told = attributes(spark, sf_dir).join(scored.select("asin"), "asin", "left_semi").groupBy("asin").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws("=", "name", "value"))), "|").alias("attributes"))
+    kinds = own.join(scored.select("asin"), "asin", "left_semi").groupBy("asin").agg(F.array_join(F.array_sort(F.collect_set("name")), "|").alias("categories"))
+    return scored.join(told, "asin").join(kinds, "asin").select("asin", "price", "avg_rating", "brand", "categories", "attributes", F.round("score", 6).alias("score"))
 
 
 COSINE = "round((1 + list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))) / 2, 6)"
@@ -405,12 +428,21 @@ def ancestor_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.ancestors(places(spark, sf_dir), "c", "p", 5)
 
 
-@query("SELECT 's' || s_suppkey AS node, 's' || s_suppkey AS reached FROM supplier UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation")
+@query(f"WITH {REGION}, w AS (SELECT 's' || s_suppkey AS node FROM supplier WHERE s_acctbal > 0) SELECT node, node AS reached FROM w UNION SELECT node, p FROM w JOIN ed ON c = node")
 def hierarchy_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")))
+    own = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")))
     return graph.self_or_parent(places(spark, sf_dir), "c", "p", own)
 
 
+@query("WITH RECURSIVE e AS (SELECT l_orderkey AS e, arg_min(l_partkey, {'a': l_linenumber, 'b': l_partkey}) AS s, arg_max(l_partkey, {'a': l_linenumber, 'b': l_partkey}) AS d FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT' GROUP BY 1 HAVING count(*) > 1), t AS (SELECT s AS start, d AS en, [e] AS used, 1 AS hops FROM e UNION ALL SELECT t.start, e.d, list_append(t.used, e.e), t.hops + 1 FROM t JOIN e ON e.s = t.en WHERE t.hops < 5 AND NOT list_contains(t.used, e.e)) SELECT start, en AS reached, CAST(hops AS INTEGER) AS hops, count(*) AS n_paths FROM t GROUP BY ALL")
+def bought_later_trails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From an urgent order's first product to its last, and on from there by other orders: up to five of them, none twice."""
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))
+    place = F.struct("l_linenumber", "l_partkey")
+    ends = table(spark, sf_dir, "lineitem").join(urgent, "l_orderkey").groupBy("l_orderkey").agg(F.min_by("l_partkey", place).alias("src"), F.max_by("l_partkey", place).alias("dst"), F.count("*").alias("n"))
+    return graph.trails(ends.where("n > 1"), "src", "dst", 5).withColumnRenamed("end", "reached")
+
+
 @query("SELECT 'Brand' AS label, count(DISTINCT p_brand) AS n FROM part UNION ALL SELECT 'ParentProduct', count(*) FROM part UNION ALL SELECT 'User', count(*) FROM customer UNION ALL SELECT 'WROTE', count(*) FROM lineitem")
 def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import scalars as fn
 from brindle.functions import texts
-from brindle.operators import clean, graph, preferences, rankers, records, search, stats, templates
+from brindle.operators import clean, gazetteer, graph, preferences, rankers, records, search, stats, templates
 from brindle.plans.catalog import ORDER, QUERY, SCORE, attributes, brands, categories, mentions, places, products, query, reviews, table, vectors
 
 # --- texts ---------------------------------------------------------------------------
@@ -53,7 +53,7 @@ def review_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"WITH s AS (SELECT doc_id, substr(trim(regexp_replace(text, '[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')), 1, 512) AS s FROM documents), w AS (SELECT doc_id, s, list_filter(string_split(s, ' '), lambda x: x <> '') AS w FROM s) SELECT doc_id, CASE WHEN len(w) > 200 THEN array_to_string(w[1:200], ' ') WHEN len(w) > 0 THEN s END AS clean, CASE WHEN s IS NULL THEN 'non-string text' WHEN s = '' THEN 'empty after strip' END AS reason FROM w")
 def sanitize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", texts.sanitized("text").alias("clean"), texts.rejection("text").alias("reason"))
+    return texts.sanitize(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").drop("text")
 
 
 @query(r"SELECT p_partkey AS asin, coalesce(lower(nullif(regexp_extract(p_type, '\b(STEEL|COPPER|TIN)\b'), '')), replace(trim(lower(regexp_replace(p_type, '[^\p{L}\p{N}]+', ' ', 'g'))), ' ', '_')) AS aspect FROM part")
@@ -61,6 +61,21 @@ def canonical_aspects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("asin"), texts.canonical_aspect("p_type", ["STEEL", "COPPER", "TIN"]).alias("aspect"))
 
 
+@query(r"""WITH terms AS (SELECT DISTINCT array_to_string(w[j:j + 2], ' ') AS term FROM (SELECT w, unnest(range(1, len(w) - 1)) AS j FROM (SELECT string_split(text, ' ') AS w FROM benchmark)) UNION SELECT DISTINCT array_to_string(string_split(text, ' ')[1:2], ' ') FROM documents WHERE text <> ''),
+sized AS (SELECT term, len(t) AS n, t[1] AS first FROM (SELECT term, regexp_extract_all(term, '(?s)[\p{L}\p{N}]+|[^\p{L}\p{N}]') AS t FROM terms)), d AS (SELECT doc_id, regexp_extract_all(text, '(?s)[\p{L}\p{N}]+|[^\p{L}\p{N}]') AS t FROM documents),
+w AS (SELECT doc_id, unnest(t) AS token, unnest(range(1, len(t) + 1)) AS i FROM d), p AS (SELECT w.*, n FROM w JOIN (SELECT DISTINCT first AS token, n FROM sized) USING (token)), s AS (SELECT doc_id, i, n, array_to_string(t[i:i + n - 1], '') AS term, t[i + n - 1] AS last, t[i + n] AS after FROM p JOIN d USING (doc_id) WHERE i + n - 1 <= len(t) AND (i = 1 OR regexp_matches(t[i], '^[\p{L}\p{N}]') OR NOT regexp_matches(t[i - 1], '^[\p{L}\p{N}]'))),
+m AS (SELECT s.* FROM s JOIN sized USING (term, n) WHERE regexp_matches(last, '^[\p{L}\p{N}]') OR after IS NULL OR NOT regexp_matches(after, '^[\p{L}\p{N}]')),
+f AS (SELECT doc_id, count(DISTINCT i) AS starts FROM m GROUP BY 1), l AS (SELECT doc_id, i, term FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i, n DESC) = 1)
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS position, term, starts FROM l JOIN f USING (doc_id)""")
+def gazetteer_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document the first mention of a gazetteer, and at how many places one begins.  Terms: three words that follow each other in the benchmark, and how documents begin."""
+    docs, words = table(spark, sf_dir, "documents").select("doc_id", "text"), F.split("text", " ", -1)
+    three = table(spark, sf_dir, "benchmark").select(words.alias("w")).select(F.explode(F.transform(F.filter(F.sequence(F.lit(1), F.size("w")), lambda j: j <= F.size("w") - 2), lambda j: F.array_join(F.slice("w", j, F.lit(3)), " "))).alias("term"))
+    two = docs.where("text <> ''").select(F.array_join(F.slice(words, 1, 2), " ").alias("term"))
+    met = gazetteer.starts(docs, "doc_id", "text", three.union(two))
+    return met.groupBy("doc_id").agg(F.min("position").alias("position"), F.min_by("term", "position").alias("term"), F.count("*").alias("starts"))
+
+
 # --- cleaning ------------------------------------------------------------------------
 
 
@@ -219,11 +234,14 @@ def template_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.run(spark, text, {"most": 950, "brands": ["Brand#12", "Brand#23"]}, part=table(spark, sf_dir, "part"))
 
 
-@query("SELECT p_name AS title, p_type AS main_category, p_brand AS store, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) ELSE '7' END AS price, 'Unknown' AS rating, p_type || ', ' || p_brand AS features, 0.0::DOUBLE AS score FROM part")
+@query("SELECT p_name AS title, p_type AS main_category, CASE WHEN p_size % 3 = 0 THEN 'Unknown' ELSE p_brand END AS store, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) || '.00' WHEN p_size % 5 = 0 THEN '0.00' ELSE '7.00' END AS price, 'Unknown' AS rating, p_type || ', ' || p_brand AS features, 0.0::DOUBLE AS score FROM part")
 def result_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    node = F.struct(F.col("p_name").alias("title"), F.lit("7").alias("price"))
-    found = part.select(F.lit("").alias("title"), F.when(F.col("p_size") % 2 == 0, F.col("p_size")).otherwise(0).alias("price"), F.col("p_brand").alias("brand"), F.array("p_type", "p_brand").alias("categories"), F.array("p_type", "p_brand").alias("features"), F.lit(0.0).alias("avg_rating"), F.lit("x").alias("score"), node.alias("pp"))
+    """Empty texts of the record and of the node, and decimal zeros of the record, count as nothing; the node's own price does not."""
+    part, amount = table(spark, sf_dir, "part"), lambda c: c.cast("decimal(10,2)")
+    blank = F.when(F.col("p_size") % 3 == 0, "").otherwise(F.col("p_brand"))
+    node = F.struct(F.col("p_name").alias("title"), amount(F.when(F.col("p_size") % 5 == 0, 0).otherwise(7)).alias("price"), blank.alias("brand"), F.lit("").alias("main_category"))
+    price = amount(F.when(F.col("p_size") % 2 == 0, F.col("p_size")).otherwise(0))
+    found = part.select(F.lit("").alias("title"), price.alias("price"), F.lit("").alias("brand"), F.array("p_type", "p_brand").alias("categories"), F.array("p_type", "p_brand").alias("features"), F.lit(0.0).alias("avg_rating"), F.lit("x").alias("score"), node.alias("pp"))
     return records.result_items(found, "pp")
 
 
