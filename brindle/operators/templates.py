@@ -1,12 +1,11 @@
-"""Query templates with named parameters, and the texts around them that a model reads and writes."""
+"""Query templates with named parameters, bound by Spark."""
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LIMIT = 10
@@ -19,99 +18,33 @@ def bound(text: str, params: Mapping[str, object] | None) -> dict[str, object]:
     return known | {name: [] for name in _NAME.findall(text) if name not in known}
 
 
-def literal(value: object) -> str:
-    """A parameter as it is shown in logs."""
-    if value is None or isinstance(value, bool):
-        return {None: "NULL", True: "true", False: "false"}[value]
-    if isinstance(value, str):
-        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    if isinstance(value, Mapping):
-        return "{" + ", ".join(f"{k}: {literal(v)}" for k, v in value.items()) + "}"
-    return f"[{', '.join(map(literal, value))}]" if isinstance(value, list | tuple) else str(value)
+def _argument(value: object) -> object:
+    if isinstance(value, list | tuple):
+        return F.array(*map(_as_column, value))
+    return F.create_map(*(x for k, v in value.items() for x in (F.lit(k), _as_column(v)))) if isinstance(value, Mapping) else value
 
 
-def rendered(text: str, params: Mapping[str, object]) -> str:
-    """The text with literals for its parameters: to be read, not to be run."""
-    return _NAME.sub(lambda m: literal(params[m[1]]) if m[1] in params else m[0], text)
+def _as_column(value: object) -> Column:
+    made = _argument(value)
+    return made if isinstance(made, Column) else F.lit(made)
+
+
+def _arguments(text: str, params: Mapping[str, object] | None) -> dict[str, object]:
+    used = set(_NAME.findall(text))
+    return {name: _argument(value) for name, value in bound(text, params).items() if name in used}
+
+
+def rendered(spark: SparkSession, text: str, params: Mapping[str, object] | None) -> str:
+    """The text with each parameter as the literal that Spark binds for it, in Spark's own writing: for logs."""
+    args = _arguments(text, params)
+    if not args:
+        return text
+    row = spark.sql("SELECT " + ", ".join(f":{name} AS `{name}`" for name in args), args=args)
+    plan = row._jdf.queryExecution().analyzed().expressions()
+    told = {name: plan.apply(k).child().sql() for k, name in enumerate(args)}
+    return _NAME.sub(lambda m: told[m[1]], text)
 
 
 def run(spark: SparkSession, text: str, params: Mapping[str, object] | None, **tables: DataFrame) -> DataFrame:
     """A template over tables (``{name}``) with its parameters bound by Spark, never pasted in; lists are arrays, and an empty one fits any element."""
-    args = {}
-    for name, value in bound(text, params).items():
-        args[name] = F.array(*map(F.lit, value)) if isinstance(value, list) else value
-    used = set(_NAME.findall(text))
-    return spark.sql(_NAME.sub(r":\1", text), args={k: v for k, v in args.items() if k in used}, **tables)
-
-
-def told_preferences(preferences: Mapping) -> str:
-    """Weighted preferences as lines."""
-    weighted, out = preferences.get("weighted_preferences") or {}, []
-    for key, title in (("likes", "Positive signals:"), ("dislikes", "\nNegative signals:")):
-        if weighted.get(key):
-            out += [title, *(f"- {e.get('value')} (weight={_number(e.get('weight')):.2f})" for e in weighted[key])]
-    if weighted.get("constraints"):
-        out += ["\nConstraints:", *(f"- {k}: {v}" for k, v in weighted["constraints"].items())]
-    return "\n".join(out or ["No structured preferences captured yet."])
-
-
-def told_profile(profile: Mapping, most: int = 5) -> str:
-    out = []
-    if "preferences" in profile:
-        out += ["User preferences:", *(f"- {k}: {', '.join(v) if isinstance(v, list) else v}" for k, v in profile["preferences"].items())]
-    if "history" in profile:
-        out += ["\nPreviously interacted with:", *(f"- {x.get('product_title', 'Unknown product')}" for x in profile["history"][:most])]
-    return "\n".join(out)
-
-
-def told_turns(turns: list[Mapping], most: int = 5) -> str:
-    return "\n".join(f"{who.title()}: {t[who]}" for t in turns[-most:] for who in ("user", "assistant") if who in t)
-
-
-def told_items(items: list[Mapping]) -> str:
-    """Found items, of either shape, as numbered blocks."""
-    out = []
-    for k, item in enumerate(items, 1):
-        d = item.get("details", item)
-        brand = next((d[n] for n in ("store", "brand", "detail_brand", "detail_manufacturer") if d.get(n)), "Unknown")
-        lines = {
-            "Title": d.get("title", "Unknown"), "Category": d.get("main_category") or d.get("category", "Unknown"), "Brand": brand, "Price": f"${d.get('price', 'Unknown')}",
-            "Rating": f"{d.get('rating', 'Unknown')}/5.0", "Features": d.get("features", "None specified"), "Match score": f"{_number(d.get('score', 0)):.2f}",
-        }
-        out += [f"Item {k}:", *(f"- {name}: {value}" for name, value in lines.items()), ""]
-    return "\n".join(out)
-
-
-def _number(x: object) -> float:
-    try:
-        return float(x)
-    except (TypeError, ValueError):
-        return 0.0
-
-
-def payload(result: object, tool: str) -> str:
-    """What a model's answer says: the arguments of the tool's call, the tool's message, the output or content, else the answer as text."""
-    get = lambda x, name: x.get(name) if isinstance(x, Mapping) else getattr(x, name, None)
-
-    def called(x: object) -> str | None:
-        return next((json.dumps(c.get("args", {})) for c in get(x, "tool_calls") or [] if c.get("name") == tool), None)
-
-    found = called(result)
-    for message in get(result, "messages") or []:
-        if found is None:
-            found = get(message, "content") if get(message, "name") == tool and get(message, "content") else called(message)
-    if found is not None:
-        return found
-    if isinstance(result, Mapping) and "output" in result:
-        return result["output"]
-    content = get(result, "content")
-    return str(result) if content is None else content
-
-
-def preferences_of(raw: str) -> dict:
-    """A preference payload from a model's JSON; of what is none, an empty one with the text as its note."""
-    try:
-        found = json.loads(raw)
-        return {"_thinking": found.get("notes", "")} | found
-    except (ValueError, AttributeError):
-        return {"likes": [], "dislikes": [], "constraints": {}, "intent": "recommendation", "notes": raw.strip(), "_thinking": raw.strip()}
+    return spark.sql(_NAME.sub(r":\1", text), args=_arguments(text, params), **tables)

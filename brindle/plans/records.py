@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import scalars as fn
 from brindle.functions import texts
-from brindle.operators import clean, gazetteer, graph, preferences, rankers, records, search, stats, templates
+from brindle.operators import clean, gazetteer, graph, preferences, prompts, rankers, records, search, stats, templates
 from brindle.plans.catalog import ORDER, QUERY, SCORE, attributes, brands, categories, mentions, places, products, query, reviews, table, vectors
 
 # --- texts ---------------------------------------------------------------------------
@@ -282,3 +282,42 @@ def parsed_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = F.to_json(F.array(F.array("aspect", F.lit(" o "), F.lower("sentiment")), F.array(F.lit(""), F.lit(" "), F.lit("positive"))))
     out = mentions(spark, sf_dir).select("event_id", F.when(F.col("event_id") % 2 == 0, named).otherwise(listed).alias("out"))
     return preferences.parsed_triplets(out, "event_id", "out", fn.slugify)
+
+
+# --- prompts and answers -------------------------------------------------------------------
+
+
+@query("WITH k AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part) SELECT p_brand, array_to_string(list('Item ' || rank || E':\n- Title: ' || p_name || E'\n- Category: ' || p_type || E'\n- Brand: ' || p_brand || E'\n- Price: $' || CAST(p_retailprice AS DECIMAL(18, 2)) || E'\n- Rating: Unknown/5.0\n- Features: None specified\n- Match score: ' || CAST(p_size / 100 AS DECIMAL(9, 2)) || E'\n' ORDER BY rank), E'\n') AS text FROM k WHERE rank <= 3 GROUP BY p_brand")
+def item_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three dearest products of each brand as numbered blocks."""
+    items = table(spark, sf_dir, "part").select("p_brand", F.col("p_name").alias("title"), F.lit("").alias("main_category"), F.col("p_type").alias("category"), F.col("p_brand").alias("store"), F.col("p_retailprice").cast("decimal(18,2)").alias("price"), (F.col("p_size") / 100).cast("string").alias("score"), "p_partkey")
+    return prompts.item_texts(items, "p_brand", [F.desc("price"), F.col("p_partkey")], 3)
+
+
+@query("WITH {MENTION}, " + """piv AS (SELECT user_id, aspect, count(*) FILTER (sentiment = 'Positive') AS p, count(*) FILTER (sentiment = 'Negative') AS n FROM men GROUP BY ALL), w AS (SELECT user_id, aspect, 0 AS place, p / 10 AS weight FROM piv WHERE p > n UNION ALL SELECT user_id, aspect, 1, n / 10 FROM piv WHERE n > p UNION ALL SELECT c_custkey, c_mktsegment, 2, 0 FROM customer WHERE c_acctbal > 5000),
+l AS (SELECT user_id, place, row_number() OVER (PARTITION BY user_id, place ORDER BY weight DESC, aspect) AS rank, CASE place WHEN 2 THEN '- segment: ' || aspect ELSE '- ' || aspect || ' (weight=' || CAST(weight AS DECIMAL(9, 2)) || ')' END AS line FROM w),
+b AS (SELECT user_id, place, ['Positive signals:', 'Negative signals:', 'Constraints:'][place + 1] || E'\n' || array_to_string(list(line ORDER BY rank), E'\n') AS block FROM l GROUP BY user_id, place), t AS (SELECT user_id, array_to_string(list(block ORDER BY place), E'\n\n') AS text FROM b GROUP BY 1)
+SELECT c_custkey AS user_id, coalesce(text, 'No structured preferences captured yet.') AS text FROM customer LEFT JOIN t ON user_id = c_custkey""")
+def preference_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each customer's events say for and against, and a constraint of the well-off ones."""
+    moods = preferences.sentiment_counts(mentions(spark, sf_dir))
+    row = lambda kind, a, b: moods.where(f"{a} > {b}").select("user_id", F.lit(kind).alias("kind"), F.lit("").alias("name"), F.col("aspect").alias("value"), (F.col(a) / 10).alias("weight"))
+    customers = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "user_id")
+    bound = customers.where("c_acctbal > 5000").select("user_id", F.lit("constraint").alias("kind"), F.lit("segment").alias("name"), F.col("c_mktsegment").alias("value"), F.lit(0.0).alias("weight"))
+    return prompts.preference_texts(customers, row("like", "positive", "negative").unionByName(row("dislike", "negative", "positive")).unionByName(bound), "user_id")
+
+
+@query("SELECT conv_id, array_to_string(list(upper(role[1]) || role[2:] || ': ' || coalesce(text, '') ORDER BY turn), E'\n') AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k <= 5 GROUP BY conv_id")
+def turn_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prompts.turn_texts(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 3 THEN '' ELSE event_type END AS likes, CASE WHEN event_id % 4 = 3 THEN 'recommendation' ELSE 'find' END AS intent, CASE WHEN event_id % 4 = 3 THEN 'no json ' || event_type ELSE '' END AS notes FROM events")
+def answer_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers in four shapes: a call of the tool, a message's call, an output, and a text that is no JSON."""
+    arguments = F.to_json(F.struct(F.array("event_type").alias("likes"), F.lit("find").alias("intent")))
+    call = F.array(F.struct(F.lit("other").alias("name"), F.lit("{}").alias("args")), F.struct(F.lit("tell").alias("name"), arguments.alias("args")))
+    shapes = (F.to_json(F.struct(call.alias("tool_calls"))), F.to_json(F.struct(F.array(F.struct(F.lit("other").alias("name"), F.lit("m").alias("content")), F.struct(F.lit("tell").alias("name"), arguments.alias("content"))).alias("messages"))), F.to_json(F.struct(arguments.alias("output"))), F.concat(F.lit(" no json "), F.col("event_type")))
+    raw = F.coalesce(*(F.when(F.col("event_id") % 4 == k, s) for k, s in enumerate(shapes)))
+    told = table(spark, sf_dir, "events").select("event_id", prompts.answer(raw, "tell").alias("text"))
+    return prompts.preference_payloads(told, "event_id", "text").select("event_id", F.array_join("likes", ",").alias("likes"), "intent", "notes")

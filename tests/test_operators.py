@@ -207,19 +207,6 @@ def test_unicode_blanks_and_texts(spark):
     assert row.select(texts.attribute_text(F.lit(" Bullet_Point"), F.lit('14"')), texts.attribute_text(F.lit("Size"), F.lit("16gb"))).first()[:] == ("14 inch", "Size: 16 GB")
 
 
-def test_templates():
-    text = "MATCH $brands $limit $x1 $x"
-    assert templates.bound(text, {"x": None}) == {"x": None, "limit": 10, "brands": [], "x1": []}
-    assert templates.rendered(text, {"brands": ["a'b", 1, True], "x": None, "x1": {"k": "v"}}) == "MATCH ['a\\'b', 1, true] $limit {k: 'v'} NULL"
-    assert "- a (weight=0.80)" in templates.told_preferences(preferences.quantified({"likes": ["a"]})) and templates.told_preferences({}).startswith("No structured")
-    assert templates.told_items([{"details": {"title": "t", "score": "x"}}]).splitlines()[:3] == ["Item 1:", "- Title: t", "- Category: Unknown"]
-    assert templates.told_profile({"history": [{"product_title": str(k)} for k in range(9)]}).count("- ") == 5
-    assert templates.told_turns([{"user": "a", "assistant": "b"}, {"user": "c"}]) == "User: a\nAssistant: b\nUser: c"
-    call = {"messages": [{"content": "no"}, {"tool_calls": [{"name": "t", "args": {"likes": ["x"]}}]}], "output": "o"}
-    assert templates.preferences_of(templates.payload(call, "t"))["likes"] == ["x"] and templates.payload({"content": "c"}, "t") == "c" and templates.payload({"output": "o"}, "t") == "o"
-    assert templates.preferences_of(" not json ")["notes"] == "not json" and templates.preferences_of("[1]")["intent"] == "recommendation"
-
-
 def test_small_operators(spark):
     """Those that had no test: optional columns, numbers, mentions, price ranges, windows, batches, shapes."""
     df = spark.createDataFrame([("1.5", "NaN", "x", None)], "a string, b string, c string, d string")
