@@ -11,6 +11,7 @@ task two do with probability n**2 / 2**65, below 2**-22 for the most pieces kept
 
 from __future__ import annotations
 
+import functools
 import os
 
 import numpy as np
@@ -213,3 +214,9 @@ class Encoder:
         ids = self.flat[tb.ranges(self.start[entry], sizes)]
         total = np.concatenate([[0], np.cumsum(sizes)])
         return ids, total[first]
+
+
+@functools.lru_cache(1)
+def shared_encoder(path: str, pieces) -> Encoder:
+    """The encoder of a worker's last tokenizer: pieces that a task met needn't be encoded again by the next."""
+    return Encoder(path, pieces)

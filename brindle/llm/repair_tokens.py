@@ -34,31 +34,56 @@ from pyspark.sql import functions as F
 
 from brindle.llm import arrowfs
 from brindle.llm import textbytes as tb
-from brindle.llm.encoder import Encoder, spaced_pieces
+from brindle.llm.encoder import shared_encoder, spaced_pieces
 from brindle.llm.scratch import new_path, save, shuffle_partitions
 
 MAGIC, HEAD = b"RPG1", struct.Struct("<4s6I")
 SHARD_IDS, SLICE_BYTES = 1 << 20, 2 << 20
 LEAST = 8
+SLOT_BITS = 20
 
 
 # --- grammar -----------------------------------------------------------------
 
 
+def _numbers(code: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which codes are among the sorted pairs, and the number of the pair for each of those.
+
+    A table of hashes answers for nearly all; only where two pairs share a slot
+    is the pair searched for.
+    """
+    slot = lambda x: (x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
+    table = np.full(1 << SLOT_BITS, -1, np.int32)
+    table[slot(pairs)] = np.arange(len(pairs), dtype=np.int32)
+    k = table[slot(code)]
+    at = np.flatnonzero(k >= 0)
+    k = k[at].astype(np.int64)
+    other = np.flatnonzero(pairs[k] != code[at])
+    k[other] = np.minimum(np.searchsorted(pairs, code[at[other]]), len(pairs) - 1)
+    same = pairs[k] == code[at]
+    return at[same], k[same]
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, base: int, *, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(rules, lengths, symbols, ends in symbols) of a shard; ends: where texts end.
 
     In a round all pairs seen ``least`` times or more, the most frequent first as
     far as symbols last, get nonterminals; of overlapping occurrences the left
     ones are replaced.  Rounds go on until no pair is so frequent or symbols run out.
+
+    A pair that wasn't frequent stays so, as its occurrences only get fewer.
+    So after the first round only places are looked at whose pair was frequent
+    or holds a new nonterminal.
     """
     room = max(0, (1 << 16) - base) if base <= 1 << 16 else (1 << 31) - base
     seq, last = ids.astype(np.int64), np.zeros(len(ids), bool)
     last[ends[ends > 0] - 1] = True
     rules, lengths = [np.zeros((0, 2), np.int64)], np.ones(base, np.int64)
+    may = ~last
     while len(seq) > 1 and room:
-        code = (seq[:-1] << 32) | seq[1:]
-        ordered = np.sort(code[~last[:-1]])
+        places = np.flatnonzero(may[:-1])
+        code = (seq[places] << 32) | seq[places + 1]
+        ordered = np.sort(code)
         if not len(ordered):
             break
         head = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
@@ -67,24 +92,35 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, *, least: int = LEAST
         pairs, count = ordered[head[often]], count[often]
         if not len(pairs):
             break
+        found, k = _numbers(code, pairs)
+        places = frequent = places[found]
         if len(pairs) > room:
-            pairs = np.sort(pairs[np.lexsort((pairs, -count))[:room]])
-        k = np.searchsorted(pairs, code)
-        hit = (pairs[np.minimum(k, len(pairs) - 1)] == code) & ~last[:-1]
+            chosen = np.zeros(len(pairs), bool)
+            chosen[np.lexsort((pairs, -count))[:room]] = True
+            places, k = places[chosen[k]], (np.cumsum(chosen) - 1)[k[chosen[k]]]
+            pairs = pairs[chosen]
         # Of a run of overlapping occurrences every second one, from the left.
-        new = hit & ~np.concatenate([[False], hit[:-1]])
-        start = np.maximum.accumulate(np.where(new, np.arange(len(hit)), 0))
-        hit &= (np.arange(len(hit)) - start) % 2 == 0
-        at = np.flatnonzero(hit)
-        used, symbol = np.unique(k[at], return_inverse=True)
+        new = np.ones(len(places), bool)
+        new[1:] = places[1:] != places[:-1] + 1
+        start = np.maximum.accumulate(np.where(new, np.arange(len(places)), 0))
+        hit = (np.arange(len(places)) - start) % 2 == 0
+        at, k = places[hit], k[hit]
+        met = np.bincount(k, minlength=len(pairs)) > 0
+        used, symbol = np.flatnonzero(met), (np.cumsum(met) - 1)[k]
         n = len(lengths)
         rules.append(np.stack([pairs[used] >> 32, pairs[used] & 0xFFFFFFFF], 1))
         lengths = np.concatenate([lengths, lengths[rules[-1]].sum(1)])
+        may[:] = False
+        may[frequent] = True
         seq[at] = n + symbol
         last[at] = last[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
+        seq, last, may = seq[keep], last[keep], may[keep]
+        fresh = np.flatnonzero(seq >= n)
+        may[fresh] = True
+        may[fresh[fresh > 0] - 1] = True
+        may &= ~last
         room -= len(used)
     inner = np.flatnonzero(last) + 1
     out_ends = np.zeros(len(ends), np.int64)
@@ -161,7 +197,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id",
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(tokenizer, pieces), TaskContext.get().partitionId()
+        encoder, part = shared_encoder(tokenizer, pieces), TaskContext.get().partitionId()
         base = encoder.tokenizer.get_vocab_size(with_added_tokens=True)
         uri = f"{path}/{part:06d}-{uuid.uuid4().hex}.rpg"
         where, name = arrowfs.at(uri)
