@@ -44,7 +44,13 @@ def parsed_triplets(outputs: DataFrame, key: str, column: str, canonical: Callab
     return rows.select(key, canonical(surface).alias("aspect"), F.trim(surface).alias("surface_form"), F.trim("o").alias("opinion"), fn.sentiment("m").alias("sentiment"), "confidence")
 
 
+def aspect_forms(mentions: DataFrame) -> DataFrame:
+    """(aspect, surface_form, mention_count): a row for each form, so that an aspect of very many forms is rows and no array."""
+    return mentions.where(F.col("surface_form").isNotNull()).groupBy("aspect", "surface_form").agg(F.count("*").alias("mention_count"))
+
+
 def aspect_nodes(mentions: DataFrame) -> DataFrame:
+    """(aspect, surface_forms, mention_count): the forms in one sorted array, for aspects of few; see ``aspect_forms``."""
     return mentions.groupBy("aspect").agg(F.array_sort(F.collect_set("surface_form")).alias("surface_forms"), F.count("*").alias("mention_count"))
 
 

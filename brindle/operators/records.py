@@ -97,8 +97,13 @@ def first_of_group(df: DataFrame, by: Sequence[str], value: Column, order: Seque
     return gathered.select(*by, F.transform("rows", lambda r: r[out]).alias(out))
 
 
+def pair_rows(attributes: DataFrame, key: str, name: str, value: str) -> DataFrame:
+    """(key, name, value, n): a row for each distinct pair of a key and how often it comes; a key of very many pairs is rows and no array."""
+    return attributes.groupBy(key, F.col(name).alias("name"), F.col(value).alias("value")).agg(F.count("*").alias("n"))
+
+
 def distinct_pairs(attributes: DataFrame, key: str, name: str, value: str) -> DataFrame:
-    """(key, pairs): the distinct (name, value) of each key, sorted."""
+    """(key, pairs): the distinct (name, value) of each key in one sorted array, for keys of few; see ``pair_rows``."""
     pair = F.struct(F.col(name).alias("name"), F.col(value).alias("value"))
     return attributes.groupBy(key).agg(F.array_sort(F.collect_set(pair)).alias("pairs"))
 

@@ -562,4 +562,4 @@ def paginate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return products(spark, sf_dir).select("asin", "price").orderBy("price", "asin").offset(40).limit(20)
 
 
-from brindle.plans import records  # noqa: E402, F401  its queries are registered here
+from brindle.plans import records, storage  # noqa: E402, F401  their queries are registered here

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import scalars as fn
-from brindle.functions import texts
+from brindle.functions import tables, texts
 from brindle.operators import clean, gazetteer, graph, preferences, prompts, rankers, records, search, stats, templates
 from brindle.plans.catalog import ORDER, QUERY, SCORE, attributes, brands, categories, mentions, places, products, query, reviews, table, vectors
 
@@ -113,12 +113,16 @@ def brand_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.brand_edges(part, "asin", "brand", "details").withColumn("confidence", F.col("confidence").cast("double"))
 
 
-@query("WITH c AS (SELECT doc_id, substr(text, 1, 60) AS value FROM documents WHERE length(text) > 60 AND doc_id % 3 <> 0) SELECT md5('note|' || lower(trim(value))) AS attribute_id, count(*) AS n FROM c GROUP BY 1")
+@query(r"""WITH c AS (SELECT DISTINCT doc_id, unnest(string_split_regex(text, '[.\n]+')) AS part FROM documents WHERE length(text) > 50 AND doc_id % 3 <> 0), p AS (SELECT doc_id, CASE WHEN contains(part, ': ') THEN trim(split_part(part, ': ', 1)) ELSE 'note' END AS name, CASE WHEN contains(part, ': ') THEN trim(substr(part, strpos(part, ': ') + 2)) ELSE trim(part) END AS value FROM c),
+x AS (SELECT doc_id, lower(trim(name)) AS name, lower(trim(value)) AS x FROM p WHERE name <> '' AND value <> ''),
+v AS (SELECT doc_id, name, CASE WHEN regexp_matches(x, '\d+\s*("|''|in\b|inch|cm\b|mm\b)|\d+\s*x\s*\d+') THEN trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '(\d+)\s*("|'')', '\1 inch', 'g'), '\b(in|inches)\b', 'inch', 'g'), '(\d+)\s*(cm|mm)\b', '\1 \2', 'g'), '\s*x\s*', ' x ', 'g'))
+WHEN regexp_matches(x, '\d+\s*(gb|mb|tb|kb)\b') THEN regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '(\d+)\s*gb\b', '\1 GB', 'g'), '(\d+)\s*mb\b', '\1 MB', 'g'), '(\d+)\s*tb\b', '\1 TB', 'g'), '(\d+)\s*kb\b', '\1 KB', 'g') WHEN regexp_matches(x, '\d+\s*(lbs|lb|kg|g|oz)\b') THEN regexp_replace(x, '\blbs\b', 'lb', 'g') ELSE x END AS value FROM x)
+SELECT md5(name || '|' || value) AS attribute_id, count(DISTINCT doc_id) AS n FROM v GROUP BY 1""")
 def derived_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long generic attributes that aren't marked yet, taken apart by a stand-in (their first sixty characters), as derived attributes with their use."""
+    """Long generic attributes that aren't marked yet, whole, taken apart by a stand-in for a model, as derived attributes with their use."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(" Feature").alias("name"), F.col("text").alias("value"), F.lit("details").alias("source"))
-    todo = records.unmarked_long(docs.withColumn("name", F.trim("name")), docs.where("doc_id % 3 = 0").select("doc_id"), "doc_id", 60)
-    _, edges = records.derived_attributes(todo.select("doc_id", F.lit(" Note ").alias("name"), F.substring("value", 1, 60).alias("value")), "doc_id")
+    todo = records.unmarked_long(docs.withColumn("name", F.trim("name")), docs.where("doc_id % 3 = 0").select("doc_id"), "doc_id")
+    _, edges = records.derived_attributes(tables.decomposed(todo, "doc_id", "value"), "doc_id")
     return edges.groupBy("attribute_id").agg(F.count("*").alias("n"))
 
 
@@ -252,6 +256,13 @@ def budget_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.in_price_range(p, graph.price_ranges(spark), graph.price_edges(p, "asin", "price"), "asin", ["cheap", "budget"]).select("asin")
 
 
+@query("SELECT p_partkey AS asin, p_retailprice AS price FROM part WHERE p_retailprice >= 150 AND p_retailprice < 1000")
+def range_label_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a word that labels have: a bound of two of the ranges."""
+    p = products(spark, sf_dir)
+    return search.in_price_range(p, graph.price_ranges(spark), graph.price_edges(p, "asin", "price"), "asin", ["$400", "nothing"]).select("asin", "price")
+
+
 @query("SELECT p_partkey AS asin, p_name AS title FROM part WHERE contains(lower(p_type), 'steel') OR contains(lower(p_brand), 'steel')")
 def category_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, none = products(spark, sf_dir), brands(spark, sf_dir)

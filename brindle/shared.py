@@ -45,6 +45,13 @@ class Kept:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def forget(self, but: int, spared: int = 0) -> None:
+        """Removes the tables before the last so many, but for the first ones spared."""
+        if len(self.paths) > spared + but:
+            gone = self.paths[spared:-but]
+            self.paths = self.paths[:spared] + self.paths[-but:]
+            remove(self.spark, *gone)
+
     def __enter__(self) -> Kept:
         return self
 

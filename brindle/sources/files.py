@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,14 +44,43 @@ def line_count(spark: SparkSession, path: str) -> int:
     return spark.read.text(path).count()
 
 
-def first_lines(spark: SparkSession, path: str, fraction: float) -> DataFrame:
-    """The first part of the lines by count: files by name, lines as they stand in them.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, n): lines with their number from 0, files by name, lines as they stand in them.
 
-    A line's place is its file, where its split starts, and its row within the
-    task that reads the split; only lines up to the limit are merged.
+    A pass counts the lines of each split of a file; sums over the splits before,
+    a row each, and a line's row within its split give its number.  No line moves.
     """
-    lines = spark.read.text(path).select("value", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")).alias("place"))
-    return lines.orderBy("place").limit(int(line_count(spark, path) * fraction)).select("value")
+    split = F.struct("_metadata.file_path", "_metadata.file_block_start")
+    # The id counts rows within the task; the least of a split is where it starts there.
+    lines = spark.read.text(path).select("value", split.alias("split"), F.monotonically_increasing_id().alias("row"))
+    sizes = lines.groupBy("split").agg(F.count("*").alias("lines"), F.min("row").alias("first"))
+    before = sizes.select("split", "first", (F.sum("lines").over(Window.orderBy("split")) - F.col("lines")).alias("before"))
+    return lines.join(F.broadcast(before), "split").select("value", (F.col("before") + F.col("row") - F.col("first")).alias("n"))  # a row for each split of the input
+
+
+def first_lines(spark: SparkSession, path: str, fraction: float) -> DataFrame:
+    """The first part of the lines by count: files by name, lines as they stand in them; each is kept or left out where it lies."""
+    return numbered_lines(spark, path).where(F.col("n") < int(line_count(spark, path) * fraction)).select("value")
+
+
+class Scan:
+    """Rows of JSON lines whose counts are taken while they are read: rows kept, rows without a key, and bad lines, by ``counts`` after an action over all of ``rows``."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: Sequence[str]):
+        full = T.StructType.fromDDL(schema).add(BAD, "string")
+        there = [k for k in keys if k in full.fieldNames()]
+        if not there:
+            raise ValueError(f"none of {', '.join(keys)} is a column")
+        lines = spark.read.text(path).where(F.trim("value") != "")
+        df = lines.select(F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}).alias("r")).select("r.*")
+        bad, has = F.col(BAD).isNotNull(), F.coalesce(F.col(there[0]).cast("string") != "", F.lit(False))
+        self._seen = Observation()
+        seen = df.observe(self._seen, F.count_if(~bad & has).alias("kept"), F.count_if(~bad & ~has).alias("without_key"), F.count_if(bad).alias("bad"))
+        self.rows = seen.where(~bad & has).drop(BAD)
+
+    def counts(self) -> dict[str, int]:
+        """Waits for the first action over the rows; no read of its own."""
+        return {k: int(v) for k, v in self._seen.get.items()}
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, rows: int | None = None) -> DataFrame:
