@@ -245,7 +245,7 @@ def trails(edges: DataFrame, src: str, dst: str, most: int | None = None, starts
         return kept.table(reduce(DataFrame.unionByName, out), "trails", stays=True)
 
 
-def on_cycles(edges: DataFrame, kept: Kept, rounds: int = 20) -> DataFrame:
+def on_cycles(edges: DataFrame, kept: Kept, rounds: int = 3) -> DataFrame:
     """(s, d): edges, each once, that may lie on a cycle.
 
     Edges from nodes that none leads to, and to nodes that none leaves, lie on

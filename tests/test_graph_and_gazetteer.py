@@ -52,7 +52,7 @@ def test_trails_from_some(spark):
 def test_edges_on_cycles(spark):
     with Kept(spark) as kept:
         found = graph.on_cycles(spark.createDataFrame([(0, 1), (1, 2), (2, 1), (2, 3), (3, 4), (5, 5), (6, 5), (7, 8)], "s int, d int"), kept)
-        assert {tuple(r) for r in found.collect()} == {(1, 2), (2, 1), (5, 5)}
+        assert {tuple(r) for r in found.collect()} == {(1, 2), (2, 1), (5, 5)}  # two rounds are enough here
 
 
 def test_self_or_parent_of_some(spark):
