@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -10,8 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from brindle.operators import graph
-from brindle.sources import files
+from brindle.streaming.graph_store import PARTS, GraphStore, Nodes
 
 #: Keyed state with lists, maps and timers needs this store.
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -167,46 +165,27 @@ def between(events: DataFrame, time: str, start: str, end: str, late: str = "1 h
 # --- upserts ---------------------------------------------------------------------------
 
 
-def upserting(path: str, key: str, order: Sequence[str], parts: int = 64):
+def upserting(path: str, key: str, order: Sequence[str], parts: int = PARTS):
     """A foreachBatch function that merges each batch into the node table at path; ``upserted`` reads it.
 
-    The table is dealt by a hash of the key into ``parts`` folders, and a batch
-    rewrites only those that it touches, each under a new version.  A manifest
-    names the current version of each part; it is written last, so a batch that
-    fails or comes again does no harm, and neither a new checkpoint nor a skipped
-    batch id loses what is there.
+    One table of a ``GraphStore``: a batch that fails or comes again does no harm,
+    neither a new checkpoint nor a skipped batch id loses what is there, and
+    superseded files go.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        dealt = lambda df: df.withColumn("__part", F.pmod(F.xxhash64(F.col(key)), F.lit(parts)).cast("int"))
-        new = dealt(graph.last_wins(batch, [key], order)).persist()
-        touched = [r[0] for r in new.select("__part").distinct().collect()]
-        number, now = _manifest(spark, path)
-        if touched:
-            version = f"v{number + 1}-{uuid.uuid4().hex[:8]}"
-            old = [now[p] for p in touched if p in now]
-            merged = dealt(graph.upsert_nodes(_read(spark, path, old), new.drop("__part"), key)) if old else new
-            merged.write.partitionBy("__part").parquet(f"{path}/{version}")
-            now |= {p: f"{version}/__part={p}" for p in touched}
-            spark.createDataFrame(sorted(now.items()), "part int, folder string").coalesce(1).write.parquet(f"{path}/manifest/{number + 1}")
-        new.unpersist()
+        _one_table(batch.sparkSession, path, key, order, parts).upserting(lambda rows: {"rows": rows})(batch, batch_id)
 
     return merge
 
 
-def _manifest(spark: SparkSession, path: str) -> tuple[int, dict[int, str]]:
-    """Number and content of the last manifest that was written to its end: a row a part."""
-    done = [int(n) for n in files.tables(spark, f"{path}/manifest") if files.there(spark, f"{path}/manifest/{n}/_SUCCESS")]
-    if not done:
-        return 0, {}
-    return max(done), {r["part"]: r["folder"] for r in spark.read.parquet(f"{path}/manifest/{max(done)}").collect()}
-
-
-def _read(spark: SparkSession, path: str, folders: Sequence[str]) -> DataFrame:
-    return spark.read.option("mergeSchema", True).parquet(*(f"{path}/{f}" for f in folders))
+def _one_table(spark: SparkSession, path: str, key: str, order: Sequence[str], parts: int) -> GraphStore:
+    return GraphStore(spark, path, {"rows": Nodes(key, tuple(order))}, {}, parts)
 
 
 def upserted(spark: SparkSession, path: str) -> DataFrame:
     """The table as the last batch left it."""
-    return _read(spark, path, list(_manifest(spark, path)[1].values()))
+    found = _one_table(spark, path, "", (), PARTS).read("rows")
+    if found is None:
+        raise FileNotFoundError(f"{path} holds no rows")
+    return found
