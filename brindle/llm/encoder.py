@@ -21,6 +21,10 @@ from brindle.llm import textbytes as tb
 
 #: Most pieces and ids kept; beyond them the memory of pieces starts anew.
 MOST_PIECES, MOST_IDS, SLOTS = 2_500_000, 12_000_000, 1 << 22
+#: Pieces that go to the library together; each is several objects until its ids are kept.
+LEARNT = 1 << 13
+#: Bytes of text looked at together, some fifty times as many in arrays; a longer text is looked at alone.
+BLOCK = 512 << 10
 LETTER, DIGIT, OTHER, BLANK, UNKNOWN = range(5)
 
 
@@ -62,6 +66,13 @@ def _cuts(data: np.ndarray, off: np.ndarray, c: np.ndarray) -> np.ndarray:
     return cut
 
 
+def _before(odd: np.ndarray) -> np.ndarray:
+    """How many bytes before each place are odd; a column's row has fewer than 2**31 bytes."""
+    total = np.zeros(len(odd) + 1, np.int32)
+    np.cumsum(odd, out=total[1:])
+    return total
+
+
 def byte_level_pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends, each text's first piece, and which pieces are one pre-token, for byte-level vocabularies.
 
@@ -79,9 +90,9 @@ def byte_level_pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np
     cut[feeds + 1] = True
     s = np.flatnonzero(cut)
     e = np.append(s[1:], len(data)) if len(s) else s
-    odd = (c >= BLANK).astype(np.int64)
+    odd = c >= BLANK
     odd[1:] |= (data[:-1] == 0x27) & (c[1:] == LETTER)
-    total = np.concatenate([[0], np.cumsum(odd)])
+    total = _before(odd)
     lead = (data[s] == 0x20) if len(s) else np.zeros(0, bool)
     return s, e, np.searchsorted(s, off), (total[e] - total[s] == lead) & (e - s > lead)
 
@@ -97,12 +108,21 @@ def spaced_pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nda
     e = np.append(s[1:], len(data)) if len(s) else s
     keep = seen[s]
     s, e = s[keep], e[keep]
-    odd = (c >= BLANK).astype(np.int64)
+    odd = c >= BLANK
     odd[1:] |= ((data[:-1] == 0x27) & (c[1:] == LETTER)) | ((c[1:] == DIGIT) & (c[:-1] == DIGIT))
-    total = np.concatenate([[0], np.cumsum(odd)])
+    total = _before(odd)
     return s, e, np.searchsorted(s, off), (total[e] == total[np.minimum(s + 1, e)]) & (c[s] < BLANK)
 
 
+def _with_room(x: np.ndarray, n: int) -> np.ndarray:
+    """x, or a copy twice as long, or more, in which n values have room; what isn't written takes no memory."""
+    if n <= len(x):
+        return x
+    out = np.zeros(len(x) << (-(-n // len(x)) - 1).bit_length(), x.dtype)
+    out[: len(x)] = x
+    return out
+
+
 class Encoder:
     """ids of texts; pieces: one of the two functions above, as fits the tokenizer."""
 
@@ -114,12 +134,13 @@ class Encoder:
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.pieces = self.tokenizer.model, pieces
         self.lower = pieces is spaced_pieces
+        self.kind = np.uint16 if max(self.tokenizer.get_vocab(True).values(), default=0) < 1 << 16 else np.uint32
         self._clear()
 
     def _clear(self) -> None:
         self.keys, self.entry = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
-        self.start, self.size, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
-        self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.start, self.n = np.zeros(1 << 16, np.uint32), 0  # a piece's ids end where those of the next start
+        self.flat, self.used = np.zeros(1 << 20, self.kind), 0
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Slots of the hashes, -1 for those not met."""
@@ -144,14 +165,10 @@ class Encoder:
         for k, x in zip(rest, self.tokenizer.encode_batch_fast([raw[k].decode() for k in rest], add_special_tokens=False), strict=True):
             found[k] = x.ids
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.n + len(h) > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        ids = np.fromiter((i for x in found for i in x), self.kind, int(sizes.sum()))
+        self.flat, self.start = _with_room(self.flat, self.used + len(ids)), _with_room(self.start, self.n + len(h) + 1)
         self.flat[self.used : self.used + len(ids)] = ids
-        self.start[self.n : self.n + len(h)] = self.used + np.cumsum(sizes) - sizes
-        self.size[self.n : self.n + len(h)] = sizes
+        self.start[self.n + 1 : self.n + len(h) + 1] = self.used + np.cumsum(sizes)
         entry = np.arange(self.n, self.n + len(h), dtype=np.int32)
         self.n, self.used = self.n + len(h), self.used + len(ids)
         slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
@@ -169,7 +186,7 @@ class Encoder:
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts, one after another, and each text's offset."""
         data, off = tb.text_bytes(column)
-        ids, at = self._plain(data, off)
+        ids, at = self._by_blocks(data, off)
         whole = self._with_added(data, off)
         if not len(whole):
             return ids, at
@@ -194,8 +211,19 @@ class Encoder:
                     where = raw.find(token, where + 1)
         return np.array(sorted(out), np.int64)
 
+    def _by_blocks(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids and offsets of texts without added tokens, a block of whole texts at a time."""
+        parts, at, row = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)], 0
+        while row < len(off) - 1:
+            to = max(row + 1, int(np.searchsorted(off, off[row] + BLOCK, "right")) - 1)
+            ids, ends = self._plain(data[off[row] : off[to]], off[row : to + 1] - off[row])
+            parts.append(ids)
+            at.append(at[-1][-1] + ends[1:])
+            row = to
+        return np.concatenate(parts), np.concatenate(at)
+
     def _plain(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same for texts without added tokens."""
+        """The same for the texts of a block."""
         s, e, first, simple = self.pieces(data, off)
         if not len(s):
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
@@ -208,10 +236,13 @@ class Encoder:
                 self._clear()
                 continue
             raw = data.tobytes()
-            self._learn(h[where], [raw[a:b] for a, b in zip(s[where].tolist(), e[where].tolist(), strict=True)], simple[where].tolist())
+            for k in range(0, len(where), LEARNT):
+                new = where[k : k + LEARNT]
+                self._learn(h[new], [raw[a:b] for a, b in zip(s[new].tolist(), e[new].tolist(), strict=True)], simple[new].tolist())
         entry = self.entry[at]
-        sizes = self.size[entry]
-        ids = self.flat[tb.ranges(self.start[entry], sizes)]
+        start = self.start[entry].astype(np.int64)
+        sizes = self.start[entry + 1] - start
+        ids = self.flat[tb.ranges(start, sizes)].astype(np.uint32)
         total = np.concatenate([[0], np.cumsum(sizes)])
         return ids, total[first]
 

@@ -64,6 +64,15 @@ def _numbers(code: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at[same], k[same]
 
 
+def _frequent(code: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The codes seen so often, ascending, and how often each."""
+    ordered = np.sort(code)
+    head = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    count = np.diff(np.append(head, len(ordered)))
+    often = count >= least
+    return ordered[head[often]], count[often]
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, base: int, *, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(rules, lengths, symbols, ends in symbols) of a shard; ends: where texts end.
 
@@ -76,23 +85,21 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, *, least: int = LEAST
     or holds a new nonterminal.
     """
     room = max(0, (1 << 16) - base) if base <= 1 << 16 else (1 << 31) - base
-    seq, last = ids.astype(np.int64), np.zeros(len(ids), bool)
+    seq, last = ids.astype(np.int32), np.zeros(len(ids), bool)
     last[ends[ends > 0] - 1] = True
     rules, lengths = [np.zeros((0, 2), np.int64)], np.ones(base, np.int64)
     may = ~last
     while len(seq) > 1 and room:
         places = np.flatnonzero(may[:-1])
-        code = (seq[places] << 32) | seq[places + 1]
-        ordered = np.sort(code)
-        if not len(ordered):
+        if not len(places):
             break
-        head = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        count = np.diff(np.concatenate([head, [len(ordered)]]))
-        often = count >= least
-        pairs, count = ordered[head[often]], count[often]
+        code = seq[places].astype(np.int64) << 32
+        code |= seq[places + 1]
+        pairs, count = _frequent(code, least)
         if not len(pairs):
             break
         found, k = _numbers(code, pairs)
+        del code
         places = frequent = places[found]
         if len(pairs) > room:
             chosen = np.zeros(len(pairs), bool)
@@ -261,7 +268,7 @@ def read(manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([names[k].values, pa.array(base + off[:-1]), pa.array(np.diff(off)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
         reader.close()
 
-    return placed.repartition(4 * shuffle_partitions(spark), "file", "at").mapInArrow(run, f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return placed.repartition(shuffle_partitions(spark), "file", "at").mapInArrow(run, f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def archive(docs: DataFrame, tokenizer: str, **options) -> DataFrame:

@@ -196,6 +196,44 @@ def test_encoder(texts, name, pieces):
         assert ids[off[k] : off[k + 1]].tolist() == e.ids, given[k]
 
 
+@pytest.mark.parametrize(("name", "pieces"), [("byte_bpe_50k.json", encoder.byte_level_pieces), ("word_bpe_49k.json", encoder.spaced_pieces)])
+def test_encoder_memory(name, pieces):
+    """Encoding takes memory for a block and for the pieces kept, not many times the column's bytes; blocks and longer texts join without a seam."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randrange(1, 9))) for _ in range(20_000)]
+    given = [" ".join(rng.choices(words, k=n)) for n in [300] * 800 + [0, 150_000]]
+    column, enc = pa.array(given), encoder.Encoder(public_tokenizers.path(name), pieces)
+    enc(column.slice(0, 1))
+    tracemalloc.start()
+    short = enc(column.slice(0, 800))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 * sum(map(len, given[:800]))
+    kept = sum(x.nbytes for x in vars(enc).values() if isinstance(x, np.ndarray) and len(x) < encoder.SLOTS)
+    assert kept <= 2 * (1 << 20) + 8 * (1 << 16)
+    ids, off = enc(column)
+    assert ids[: off[800]].tolist() == short[0].tolist() and off[:801].tolist() == short[1].tolist()
+    for k, e in enumerate(Tokenizer.from_file(public_tokenizers.path(name)).encode_batch(given, add_special_tokens=False)):
+        assert ids[off[k] : off[k + 1]].tolist() == e.ids, k
+
+
+def test_encoder_of_a_large_vocabulary(tmp_path):
+    """Ids beyond 16 bits stay whole."""
+    import pyarrow as pa
+    from tokenizers import models, normalizers, pre_tokenizers
+
+    vocab = {f"filler{k}": k for k in range(70_000)} | {c: 70_000 + k for k, c in enumerate("abcdefghijklmnopqrstuvwxyz")}
+    t = Tokenizer(models.BPE(vocab=vocab, merges=[]))
+    t.normalizer, t.pre_tokenizer = normalizers.Lowercase(), pre_tokenizers.WhitespaceSplit()
+    t.save(str(tmp_path / "t.json"))
+    ids, off = encoder.Encoder(str(tmp_path / "t.json"), encoder.spaced_pieces)(pa.array(["Ab zz", "", "b"]))
+    assert ids.tolist() == [70_000, 70_001, 70_025, 70_025, 70_001] and off.tolist() == [0, 4, 4, 5]
+
+
 def ids_of(name, text, end):
     t = Tokenizer.from_file(public_tokenizers.path(name))
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, end], "<u4")
@@ -216,6 +254,12 @@ def test_token_archive(spark, odd):
     assert repair_tokens.archive(empty(spark), path).isEmpty()
 
 
+def test_token_archive_is_read_in_as_many_tasks_as_it_was_written(spark, documents):
+    """Each task of a result makes files, for which an executor starts processes."""
+    got = repair_tokens.archive(documents, public_tokenizers.path("word_bpe_49k.json"))
+    assert got.rdd.getNumPartitions() == 8 and got.count() == documents.count()
+
+
 def test_grammar():
     rng = np.random.default_rng(1)
     for n, kinds in ((0, 5), (1, 5), (5000, 4), (5000, 3000), (20_000, 50)):
