@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm import textbytes as tb
 from brindle.llm.encoder import Encoder, byte_level_pieces
+from brindle.llm.memory import returning
 from brindle.llm.scratch import save
 
 SLICE_BYTES = 2 << 20
@@ -184,7 +185,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_co
                     ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"],
                 )
 
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")).mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, task string, nth bigint")
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")).mapInArrow(returning(run), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, task string, nth bigint")
 
 
 def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text: str = "text") -> DataFrame:

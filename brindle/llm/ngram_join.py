@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm import textbytes as tb
 from brindle.llm.components import connected_components
+from brindle.llm.memory import returning
 from brindle.llm.scratch import drop, free_names, release, save, saved_path, sendable, shuffle_partitions
 
 SPARE = 2
@@ -134,7 +135,7 @@ def _described(docs: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
                 values, off = shingle_sets(batch.column("text"), k)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), pa.array(np.diff(off), pa.int64()), pa.array(set_ids(values, off))], ["doc_id", "hash", "n", "set_id"])
 
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_hash(text).alias("hash"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"doc_id {kind}, hash bigint, n bigint, set_id bigint")
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_hash(text).alias("hash"), F.col(f"`{text}`").alias("text")).mapInArrow(returning(run), f"doc_id {kind}, hash bigint, n bigint, set_id bigint")
 
 
 def text_hash(text: str) -> Column:
@@ -154,7 +155,7 @@ def _signed(docs: DataFrame, text: str, k: int, classes: Classes) -> DataFrame:
                 one[firsts] = True
                 yield pa.RecordBatch.from_arrays([pa.array(sigs[one[sets]]), pa.array(ids[sets[one[sets]]])], ["sig", "set_id"])
 
-    return docs.select(F.col(f"`{text}`")).mapInArrow(run, "sig bigint, set_id bigint")
+    return docs.select(F.col(f"`{text}`")).mapInArrow(returning(run), "sig bigint, set_id bigint")
 
 
 def _sharing(rows: DataFrame) -> DataFrame:
@@ -273,9 +274,9 @@ class Join:
                     keep.append(int(np.bitwise_count(x ^ y).sum()) <= m)
                 yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
 
-        found = self._texts(wanted).mapInArrow(maps, "set_id bigint, bits binary").dropDuplicates(["set_id"])
+        found = self._texts(wanted).mapInArrow(returning(maps), "set_id bigint, bits binary").dropDuplicates(["set_id"])
         left, right = (found.select(F.col("set_id").alias(x), F.col("bits").alias(m)) for x, m in (("a", "ma"), ("b", "mb")))
-        return sized.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(bound, "a bigint, b bigint, na bigint, nb bigint")
+        return sized.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(returning(bound), "a bigint, b bigint, na bigint, nb bigint")
 
     def _links(self, pairs: DataFrame) -> DataFrame:
         """(a, b) of the pairs that link.  pairs: (a, b), distinct."""
@@ -298,7 +299,7 @@ class Join:
                     segments = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.astype(np.int64)))
                     yield pa.RecordBatch.from_arrays([pa.array(set_ids(values, off)[owner[head]]), pa.array(fragment[head], pa.int32()), segments], ["set_id", "fragment", "segment"])
 
-        parts = self._texts(ends(sized)).mapInArrow(run, "set_id bigint, fragment int, segment array<bigint>")
+        parts = self._texts(ends(sized)).mapInArrow(returning(run), "set_id bigint, fragment int, segment array<bigint>")
         parts = save(parts.dropDuplicates(["set_id", "fragment"]), "segments")
         left = parts.select(F.col("set_id").alias("a"), "fragment", F.col("segment").alias("sa"))
         right = parts.select(F.col("set_id").alias("b"), "fragment", F.col("segment").alias("sb"))
@@ -334,7 +335,7 @@ class Join:
                         out.append(np.minimum(np.bincount((values[lo:hi] & U((1 << bits) - 1)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes())
                     yield pa.RecordBatch.from_arrays([pa.array(set_ids(values, off)), pa.array(np.diff(off), pa.int64()), pa.array(out, pa.binary())], ["set_id", "n", "counts"])
 
-        counts = self._texts(members.select("set_id").distinct()).mapInArrow(count, "set_id bigint, n bigint, counts binary").dropDuplicates(["set_id"])
+        counts = self._texts(members.select("set_id").distinct()).mapInArrow(returning(count), "set_id bigint, n bigint, counts binary").dropDuplicates(["set_id"])
         dealt = members.join(sizes, "centre").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")).join(counts, "set_id")
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
         dealt = dealt.select("centre", "lo", "hi", "block", "set_id", "comp", "n", "sigs", "counts")
