@@ -123,14 +123,20 @@ def _with_room(x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+@functools.lru_cache(1)
+def _loaded(path: str):
+    """A worker's last tokenizer: loaded anew for each task, it leaves a little more behind every time."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class Encoder:
     """ids of texts; pieces: one of the two functions above, as fits the tokenizer."""
 
     def __init__(self, path: str, pieces):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = _loaded(path)
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.pieces = self.tokenizer.model, pieces
         self.lower = pieces is spaced_pieces

@@ -7,12 +7,13 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
-#: Bytes of input from which a task has left enough behind for its return to be worth some milliseconds.
-LEAST = 2 << 20
+#: Bytes of input from which a task has left enough behind for its return to be worth a millisecond.
+LEAST = 1 << 16
 
 
 def give_back() -> None:
-    """Returns freed memory to the system, where the C library can: an idle worker holds it else, beside the executor's heap."""
+    """Returns freed memory to the system, Arrow's and, where it can, the C library's: an idle worker holds it else, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)

@@ -32,15 +32,15 @@ from pyspark.sql import functions as F
 
 from brindle.llm import textbytes as tb
 from brindle.llm.components import connected_components
-from brindle.llm.memory import returning
+from brindle.llm.memory import LEAST, give_back, returning
 from brindle.llm.scratch import drop, free_names, release, save, saved_path, sendable, shuffle_partitions
 
 SPARE = 2
 FRAGMENTS = 8
 SLICE_BYTES = 1 << 20
-#: Rounds in which each set is compared with one other; sets of a block; how many are compared at once.
+#: Rounds in which each set is compared with one other; sets of a block; how many are compared at once: rows of a bit matrix, its cells that become pairs, counts of pairs.
 STARS, BLOCK = 3, 2048
-ROWS_AT_ONCE, PAIRS_AT_ONCE = 512, 8192
+ROWS_AT_ONCE, CELLS_AT_ONCE, COUNTS_AT_ONCE = 512, 1 << 18, 1 << 21
 #: Most bytes, compressed, of ids that are broadcast: about half a million of them.
 SENT_BYTES = 8 << 20
 U = np.uint64
@@ -200,7 +200,8 @@ def _survivors(table: pa.Table, num: int, den: int) -> pa.Table:
     low, high = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
     raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("counts").combine_chunks()]
     width = min(map(len, raw))
-    counts = np.stack([np.minimum(x.reshape(-1, width).sum(0), 255).astype(np.int16) for x in raw])
+    counts = np.stack([np.minimum(x.reshape(-1, width).sum(0), 255).astype(np.uint8) for x in raw])
+    strip, most = max(1, CELLS_AT_ONCE // len(ids)), max(1, COUNTS_AT_ONCE // width)
     lists = table.column("sigs").combine_chunks()
     owner = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
     sig = lists.flatten().to_numpy()
@@ -216,18 +217,19 @@ def _survivors(table: pa.Table, num: int, den: int) -> pa.Table:
             mine = g[(g >= at) & (g < to)]
             if len(mine) and hi - lo > 1:
                 near[np.ix_(mine - at, g)] = True
-        x, y = np.nonzero(near)
-        x += at
-        keep = (ids[x] < ids[y]) & (comp[x] != comp[y]) & (np.minimum(n[x], n[y]) * den >= np.maximum(n[x], n[y]) * num)
-        if low != high:  # pairs within one block belong to that block's own task
-            keep &= block[x] != block[y]
-        x, y = x[keep], y[keep]
-        for k in range(0, len(x), PAIRS_AT_ONCE):
-            p, q = x[k : k + PAIRS_AT_ONCE], y[k : k + PAIRS_AT_ONCE]
-            differ = np.abs(counts[p] - counts[q]).sum(1)
-            may = differ <= (n[p] + n[q]) * (den - num) // (den + num)
-            out_a.append(ids[p[may]])
-            out_b.append(ids[q[may]])
+        for row in range(0, to - at, strip):
+            x, y = np.nonzero(near[row : row + strip])
+            x += at + row
+            keep = (ids[x] < ids[y]) & (comp[x] != comp[y]) & (np.minimum(n[x], n[y]) * den >= np.maximum(n[x], n[y]) * num)
+            if low != high:  # pairs within one block belong to that block's own task
+                keep &= block[x] != block[y]
+            x, y = x[keep], y[keep]
+            for k in range(0, len(x), most):
+                p, q = x[k : k + most], y[k : k + most]
+                differ = (np.maximum(counts[p], counts[q]) - np.minimum(counts[p], counts[q])).sum(1, dtype=np.int64)
+                may = differ <= (n[p] + n[q]) * (den - num) // (den + num)
+                out_a.append(ids[p[may]])
+                out_b.append(ids[q[may]])
     return pa.table({"a": np.concatenate(out_a or [ids[:0]]), "b": np.concatenate(out_b or [ids[:0]])})
 
 
@@ -339,7 +341,14 @@ class Join:
         dealt = members.join(sizes, "centre").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")).join(counts, "set_id")
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
         dealt = dealt.select("centre", "lo", "hi", "block", "set_id", "comp", "n", "sigs", "counts")
-        return dealt.groupBy("centre", "lo", "hi").applyInArrow(lambda t: _survivors(t, num, den), "a bigint, b bigint").distinct()
+
+        def survivors(table: pa.Table) -> pa.Table:
+            out = _survivors(table, num, den)
+            if table.nbytes >= LEAST:
+                give_back()
+            return out
+
+        return dealt.groupBy("centre", "lo", "hi").applyInArrow(survivors, "a bigint, b bigint").distinct()
 
     def _stars(self, groups: DataFrame, comp: DataFrame | None, tried: DataFrame | None) -> DataFrame:
         """(a, b): for each set one other of its signatures, the most central of another component, if they weren't compared before.
