@@ -4,11 +4,15 @@ A text's set is its distinct word shingles, ordered by their 64-bit hashes: a
 global order.  The order is cut into fragments.  Two sets that link differ in
 at most H shingles, so of K > H fragments at least K - H hold equal segments;
 an equal segment is what makes two sets candidates.  Fragments that are empty
-in both are no evidence: with K = H + 1 + SPARE a set gives signatures of its
-empty fragments only if it has more than SPARE of them.  Candidates are
-verified exactly: overlaps are counted separately in each fragment of the
-order and summed for each pair, after a bound from bit maps has ruled out most
-pairs that differ too much.
+in both are no evidence: with K = H + 1 + spare a set gives signatures of its
+empty fragments only if it has more than spare of them, and spare is such that
+few sets do.  What is left of spare are signatures that a set may do without:
+those that most sets share, in an order that is the same for all sets.  Of the
+spare + 1 equal segments at least one is then left to both, and a set with few
+shared signatures has none left and meets nothing.  Candidates are verified
+exactly: overlaps are counted separately in each fragment of the order and
+summed for each pair, after a bound from bit maps has ruled out most pairs that
+differ too much.
 
 Copies are one set from the first step on.  In a few rounds
 each set is compared with one other, the most central of another component that
@@ -35,7 +39,6 @@ from brindle.llm.components import connected_components
 from brindle.llm.memory import LEAST, give_back, returning
 from brindle.llm.scratch import drop, free_names, release, save, saved_path, sendable, shuffle_partitions
 
-SPARE = 2
 FRAGMENTS = 8
 SLICE_BYTES = 1 << 20
 #: Rounds in which each set is compared with one other; sets of a block; how many are compared at once: rows of a bit matrix, its cells that become pairs, counts of pairs.
@@ -43,6 +46,8 @@ STARS, BLOCK = 3, 2048
 ROWS_AT_ONCE, CELLS_AT_ONCE, COUNTS_AT_ONCE = 512, 1 << 18, 1 << 21
 #: Most bytes, compressed, of ids that are broadcast: about half a million of them.
 SENT_BYTES = 8 << 20
+#: Bytes of sets that go to blocks at once, if a copy of each isn't more.
+WAVE_BYTES = 1 << 29
 U = np.uint64
 
 
@@ -58,7 +63,12 @@ class Classes:
         top = self.low[1:] - 1
         #: Most shingles in which two linked sets, the smaller of the class, can differ; fragments for that.
         self.differ = np.array([(t + t * den // num) * (den - num) // (den + num) for t in top.tolist()], np.int64)
-        self.pieces = self.differ + 1 + SPARE
+        #: Fragments beyond those that may differ and one: about two deviations above the empty ones of the class's least set, two at least.
+        self.spare, kept = np.full(len(top), 2), self.differ + 1
+        for _ in range(2):
+            empty = (kept + self.spare) * np.exp(-self.low[:-1] / (kept + self.spare))
+            self.spare = np.maximum(2, np.ceil(empty + 2 * np.sqrt(empty)).astype(np.int64))
+        self.pieces = kept + self.spare
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, sizes, "right") - 1
@@ -95,17 +105,22 @@ def set_ids(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     return tb.mix(total[off[1:]] - total[off[:-1]] + (off[1:] - off[:-1]).astype(U)).astype(np.int64)
 
 
-def signatures(values: np.ndarray, off: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """(set, signature) of the segments of each set.  values: sorted sets one after another."""
+def signatures(values: np.ndarray, off: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, signature, spare) of the segments of each set.  values: sorted sets one after another.
+
+    The lowest bit of a signature tells a set's two groups apart; spare is how
+    many signatures of the group the set may do without.
+    """
     n = np.diff(off)
     owner = np.repeat(np.arange(len(n)), n)
     total = np.concatenate([[U(0)], np.cumsum(tb.mix(values), dtype=U)])
     size_class = classes.of(np.maximum(n, 1))
-    sets, sigs = [], []
+    sets, sigs, spares = [], [], []
     for shift in (0, 1):
         group = size_class - shift
         use = (n > 0) & (group >= 0) & (classes.differ[np.maximum(group, 0)] > 0)
         pieces = np.where(use, classes.pieces[np.maximum(group, 0)], 1)
+        spare, side = classes.spare[np.maximum(group, 0)], (group & 1).astype(U)
         salt = tb.mix((group + 1).astype(U) * U(0xD6E8FEB86659FD93))
         fragment = ((values >> U(32)) * pieces[owner].astype(U)) >> U(32)
         new = np.ones(len(values), bool)
@@ -114,15 +129,19 @@ def signatures(values: np.ndarray, off: np.ndarray, classes: Classes) -> tuple[n
         tail = np.concatenate([head[1:], [len(values)]])
         of = owner[head]
         sig = tb.mix(total[tail] - total[head] + (tail - head).astype(U) + salt[of] * (fragment[head] + U(1)))
+        sig = sig & ~U(1) | side[of]
+        blank = pieces - np.bincount(of, minlength=len(n))
+        left = np.where(blank > spare, spare, spare - blank)
         sets.append(of[use[of]])
         sigs.append(sig[use[of]])
-        full = np.bincount(of, minlength=len(n))
-        for d in np.flatnonzero(use & (pieces - full > SPARE)):
+        spares.append(left[of[use[of]]])
+        for d in np.flatnonzero(use & (blank > spare)):
             lo, hi = np.searchsorted(of, [d, d + 1])
             empty = np.setdiff1d(np.arange(pieces[d], dtype=U), fragment[head[lo:hi]])
-            sigs.append(tb.mix(salt[d] * (empty + U(1)) + U(0x5851F42D4C957F2D)))
+            sigs.append(tb.mix(salt[d] * (empty + U(1)) + U(0x5851F42D4C957F2D)) & ~U(1) | side[d])
             sets.append(np.full(len(empty), d))
-    return np.concatenate(sets), np.concatenate(sigs).astype(np.int64)
+            spares.append(np.full(len(empty), left[d]))
+    return np.concatenate(sets), np.concatenate(sigs).astype(np.int64), np.concatenate(spares)
 
 
 def _described(docs: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
@@ -143,23 +162,24 @@ def text_hash(text: str) -> Column:
 
 
 def _signed(docs: DataFrame, text: str, k: int, classes: Classes) -> DataFrame:
-    """(sig, set_id) of each text; of copies within a slice only once."""
+    """(sig, set_id, spare) of each text; of copies within a slice only once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in tb.slices(whole, text, SLICE_BYTES):
                 values, off = shingle_sets(batch.column(text), k)
-                ids, (sets, sigs) = set_ids(values, off), signatures(values, off, classes)
+                ids, (sets, sigs, spares) = set_ids(values, off), signatures(values, off, classes)
                 _, firsts = np.unique(ids, return_index=True)
                 one = np.zeros(len(ids), bool)
                 one[firsts] = True
-                yield pa.RecordBatch.from_arrays([pa.array(sigs[one[sets]]), pa.array(ids[sets[one[sets]]])], ["sig", "set_id"])
+                keep = one[sets]
+                yield pa.RecordBatch.from_arrays([pa.array(sigs[keep]), pa.array(ids[sets[keep]]), pa.array(spares[keep], pa.int32())], ["sig", "set_id", "spare"])
 
-    return docs.select(F.col(f"`{text}`")).mapInArrow(returning(run), "sig bigint, set_id bigint")
+    return docs.select(F.col(f"`{text}`")).mapInArrow(returning(run), "sig bigint, set_id bigint, spare int")
 
 
 def _sharing(rows: DataFrame) -> DataFrame:
-    """(sig, set_id) of signatures with two different sets or more, each once.
+    """(sig, set_id, spare) of signatures with two different sets or more, each once.
 
     The rows are dealt by signature and sorted.  Python sees a stream of them in
     which a row stays if a neighbour has its signature, so it holds one batch and
@@ -169,23 +189,35 @@ def _sharing(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, shared = None, False  # the row held back, and whether the one before it had its signature
         for batch in batches:
-            sig, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "set_id"))
+            sig, ids, spare = (batch.column(c).to_numpy(zero_copy_only=False) for c in names)
             if last is not None:
-                sig, ids = np.concatenate([[last[0]], sig]), np.concatenate([[last[1]], ids])
+                sig, ids, spare = (np.concatenate([[x], y]) for x, y in zip(last, (sig, ids, spare), strict=True))
             if not len(sig):
                 continue
             new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])])
-            sig, ids = sig[new], ids[new]
+            sig, ids, spare = sig[new], ids[new], spare[new]
             before = np.concatenate([[shared], sig[1:] == sig[:-1]])
             keep = before[:-1] | before[1:]
-            last, shared = (sig[-1], ids[-1]), bool(before[-1])
+            last, shared = (sig[-1], ids[-1], spare[-1]), bool(before[-1])
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep]) for x in (sig, ids)], ["sig", "set_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep], t) for x, t in zip((sig, ids, spare), kinds, strict=True)], names)
         if shared:
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in last], ["sig", "set_id"])
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(last, kinds, strict=True)], names)
 
-    dealt = rows.select("sig", "set_id").repartition(shuffle_partitions(rows.sparkSession), "sig").sortWithinPartitions("sig", "set_id")
-    return dealt.mapInArrow(run, "sig bigint, set_id bigint")
+    names, kinds = ["sig", "set_id", "spare"], [pa.int64(), pa.int64(), pa.int32()]
+    dealt = rows.select(*names).repartition(shuffle_partitions(rows.sparkSession), "sig").sortWithinPartitions("sig", "set_id")
+    return dealt.mapInArrow(run, "sig bigint, set_id bigint, spare int")
+
+
+def _needed(groups: DataFrame) -> DataFrame:
+    """(sig, set_id, degree) without the signatures that a set may do without: of each of its two groups the ``spare`` ones that most sets share.
+
+    degree: how many signatures the set shares, those left out too.
+    """
+    held = groups.join(groups.groupBy("sig").agg(F.count("*").alias("sharing")), "sig")
+    nth = F.row_number().over(Window.partitionBy("set_id", F.col("sig").bitwiseAND(F.lit(1))).orderBy(F.desc("sharing"), "sig"))
+    told = held.withColumn("nth", nth).withColumn("degree", F.count("*").over(Window.partitionBy("set_id")))
+    return told.where("nth > spare").select("sig", "set_id", "degree")
 
 
 def _survivors(table: pa.Table, num: int, den: int) -> pa.Table:
@@ -318,7 +350,9 @@ class Join:
         Sets are dealt out by the most central set of each signature, which the
         signatures of one family mostly agree on, so a set's counts travel a few
         times and not once a signature.  A large family is cut into blocks of
-        about ``BLOCK`` sets, and each pair of blocks is a task.
+        about ``BLOCK`` sets, and each pair of blocks is a task.  A set goes to as
+        many tasks as its family has blocks, which the disk needn't hold all at
+        once: tasks are dealt to waves, and a wave's shuffle goes before the next.
         """
         text, k, num, den = self.text, self.k, self.num, self.den
         rows = groups.join(comp, F.col("set_id") == F.col("node"), "left").select("sig", "set_id", "degree", F.coalesce("component", "set_id").alias("comp"))
@@ -338,7 +372,11 @@ class Join:
                     yield pa.RecordBatch.from_arrays([pa.array(set_ids(values, off)), pa.array(np.diff(off), pa.int64()), pa.array(out, pa.binary())], ["set_id", "n", "counts"])
 
         counts = self._texts(members.select("set_id").distinct()).mapInArrow(returning(count), "set_id bigint, n bigint, counts binary").dropDuplicates(["set_id"])
+        counts = save(counts, "counts")
         dealt = members.join(sizes, "centre").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")).join(counts, "set_id")
+        size = F.length("counts") + 8 * F.size("sigs")
+        sent, once = dealt.agg(F.sum(F.col("blocks") * size)).first()[0] or 0, counts.agg(F.sum(F.length("counts"))).first()[0] or 0
+        waves = max(1, -(-sent // max(WAVE_BYTES, once)))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
         dealt = dealt.select("centre", "lo", "hi", "block", "set_id", "comp", "n", "sigs", "counts")
 
@@ -348,7 +386,14 @@ class Join:
                 give_back()
             return out
 
-        return dealt.groupBy("centre", "lo", "hi").applyInArrow(survivors, "a bigint, b bigint").distinct()
+        found = None
+        for wave in range(waves):
+            now = dealt.where(F.pmod(F.xxhash64("centre", "lo", "hi"), F.lit(waves)) == wave)
+            now = save(now.groupBy("centre", "lo", "hi").applyInArrow(survivors, "a bigint, b bigint").distinct(), "survivors")
+            found = now if found is None else found.union(now)
+            release()
+        drop(found.sparkSession, saved_path(counts), saved_path(members))
+        return found.distinct()
 
     def _stars(self, groups: DataFrame, comp: DataFrame | None, tried: DataFrame | None) -> DataFrame:
         """(a, b): for each set one other of its signatures, the most central of another component, if they weren't compared before.
@@ -374,8 +419,8 @@ class Join:
         groups = save(_sharing(_signed(self.docs, self.text, self.k, self.classes)), "groups")
         release()
         # A set that shares more signatures is more central: edited copies agree more with their original than with each other.
-        degree = groups.groupBy("set_id").agg(F.count("*").alias("degree"))
-        groups = save(groups.select("sig", "set_id").join(degree, "set_id"), "groups")
+        shared, groups = groups, save(_needed(groups), "groups")
+        drop(spark, saved_path(shared))
         links = tried = None
         comp = spark.createDataFrame([], "node bigint, component bigint")
         for _ in range(STARS):
