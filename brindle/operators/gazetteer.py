@@ -7,6 +7,11 @@ texts meet the first tokens of terms, each with the lengths that terms beginning
 so have, and what has such a length there is looked up whole.  Both joins have
 one row of a key on the side of the terms, so a frequent token multiplies by the
 lengths of its terms and never by their number.
+
+Positions are many times as large as the texts, so none is shuffled before a
+term is likely there: first tokens and 64-bit hashes of the terms go to the
+texts, the hashes in as many parts as they need, and only what has the hash of
+a term goes to the exact join.
 """
 
 from __future__ import annotations
@@ -15,7 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.scalars import slugify
+from brindle.shared import Kept
 
+#: Most bytes of first tokens, and most hashes of terms, that are broadcast at once.
+SENT_BYTES, SENT_HASHES = 32 << 20, 2_000_000
 WORD = r"^[\p{L}\p{N}]"
 TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]"
 
@@ -36,19 +44,29 @@ def starts(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str =
     their own case.  Null and empty texts and terms meet nothing; repeated terms
     count once.  Keys of texts are taken to be different.
     """
-    known = _terms(terms, term)
-    longest = known.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    firsts = known.groupBy(F.col("first").alias("token")).agg(F.collect_set("n").alias("lengths"))
+    kept = Kept(texts.sparkSession)
+    known = kept.table(_terms(terms, term), "terms", stays=True)
+    firsts = kept.table(known.groupBy(F.col("first").alias("token")).agg(F.collect_set("n").alias("lengths")), "firsts", stays=True)
+    hashes = kept.table(known.select(F.xxhash64("term").alias("hash")).distinct(), "hashes", stays=True)
     split = texts.select(F.col(key).alias("key"), tokens(F.col(text).cast("string")).alias("tokens")).where("size(tokens) > 0")
     placed = split.select("key", "tokens", F.posexplode("tokens").alias("position", "token"))
     before = F.get("tokens", F.col("position") - 1)
     placed = placed.where(F.col("token").rlike(WORD) | before.isNull() | ~before.rlike(WORD))
-    ahead = placed.select("key", "position", "token", F.slice("tokens", F.col("position") + 1, F.lit(longest + 1)).alias("ahead"))
-    sized = ahead.join(firsts, "token").select("key", "position", "ahead", F.explode("lengths").alias("n")).where("n <= size(ahead)")
-    last, after = F.get("ahead", F.col("n") - 1), F.get("ahead", F.col("n"))
+    if (firsts.agg(F.sum(F.octet_length("token") + 4 * F.size("lengths") + 32)).first()[0] or 0) <= SENT_BYTES:
+        sized = placed.join(F.broadcast(firsts), "token")
+    else:  # every length at every place
+        lengths = sorted(r["n"] for r in known.select("n").distinct().collect())
+        sized = placed.withColumn("lengths", F.array(*map(F.lit, lengths)))
+    sized = sized.select("key", "position", "tokens", F.explode("lengths").alias("n")).where("position + n <= size(tokens)")
+    last, after = F.get("tokens", F.col("position") + F.col("n") - 1), F.get("tokens", F.col("position") + F.col("n"))
     whole = F.coalesce(last.rlike(WORD) | ~after.rlike(WORD), F.lit(True))
-    asked = sized.where(whole).select("key", "position", "n", F.array_join(F.slice("ahead", F.lit(1), F.col("n")), "").alias("term"))
-    met = asked.join(known.select("term"), "term")
+    asked = sized.where(whole).select("key", "position", "n", F.array_join(F.slice("tokens", F.col("position") + 1, F.col("n")), "").alias("term"))
+    parts, likely = max(1, -(-hashes.count() // SENT_HASHES)), None
+    for part in range(parts):
+        some = F.broadcast(hashes.where(F.pmod("hash", F.lit(parts)) == part))
+        one = asked.withColumn("hash", F.xxhash64("term")).join(some, "hash", "left_semi").drop("hash")
+        likely = one if likely is None else likely.union(one)
+    met = likely.join(known.select("term"), "term")
     return met.groupBy("key", "position").agg(F.max_by(F.struct("n", "term"), "n").alias("best")).select(F.col("key").alias(key), "position", "best.n", "best.term")
 
 

@@ -143,3 +143,32 @@ def test_large_gazetteer(spark):
     met = gazetteer.starts(spark.range(9_000).select("id", body.alias("t")), "id", "t", terms)
     assert met.where("id % 3 = 0").groupBy("term").count().orderBy("term").collect() == [("the t19999", 3000), ("w5 v5", 3000)]
     assert met.where("id % 3 <> 0 AND term = concat('w', id, ' v', id % 7)").count() == met.where("id % 3 <> 0").count() == 6000
+
+
+def test_places_stay_with_their_texts(spark, monkeypatch):
+    """No place of a text is shuffled before a term is likely there; large gazetteers go in parts, and where first tokens are too many every length is tried."""
+    rng = random.Random(9)
+    words = ["a", "b", "cd", "-", " ", "e", "."]
+    rows = [(i, "".join(rng.choices(words, k=40))) for i in range(100)]
+    terms = {"".join(rng.choices(words, k=rng.randrange(1, 6))).strip() for _ in range(40)} - {""}
+    df, table = spark.createDataFrame(rows, "id int, t string"), spark.createDataFrame([(t,) for t in terms], "term string")
+    token = re.compile(r"[^\W_]+|[\W_]")
+    want = {(i, p, term) for i, t in rows for p, term in met_by_hand(t, terms)}
+    starts_of = {i: [m.start() for m in token.finditer(t)] for i, t in rows}
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    held = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        for sent, hashes in ((1 << 20, 1000), (1 << 20, 7), (0, 7)):
+            monkeypatch.setattr(gazetteer, "SENT_BYTES", sent)
+            monkeypatch.setattr(gazetteer, "SENT_HASHES", hashes)
+            met = gazetteer.starts(df, "id", "t", table)
+            assert {(r.id, starts_of[r.id][r.position], r.term) for r in met.collect()} == want
+            plan = met._jdf.queryExecution().sparkPlan().toString().split("\n")
+            assert sum("posexplode" in x for x in plan) == -(-len(terms) // hashes)
+            plan = gazetteer.starts(df, "id", "t", table)._jdf.queryExecution().executedPlan().toString().split("\n")
+            for at in (k for k, x in enumerate(plan) if "posexplode" in x):
+                above = [x for x in plan[:at] if "Exchange hashpartitioning" in x or "LeftSemi" in x]
+                assert "BroadcastHashJoin" in above[-1]
+    finally:
+        spark.conf.set(limit, held)
