@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import types
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +127,36 @@ def test_items_of_users(spark):
                     offered[e] = max(offered.get(e, 0), s.expected)
         want += [(u, e, pytest.approx(s, abs=1.1e-6), k + 1) for k, (e, s) in enumerate(sorted(offered.items(), key=lambda x: (-x[1], x[0]))[:4])]
     assert told(got) == want
+
+
+def test_batches_of_many_cells_are_bounded():
+    """A thousand queries that each meet 300 cells come out in small batches, and whole."""
+    n, cells, dim = 1000, 300, 64
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(cells, dim))
+    centres /= np.sqrt((centres * centres).sum(1, keepdims=True))
+    known = similarity.Cells(centres, np.full(cells, 2.0), np.full(cells, 1000))
+
+    class Queries:
+        sparkSession = property(lambda self: self)
+        sparkContext = property(lambda self: self)
+        broadcast = lambda self, value: types.SimpleNamespace(value=value)
+        mapInArrow = lambda self, run, _: run
+
+    vectors = pa.array(list(rng.normal(size=(n, dim))), pa.list_(pa.float64()))
+    run = similarity._met(Queries(), known, dim, "bigint", 2, None, later=True)
+    rows, most = 0, 0
+    for batch in run(iter([pa.record_batch([pa.array(range(n)), vectors, pa.array(np.full(n, -1.0))], ["id", "vector", "bound"])])):
+        rows, most = rows + batch.num_rows, max(most, batch.nbytes)
+    assert rows == n * (cells - 2) and most < 6 << 20, (rows, most)
+
+
+def test_batches_of_pairs_are_bounded(spark, monkeypatch):
+    """Pairs of blocks go to Python by bytes; the session's own setting comes back."""
+    name, seen, table = "spark.sql.execution.arrow.maxBytesPerBatch", {}, Kept.table
+    before = spark.conf.get(name)
+    monkeypatch.setattr(Kept, "table", lambda self, df, what, stays=False: (seen.update({what: spark.conf.get(name)}), table(self, df, what, stays))[1])
+    rows = spark.createDataFrame(clustered(), "id int, vector array<double>")
+    found = similarity.top_matches(rows, rows, "id", "id", "vector", 1, cells=6)
+    assert seen["early"] == seen["matches"] == str(similarity.BATCH_BYTES) and spark.conf.get(name) == before
+    assert found.count() == rows.where("id IS NOT NULL").count()
